@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import mixing, secrets
+from lodestrata.llm import decontaminate, mixing, secrets
 from lodestrata.llm.scratch import Scratch
 
 
@@ -68,11 +68,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a benchmark window covers."""
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op5").keep)
+    return found.select(
+        "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id::VARCHAR AS item_id, list_slice(w, s, s + 9) AS win
+  FROM bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT len(win) AS m FROM wins),
+runs AS (
+  SELECT doc_id, s, m, list_slice(w, s, s + m - 1) AS run
+  FROM dw, lens, unnest(range(1, len(w) - m + 2)) AS t(s) WHERE len(w) >= m
+), hits AS (
+  SELECT doc_id, s, m, item_id FROM runs JOIN wins ON run = win
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, s, m FROM hits), unnest(range(s, s + m)) AS t(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op5_benchmark_overlap": op5_benchmark_overlap,
     "op2_source_mix": op2_source_mix,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
+    "op5_benchmark_overlap": OP5_SQL,
     "op2_source_mix": OP2_SQL,
 }

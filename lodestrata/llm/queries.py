@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, mixing, secrets
+from lodestrata.llm import decontaminate, line_dedup, mixing, secrets
 from lodestrata.llm.scratch import Scratch
 
 
@@ -104,7 +104,15 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat, exactly or nearly, an earlier line."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs, Scratch(spark, "op7").keep)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op5_benchmark_overlap": op5_benchmark_overlap,
     "op2_source_mix": op2_source_mix,
     "op10_secret_scan": op10_secret_scan,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, line_dedup, mixing, secrets
+from lodestrata.llm import decontaminate, line_dedup, mixing, secrets, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -111,7 +111,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 32k piece model."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    labels = _table(spark, sf_dir, "labels").filter(remainder != 2)
+    model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "rejected")
+
+
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op5_benchmark_overlap": op5_benchmark_overlap,
     "op2_source_mix": op2_source_mix,

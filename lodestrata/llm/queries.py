@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, line_dedup, mixing, secrets, token_counts, toxicity
+from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -128,7 +128,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "rejected")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of a label."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op3_toxicity": op3_toxicity,
     "op7_line_dedup": op7_line_dedup,

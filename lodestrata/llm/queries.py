@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, token_counts, toxicity
+from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -133,7 +133,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
 QUERIES = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op1_embedding_dedup": op1_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op3_toxicity": op3_toxicity,

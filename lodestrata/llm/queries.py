@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity
+from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -138,7 +141,24 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+def _held_out_fifth(ids):
+    """Which of an Arrow column of ids the language model does not learn from."""
+    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % 5 == 1 for x in ids.to_pylist()], bool)
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the suffix tree and under the unigram base."""
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"), _held_out_fifth)
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a document with a smaller id."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 QUERIES = {
+    "op8_lm_scores": op8_lm_scores,
+    "op9_repeated_passages": op9_repeated_passages,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op1_embedding_dedup": op1_embedding_dedup,
     "op6_token_counts": op6_token_counts,

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOCAL_DEFAULT = "spark.lodestrata.local.checkpoint"
 
 
@@ -31,9 +32,14 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
+        """Write ``df`` and read it back. Once it is written, the shuffle files behind it are dropped."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(at)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

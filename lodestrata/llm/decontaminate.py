@@ -45,12 +45,14 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW) -> DataFrame:
     """Words of ``docs`` (doc_id, text) that lie in a window of ``items`` (item_id, text).
 
-    ``keep`` stores a small table (the windows). Returns for each row of ``docs``: doc_id, n_words,
-    ``hit`` (sorted word positions inside windows) and ``item_ids`` (sorted). Null and empty texts have no
-    words; repeated rows and ids are answered row by row; null item texts have no window; empty tables
-    give empty results or no hits. Columns other than those named are ignored.
+    ``keep`` stores small tables (windows and token counts). Adds to each row of ``docs`` n_words, ``hit``
+    (sorted word positions inside windows) and ``item_ids`` (sorted). Null and empty texts have no words;
+    repeated rows and ids are answered row by row; null item texts have no window; empty tables give empty
+    results or no hits. Columns of the added names are replaced, others pass through.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    docs = docs.drop("n_words", "hit", "item_ids")
+    columns = docs.columns
+    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     windows = keep(_windows(items.select("item_id", "text"), window), "windows")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most SHINGLE of them
 
@@ -78,15 +80,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
 
     nothing = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<string>)")
     if candidates is None:
-        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
-    by_doc = candidates.join(windows.select("win_id", "win", "item_ids"), "win_id").groupBy("_key").agg(F.collect_set(F.struct("start", "win", "item_ids")).alias("near"))
+        return docs.select(*columns, F.size(words(F.col("text"))).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
+    by_doc = candidates.join(windows.select("win_id", "win", "item_ids"), "win_id").groupBy("_key").agg(F.collect_set(F.struct("start", "win", "item_ids")).alias("_near"))
 
     def judged(ws: Column) -> Column:
-        found = F.filter("near", lambda c: F.slice(ws, c["start"] + 1, F.size(c["win"])) == c["win"])
+        found = F.filter("_near", lambda c: F.slice(ws, c["start"] + 1, F.size(c["win"])) == c["win"])
         hit = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(f, lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1)))))
         ids = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(f, lambda c: c["item_ids"]))))
         none = F.struct(F.size(ws).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
-        return F.when(F.col("near").isNull(), none).otherwise(let(found, lambda f: F.struct(F.size(ws).cast("long").alias("n_words"), hit(f).alias("hit"), ids(f).alias("item_ids"))))
+        return F.when(F.col("_near").isNull(), none).otherwise(let(found, lambda f: F.struct(F.size(ws).cast("long").alias("n_words"), hit(f).alias("hit"), ids(f).alias("item_ids"))))
 
-    joined = docs.join(by_doc.hint("shuffle_hash"), "_key", "left").select("doc_id", let(words(F.col("text")), judged).alias("r"))
-    return joined.select("doc_id", "r.n_words", "r.hit", "r.item_ids")
+    joined = docs.join(by_doc.hint("shuffle_hash"), "_key", "left").select(*columns, let(words(F.col("text")), judged).alias("_r"))
+    return joined.select(*columns, "_r.n_words", "_r.hit", "_r.item_ids")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lodestrata.plans import profile_queries
+
+FAMILIES = (profile_queries,)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _family in FAMILIES:
+    QUERIES |= _family.R.queries
+    ORACLES |= _family.R.oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n"))
+    """Key patterns between orders and lines."""
+    return QUERIES["join_cardinality"](spark, sf_dir)

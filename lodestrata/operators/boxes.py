@@ -56,9 +56,9 @@ def coverage_state(aois: DataFrame, sources: DataFrame, key: str) -> DataFrame:
 
     clipped = sources.select(F.col(key).alias("_k"), F.col("low").alias("_lo"), F.col("high").alias("_hi"))
     met = aois.join(clipped, (F.col(key) == F.col("_k")) & (F.col("_lo") < F.col("high")) & (F.col("_hi") > F.col("low")), "left")
-    parts = met.select(key, "low", "high", F.greatest("_lo", "low").alias("_a"), F.least("_hi", "high").alias("_b"), ((F.col("_lo") <= F.col("low")) & (F.col("_hi") >= F.col("high"))).alias("_covers"))
-    shortcut = parts.groupBy(key, "low", "high").agg(F.coalesce(F.bool_or("_covers"), F.lit(False)).alias("covered"), F.count("_a").alias("n_sources"))
-    length = union_length(parts.filter("_a is not null and not _covers"), [key], "_a", "_b", "_len")
+    parts = met.select(key, "low", "high", "_lo", F.greatest("_lo", "low").alias("_a"), F.least("_hi", "high").alias("_b"), ((F.col("_lo") <= F.col("low")) & (F.col("_hi") >= F.col("high"))).alias("_covers"))
+    shortcut = parts.groupBy(key, "low", "high").agg(F.coalesce(F.bool_or("_covers"), F.lit(False)).alias("covered"), F.count("_lo").alias("n_sources"))
+    length = union_length(parts.filter("_lo is not null and not _covers"), [key], "_a", "_b", "_len")
     both = shortcut.join(length, key, "left")
     gap = F.when(F.col("covered"), 0).otherwise((F.col("high") - F.col("low")) - F.coalesce("_len", F.lit(0)))
     state = F.when(F.col("n_sources") == 0, "unknown").when(F.col("covered") | (gap == 0), "full").otherwise("partial")
@@ -69,7 +69,7 @@ def coverage_state(aois: DataFrame, sources: DataFrame, key: str) -> DataFrame:
 def held_extent(df: DataFrame, group: list[str], x: str, y: str, valid: Column) -> DataFrame:
     """Extent of a group's vertices, null unless every vertex is valid (conservative, all or nothing)."""
     sums = df.groupBy(*group).agg(F.bool_and(F.coalesce(valid, F.lit(False))).alias("all_valid"), F.count("*").alias("n_vertices"), F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.max(x).alias("_x1"), F.max(y).alias("_y1"))
-    keep = lambda c, n: F.when(F.col("all_valid"), F.col(c)).alias(n)
+    keep = lambda c, n: F.when(F.col("all_valid"), F.col(c).cast("double")).alias(n)
     return sums.select(*group, "n_vertices", "all_valid", keep("_x0", "xmin"), keep("_y0", "ymin"), keep("_x1", "xmax"), keep("_y1", "ymax"))
 
 

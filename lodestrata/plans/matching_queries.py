@@ -85,7 +85,7 @@ def canonical_props(t: Tables) -> DataFrame:
 
 
 @R.add("""
-SELECT l_linestatus, count(*) AS n_rows, sha256(string_agg(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) || ':' || sha256(l_returnflag) || chr(10), '' ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS fingerprint FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1
+SELECT l_linestatus, count(*) AS n_rows, sha256(string_agg(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) || ':' || sha256(l_returnflag) || chr(10), '' ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, sha256(l_returnflag))) AS fingerprint FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1
 """)
 def stream_fingerprint(t: Tables) -> DataFrame:
     """Fingerprint of rows in load order."""

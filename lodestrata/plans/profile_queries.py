@@ -167,7 +167,7 @@ def candidate_buckets(t: Tables) -> DataFrame:
 
 @R.add("""
 WITH r AS (SELECT l_returnflag, l_orderkey, l_partkey, l_suppkey, l_linenumber, sha256(concat_ws('|', '=' || l_orderkey, '=' || l_quantity::INT, '=' || l_linestatus)) AS d FROM lineitem)
-SELECT l_returnflag, count(*) AS n_rows, sha256(string_agg(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) || ':' || d || chr(10), '' ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS fingerprint FROM r GROUP BY 1
+SELECT l_returnflag, count(*) AS n_rows, sha256(string_agg(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) || ':' || d || chr(10), '' ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, d)) AS fingerprint FROM r GROUP BY 1
 """)
 def manifest_fingerprint(t: Tables) -> DataFrame:
     """Ordered fingerprint of the lines of each return flag."""

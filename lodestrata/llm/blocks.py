@@ -44,5 +44,10 @@ def pack(array: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
 
 
+def raw(array: np.ndarray) -> bytes:
+    """Bytes of an array of hashes: they do not compress, and trying costs time."""
+    return np.ascontiguousarray(array).tobytes()
+
+
 def unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, unpack
+from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, unpack
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import ordered_hash, text_words, word_hashes
 
@@ -25,7 +25,7 @@ DEPTH = 2
 LEAST = 6  # training occurrences that a context needs for the divergence test
 DIVERGENCE = 0.05  # nats
 END = np.uint64(0x9D5C3A1B7F2E4C61)
-START = np.uint64(0x3B8E6D0F5A9C1742)
+START = np.uint64(0xFFFFFFFFFFFFFFFF)  # sorts last
 ASK = "level int, rng int, blk int, ctx binary, lens binary, sym binary, counts binary, par binary"
 ANSWER = "level int, rng int, blk int, counts binary, ctx_n binary, ctx_t binary, stats array<long>"
 KEYS = ["level", "rng", "blk"]
@@ -48,37 +48,44 @@ class Block:
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.train = train_of(self.ids)[self.doc]
         first = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
-        self.before1 = np.where(first, START, np.r_[START, self.sym[:-1]]) if len(first) else self.sym
-        second = np.r_[True, first[:-1]] | first if len(first) else first
-        self.before2 = np.where(second, START, np.r_[START, START, self.sym[:-2]]) if len(first) > 1 else np.full(len(first), START)
         self.first = first
 
-    def context(self, level: int) -> np.ndarray:
-        if level == 0:
-            return self.sym
-        return ordered_hash([self.before1] if level == 1 else [self.before2, self.before1])
-
 
 class Grams:
-    """Distinct (context, word) pairs of the eligible tokens of a block at one level, sorted."""
+    """Distinct (context, word) pairs of the eligible tokens of a block at one level, sorted.
+
+    Words are numbered by their hash. A context of one word has that word's number; one of two words has the
+    number of its own pair at the level below. So a pair is one integer, and a level costs one sort.
+    """
 
-    def __init__(self, block: Block, level: int, eligible: np.ndarray):
+    def __init__(self, block: Block, level: int, eligible: np.ndarray, below: Grams | None = None):
         self.level = level
         self.at = np.flatnonzero(eligible)
-        ctx, sym = block.context(level)[self.at], block.sym[self.at]
         if level == 0:
-            self.sym, self.place = np.unique(sym, return_inverse=True)
-            self.ctx = self.sym
+            self.sym, self.place = np.unique(block.sym, return_inverse=True)
+            self.ctx = self.first = self.sym
             self.pair_ctx = np.arange(len(self.sym))
+            self.words, self.word = self.sym, self.place
         else:
-            order = np.lexsort((sym, ctx))
-            c, s = ctx[order], sym[order]
-            new = np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])] if len(c) else np.zeros(0, bool)
-            self.place = np.empty(len(c), np.int64)
-            self.place[order] = np.cumsum(new) - 1
-            self.sym, pair = s[new], c[new]
-            head = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
-            self.ctx, self.pair_ctx = pair[head], np.cumsum(head) - 1
+            self.words, self.word = below.words, below.word
+            many = len(self.words)
+            if level == 1:
+                before = np.where(block.first[self.at], many, self.word[self.at - 1])
+            else:
+                own = np.full(len(block.sym), -1)
+                own[below.at] = below.place
+                before = own[self.at - 1]
+            pairs, self.place = np.unique(before * np.int64(many + 1) + self.word[self.at], return_inverse=True)
+            before, word = pairs // (many + 1), pairs % (many + 1)
+            self.sym = self.words[word]
+            head = np.r_[True, before[1:] != before[:-1]] if len(pairs) else np.zeros(0, bool)
+            self.pair_ctx = np.cumsum(head) - 1
+            inner = before[head]
+            if level == 1:
+                self.first = self.ctx = np.r_[self.words, START][inner]
+            else:
+                self.first = below.first[below.pair_ctx[inner]]
+                self.ctx = ordered_hash([self.first, below.sym[inner]])
         self.counts = np.bincount(self.place, block.train[self.at], len(self.sym)).astype(np.uint32)
 
     def ask(self, blk: int, bits: int, parent: np.ndarray | None) -> dict[str, list]:
@@ -90,13 +97,13 @@ class Grams:
             value = np.zeros(len(self.sym))
             value[self.place] = parent[self.at]
             coarse = np.clip(np.round(-8 * np.log2(np.maximum(value, 1e-300))), 0, 255).astype(np.uint8)
-        edges = cut(self.ctx, bits)
+        edges = cut(self.first, bits)  # by the first word of a context, in whose order the pairs are
         pairs = np.r_[0, np.cumsum(lens)][edges]
         for r in range(len(edges) - 1):
             c, p = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
             if edges[r] == edges[r + 1]:
                 continue
-            row = (self.level, r, blk, pack(self.ctx[c]), pack(lens[c]), pack((self.sym[p] >> np.uint64(32)).astype(np.uint32)) if self.level else b"", pack(self.counts[p]), pack(coarse[p]) if coarse is not None else b"")
+            row = (self.level, r, blk, raw(self.ctx[c]), pack(lens[c]), raw((self.sym[p] >> np.uint64(32)).astype(np.uint32)) if self.level else b"", pack(self.counts[p]), pack(coarse[p]) if coarse is not None else b"")
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
         return out
@@ -106,7 +113,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """One range of one level: add what the blocks counted, test contexts, answer each block."""
     level = table.column("level")[0].as_py()
     rows = table.to_pylist()
-    ctxs = [unpack(r["ctx"], np.uint64) for r in rows]
+    ctxs = [np.frombuffer(r["ctx"], np.uint64) for r in rows]
     lens = [unpack(r["lens"], np.uint32) for r in rows]
     counts = [unpack(r["counts"], np.uint32) for r in rows]
     known, place = np.unique(np.concatenate(ctxs), return_inverse=True)
@@ -117,7 +124,7 @@ def _answer(table: pa.Table) -> pa.Table:
         stats = [int(total.sum()), int((total > 0).sum())]
     else:
         pair_ctx = np.repeat(place, np.concatenate(lens))
-        sym = np.concatenate([unpack(r["sym"], np.uint32) for r in rows])
+        sym = np.concatenate([np.frombuffer(r["sym"], np.uint32) for r in rows])
         order = np.lexsort((sym, pair_ctx))
         new = np.r_[True, (pair_ctx[order][1:] != pair_ctx[order][:-1]) | (sym[order][1:] != sym[order][:-1])]
         of = np.empty(len(order), np.int64)
@@ -162,9 +169,9 @@ def _states(block: Block, answers: pa.Table, upto: int, totals: tuple[int, int])
     """Probability of each token at level ``upto``, its unigram count, and which tokens level upto + 1 may ask for."""
     rows = sorted(answers.select(["level", "rng", "counts", "ctx_n", "ctx_t"]).to_pylist(), key=lambda r: (r["level"], r["rng"]))
     eligible = np.ones(len(block.sym), bool)
-    p = c = None
+    p = c = grams = None
     for level in range(upto + 1):
-        grams = Grams(block, level, eligible)
+        grams = Grams(block, level, eligible, grams)
         own = [r for r in rows if r["level"] == level]
         got = np.concatenate([unpack(r["counts"], np.uint32) for r in own] or [np.zeros(0)]).astype(np.float64)
         count = np.zeros(len(block.sym))
@@ -183,7 +190,7 @@ def _states(block: Block, answers: pa.Table, upto: int, totals: tuple[int, int])
             at = grams.at[kept]
             p[at] = (count[at] + t[which][kept] * p[at]) / (n[which][kept] + t[which][kept])
             eligible = np.r_[False, (count[:-1] >= LEAST) & eligible[:-1]] & ~block.first if len(count) else eligible
-    return p, c, eligible
+    return p, c, eligible, grams
 
 
 def score_documents(docs: DataFrame, scratch: Scratch, held_out, base_columns: bool = True) -> DataFrame:
@@ -209,8 +216,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, base_columns: b
             if not table.num_rows:
                 return pa.table(_typed({k.split()[0]: [] for k in ASK.split(", ")}))
             block = Block(table, train_of)
-            p, _, eligible = _states(block, got, level - 1, totals)
-            return pa.table(_typed(Grams(block, level, eligible).ask(table.column("blk")[0].as_py(), bits, p)))
+            p, _, eligible, below = _states(block, got, level - 1, totals)
+            return pa.table(_typed(Grams(block, level, eligible, below).ask(table.column("blk")[0].as_py(), bits, p)))
 
         return later if level else first
 
@@ -233,7 +240,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, base_columns: b
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         block = Block(table, train_of)
-        p, c, _ = _states(block, got, DEPTH, totals)
+        p, c, _, _ = _states(block, got, DEPTH, totals)
         n_docs = len(block.sizes)
         base = np.log10((c + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))
         columns = [block.ids.combine_chunks(), pa.array(held_out(block.ids)), pa.array(block.sizes), pa.array(np.bincount(block.doc, c > 0, n_docs).astype(np.int64)), pa.array(np.full(n_docs, totals[0], np.int64)), pa.array(np.bincount(block.doc, base, n_docs)), pa.array(np.bincount(block.doc, np.log10(p), n_docs))]

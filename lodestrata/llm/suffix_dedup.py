@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, unpack
+from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, unpack
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import mixed
 
@@ -237,7 +237,7 @@ def least_documents(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> n
 def _several(table: pa.Table) -> pa.Table:
     """One range of hashes: which occur in several documents."""
     rows = table.select(["rng", "blk", "keys", "own"]).to_pylist()
-    keys = [unpack(r["keys"], np.uint64) for r in rows]
+    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
     _, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     several = times > 1
     np.logical_or.at(several, place, np.concatenate([np.unpackbits(unpack(r["own"], np.uint8), count=len(k)) for r, k in zip(rows, keys, strict=True)]).astype(bool))
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, with_text: bool = False) -
         out = {"rng": [], "blk": [], "keys": [], "own": [], "sample": []}
         for r in range(len(edges) - 1):
             lo, hi = edges[r], edges[r + 1]
-            for k, v in zip(out, (r, blk, pack(keys[lo:hi]), pack(np.packbits(own[lo:hi])), sample if r == 0 else b""), strict=True):
+            for k, v in zip(out, (r, blk, raw(keys[lo:hi]), pack(np.packbits(own[lo:hi])), sample if r == 0 else b""), strict=True):
                 out[k].append(v)
         return pa.table({k: pa.array(v, pa.int32() if k in ("rng", "blk") else pa.binary()) for k, v in out.items()})
 

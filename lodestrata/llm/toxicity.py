@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 THRESHOLD = 0.3
-TRAIN_ROWS = 6000  # bound of the labelled sample that is fitted on the driver
+TRAIN_ROWS = 4000  # bound of the labelled sample that is fitted on the driver
 BUCKETS = 1 << 17
 STEM = 4
 DIM = 8
@@ -32,7 +32,8 @@ BATCH = 64
 RATE = 0.05
 LEAST_POSITIVE = 25  # labelled toxic rows that a language needs for its own threshold
 WORD = re.compile(r"[^\W_]+")
-CACHE = 1_000_000
+CACHE = 300_000
+SLICE = 100_000  # words embedded at once
 
 
 def _bucket(part: str) -> int:
@@ -56,15 +57,17 @@ PAD = max(WIDTHS) - 1
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both bucket numbers of all words, each text padded, and where each text starts."""
-    flat: list[int] = []
+    parts = []
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     get = _BUCKETS.__getitem__
     for i, text in enumerate(texts):
-        flat += map(get, WORD.findall(text.lower()))
-        flat += [0] * (PAD + 1)
-        starts[i + 1] = len(flat)
-    codes = np.array(flat, dtype=np.int64)
-    return (codes >> 32).astype(np.int32), (codes & 0xFFFFFFFF).astype(np.int32), starts
+        words = WORD.findall(text.lower())
+        own = np.zeros(len(words) + PAD + 1, dtype=np.int64)
+        own[: len(words)] = np.fromiter(map(get, words), np.int64, len(words))
+        parts += [(own >> 32).astype(np.int32), (own & 0xFFFFFFFF).astype(np.int32)]
+        starts[i + 1] = starts[i] + len(own)
+    none = np.zeros(0, np.int32)
+    return np.concatenate(parts[0::2] or [none]), np.concatenate(parts[1::2] or [none]), starts
 
 
 @dataclass
@@ -86,6 +89,16 @@ class Model:
         return [sum(e[j : n + j] @ w[j] for j in range(len(w))) + b for w, b in zip(self.filters, self.bias, strict=True)]
 
     def logits(self, h1: np.ndarray, h2: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Logits of all texts, some at a time."""
+        out, begin = [np.zeros(0)], 0
+        while begin < len(starts) - 1:
+            end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + SLICE, "right")) - 1)
+            lo, hi = starts[begin], starts[end]
+            out.append(self._logits(h1[lo:hi], h2[lo:hi], starts[begin : end + 1] - lo))
+            begin = end
+        return np.concatenate(out)
+
+    def _logits(self, h1: np.ndarray, h2: np.ndarray, starts: np.ndarray) -> np.ndarray:
         e = self.e1[h1] + self.e2[h2]
         e = np.concatenate([e, np.zeros((PAD, DIM), dtype=np.float32)])
         pooled = np.concatenate([np.maximum.reduceat(m, starts[:-1]) for m in self.maps(e)], axis=1)
@@ -108,6 +121,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: i
         return model
     h1, h2, starts = encode(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(starts))
+    texts = None
     prior = np.log(labels.mean() / (1 - labels.mean()))
     for table, h in ((e1, h1), (e2, h2)):
         seen = np.unique(row * BUCKETS + h)
@@ -119,10 +133,11 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: i
         table[used] = rng.normal(0, 0.02, (used.sum(), DIM))
         table[used, 0] = odds[used] * 0.5
         table[0] = 0
+    del row, seen
     sums = [np.full_like(x, 1e-3) for x in (e1, e2, *filters, bias, out)]
     base_sum = 1e-3
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
             lengths = starts[docs + 1] - starts[docs]
@@ -199,8 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", (F.col("label") > 0).cast("int").alias("label")).distinct()
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(rows)
     texts = docs.select("doc_id", "text", "lang") if "lang" in docs.columns else docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
-    found = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return train([t or "" for t in found["text"]], found["label"].to_numpy(dtype=np.float64), list(found["lang"]))
+    found = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    columns = [found.column(c).to_pylist() for c in ("text", "label", "lang")]
+    del found
+    return train([t or "" for t in columns[0]], np.array(columns[1], dtype=np.float64), columns[2])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.components import connected_components
+from lodestrata.llm.components import connected_components, least_reached
 from lodestrata.llm.scratch import Scratch
 
 COSINE = 0.93
@@ -105,20 +105,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, cosine: float)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least node that each of ``n`` nodes reaches by the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, root[i], low)
-        np.minimum.at(after, root[j], low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """Links among ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -184,7 +170,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
         if within:
             i, j = i[i != j], j[i != j]
         links = np.bincount(i, copies[j], len(x)) + (0 if within else np.bincount(j, copies[i], len(x)))
-        root = forest(len(x), i, j)
+        root = least_reached(len(x), i, j)
         own = links > 0
         return schema_table(ids[own], ids[root[own]], links[own].astype(np.int64))
 

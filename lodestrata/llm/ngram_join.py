@@ -7,8 +7,9 @@ that have a shingle in that prefix, sorted by size; its blocks are skipped when
 cannot reach the overlap.
 
 Sets related to one another are not compared again and again: first each list proposes neighbours at a few
-distances, which links nearly all of a group of near copies; then only pairs from different components are
-proposed, so no link between components is missed and no group's pairs are enumerated. When a set's
+distances, which links nearly all of a group of near copies; a few rounds propose some members of each
+component to the others; then only pairs from different components are proposed, so no link between
+components is missed and no group's pairs are enumerated. When a set's
 overlaps are computed, those of the highly similar set before it are taken over and corrected by the few
 shingles in which the two differ.
 """
@@ -31,6 +32,9 @@ SKETCH_BITS = 22  # the sketch is one byte a counter: 4 MB at most, whatever the
 CHUNK = 1 << 14
 STRIDES = (1, 2, 5, 13)
 BLOCK = 64
+FEW = 3  # members of a component that a list proposes in a round
+ROUNDS = 1
+SETS = 512  # sets of a block in the last comparison
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -61,12 +65,14 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         counts = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "fp", "chunk", "part"]
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, seen = [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text)
                 sizes.append(len(h))
                 prints.append(fingerprint(h))
-                np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
+                seen.append(h >> np.uint64(64 - bits))
+            place, times = np.unique(np.concatenate(seen), return_counts=True)
+            counts[place.astype(np.int64)] += times.astype(np.uint32)
             none = [None] * len(sizes)
             yield _batch(names, batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()))
         parts = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
@@ -87,7 +93,7 @@ def rarity(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([ranks.tobytes()], pa.binary())})
 
     out = np.zeros(1 << bits, np.uint8).reshape(-1, CHUNK)
-    for r in parts.select("chunk", "part").groupBy("chunk").applyInArrow(add, "chunk int, part binary").toLocalIterator():
+    for r in parts.select("chunk", "part").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect():
         out[r.chunk] = np.frombuffer(r.part, np.uint8)
     return out.reshape(-1)
 
@@ -182,17 +188,46 @@ def neighbours(entries: DataFrame) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
+def bridges(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) that may join components: from each list a few members of each, at strides over the components."""
+
+    def run(batches):
+        for token, fp, n, pos, comp in _Lists(batches, ("token", "fp", "n", "pos", "comp")):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            by = mixed(fp.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & 0xFFFFFFFFFFFFFFFF))
+            order = np.lexsort((by, mixed(comp.view(np.uint64) + np.uint64(turn)), token))
+            token, fp, n, pos, comp = (x[order] for x in (token, fp, n, pos, comp))
+            new = np.r_[True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]
+            rank = np.arange(len(token)) - np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            few = rank < FEW
+            token, fp, n, pos, comp = (x[few] for x in (token, fp, n, pos, comp))
+            found = []
+            for stride in range(1, 2 * FEW + 8):
+                i = np.flatnonzero((token[stride:] == token[:-stride]) & (comp[stride:] != comp[:-stride]))
+                j = i + stride
+                ok = _possible(n[i], pos[i], n[j], pos[j])
+                found.append(np.stack([np.minimum(fp[i], fp[j])[ok], np.maximum(fp[i], fp[j])[ok]]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            if pairs.shape[1]:
+                yield _batch(["a", "b"], pa.array(pairs[0]), pa.array(pairs[1]))
+
+    return entries.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "a long, b long")
+
+
 def across(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components from lists (token, fp, n, pos, comp), by blocks of positions."""
+    """Candidates (z, xs) of different components from lists (token, fp, n, pos, comp), by blocks of positions.
+
+    A set's candidates in a list are one row, whatever their number; z is the one whose component is smaller.
+    """
 
     def run(batches):
         for token, fp, n, pos, comp in _Lists(batches, ("token", "fp", "n", "pos", "comp")):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            found: dict[int, list] = {}
             for lo, hi in zip(begins, np.r_[begins[1:], len(token)], strict=True):
                 if (comp[lo:hi] == comp[lo]).all():
                     continue
-                found = set()
                 for a in range(lo, hi, BLOCK):
                     ra = slice(a, min(a + BLOCK, hi))
                     for b in range(a, hi, BLOCK):
@@ -203,15 +238,66 @@ def across(entries: DataFrame) -> DataFrame:
                         top = min(pos[ra].max(), pos[rb].max()) + min((n[ra] - pos[ra]).max(), (n[rb] - pos[rb]).max())
                         if top < overlap_needed(n[ra].min(), n[rb].min()):
                             continue  # no position in these blocks leaves enough
-                        ok = _possible(n[ra][:, None], pos[ra][:, None], n[rb][None], pos[rb][None]) & (comp[ra][:, None] != comp[rb][None])
-                        i, j = np.nonzero(ok)
-                        x, y = fp[ra][i], fp[rb][j]
-                        found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-                if found:
-                    pairs = np.array(sorted(found), np.int64)
-                    yield _batch(["a", "b"], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
+                        ok = _possible(n[ra][:, None], pos[ra][:, None], n[rb][None], pos[rb][None])
+                        for side, left, right in ((ok & (comp[ra][:, None] < comp[rb][None]), ra, rb), (ok.T & (comp[rb][:, None] < comp[ra][None]), rb, ra)):
+                            for k in np.flatnonzero(side.any(axis=1)):
+                                found.setdefault(int(fp[left][k]), []).append(fp[right][side[k]])
+            if found:
+                yield _batch(["z", "xs"], pa.array(list(found), pa.int64()), pa.array([np.unique(np.concatenate(x)) for x in found.values()], pa.list_(pa.int64())))
 
-    return entries.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "a long, b long")
+    return entries.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "z long, xs array<long>")
+
+
+def _block_of(fp: np.ndarray, count: int) -> np.ndarray:
+    return (mixed(fp.view(np.uint64)) % np.uint64(count)).astype(np.int32)
+
+
+def linked_across(candidates: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) among candidates (z, xs): sets are dealt to ``count`` blocks of some hundred, and each z visits
+    the blocks that hold candidates of it, once each. Pairs are never rows."""
+
+    def visits(batches):
+        for batch in batches:
+            blk, z, xs = [], [], []
+            for own, many in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                many = many.values.to_numpy()
+                where = _block_of(many, count)
+                for k in np.unique(where):
+                    blk.append(int(k))
+                    z.append(own)
+                    xs.append(many[where == k])
+            yield _batch(["blk", "z", "xs"], pa.array(blk, pa.int32()), pa.array(z, pa.int64()), pa.array(xs, pa.list_(pa.int64())))
+
+    def placed(batches):
+        for batch in batches:
+            yield _batch(["blk", "x", "hx"], pa.array(_block_of(batch.column(0).to_numpy(), count), pa.int32()), *batch.columns)
+
+    def judge(left, right):
+        ids = right.column("x").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        own = [np.frombuffer(h, np.uint64) for h in right.column("hx").to_pylist()]
+        own = [own[k] for k in order]
+        sizes = np.array([len(h) for h in own], np.int64)
+        owner = np.repeat(np.arange(len(own)), sizes)
+        known, place = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_inverse=True)
+        a, b = [], []
+        for z, xs, hz in zip(left.column("z").to_pylist(), left.column("xs"), left.column("hz").to_pylist(), strict=True):
+            target = np.frombuffer(hz, np.uint64)
+            at = np.searchsorted(ids, xs.values.to_numpy())
+            if len(at) > 16:  # many candidates share their shingles: each is looked up once for all of them
+                spot = np.minimum(np.searchsorted(target, known), len(target) - 1)
+                common = np.bincount(owner, (target[spot] == known)[place], len(own)).astype(np.int64)[at]
+            else:
+                common = np.array(_overlaps(target, [own[k] for k in at]))
+            ok = 100 * common >= PERCENT * (len(target) + sizes[at] - common)
+            a += [z] * int(ok.sum())
+            b += ids[at[ok]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = candidates.mapInArrow(visits, "blk int, z long, xs array<long>").join(sets.select(F.col("fp").alias("z"), F.col("h").alias("hz")), "z")
+    blocks = sets.mapInArrow(placed, "blk int, x long, hx binary")
+    return dealt.groupBy("blk").cogroup(blocks.groupBy("blk")).applyInArrow(judge, "a long, b long")
 
 
 def _overlaps(target: np.ndarray, others: list[np.ndarray]) -> list[int]:
@@ -302,14 +388,28 @@ def similar_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(f"sets-{name}")
         return links
 
-    links = link(pairs, "1")
+    def labelled(named: DataFrame) -> DataFrame:
+        return long.join(named, long["fp"] == named["id"], "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
+
+    links, tested = link(pairs, "1"), pairs
     named = connected_components(links, scratch, "first")
-    comp = long.join(named, long["fp"] == named["id"], "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
-    rest = across(comp).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "pairs2")
-    if rest.limit(1).count():
-        links = links.unionByName(link(rest, "2"))
-        named = connected_components(links, scratch, "second")
+    for turn in range(ROUNDS):
+        more = scratch.keep(bridges(labelled(named), turn).distinct().join(tested, ["a", "b"], "left_anti"), f"bridge{turn}")
+        fresh = link(more, f"bridge{turn}")
+        tested = tested.unionByName(more)
+        if not fresh.limit(1).count():
+            break
+        links = links.unionByName(fresh)
+        named = connected_components(links, scratch, f"bridged{turn}")
+    rest = across(labelled(named)).groupBy("z").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
+    rest = scratch.keep(rest, "rest")
+    wanted = rest.select(F.col("z").alias("fp")).union(rest.select(F.explode("xs"))).distinct()
+    holders = scratch.keep(classes.join(wanted, "fp", "left_semi"), "holders-rest")
+    many = holders.count()
+    if many:
+        sets = scratch.keep(_sets(docs, holders), "sets-rest")
+        links = links.unionByName(scratch.keep(linked_across(rest, sets, 1 + many // SETS), "links-rest"))
+        named = connected_components(links, scratch, "last")
     rooted = classes.join(named.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.keep(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))

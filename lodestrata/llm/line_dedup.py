@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 EDITS = 2
 EXACT_CHARS = 16
 NEAR_CHARS = 40
+BROADCAST_IDS = 200_000
 
 
 def lines_of(text: Column) -> Column:
@@ -27,50 +28,42 @@ def lines_of(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\t\r]", " "))
+    return F.btrim(line, F.lit(" \t\r"))
 
 
-def segment_bounds(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
-    """0-based start and length of a segment: even parts, the longer ones last."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    first_long = F.lit(parts) - longer
-    start = short * number + F.greatest(F.lit(number) - first_long, F.lit(0))
-    return start, short + (F.lit(number) >= first_long).cast("int")
-
+def segments(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(shorter, number, move) of a line's own segments."""
+    return [(0, number, 0) for number in range(edits + 1)]
 
-def _signature(shorter: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(shorter, F.lit(number), piece)
 
+def probes_of(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(shorter, number, move) of the substrings that may equal a segment of a line ``shorter`` characters shorter.
 
-def index_entries(line: Column, edits: int = EDITS) -> Column:
-    """The signatures of a line's own segments."""
-    length = F.length(line)
-    out = []
-    for number in range(edits + 1):
-        start, size = segment_bounds(length, number, edits)
-        out.append(_signature(length, number, F.substring(line, start + 1, size)))
-    return F.array(*out)
+    Segment i (0-based) of a line of length l - d can lie only where the edits before it are at most i and
+    those after it at most k - i: its start moves by -i .. i, and by d - (k - i) .. d + (k - i).
+    """
+    return [
+        (shorter, number, move)
+        for shorter in range(edits + 1)
+        for number in range(edits + 1)
+        for move in range(max(-number, shorter - (edits - number)), min(number, shorter + (edits - number)) + 1)
+    ]
 
 
-def probe_entries(line: Column, edits: int = EDITS) -> Column:
-    """Signatures of the substrings of a line that may equal a segment of a line at most ``edits`` shorter.
+def signatures(lines: DataFrame, places: list[tuple[int, int, int]], edits: int = EDITS) -> DataFrame:
+    """(line_id, sig) of the given places of lines (line_id, line, chars).
 
-    Segment i (0-based) of a line of length l - d can lie only where the edits before it are at most i and
-    those after it at most k - i: its start moves by -i .. i, and by d - (k - i) .. d + (k - i).
+    A row for each place and one small expression over it: one expression for all places would be a method
+    too large to be compiled. Segments are even parts, the longer ones last.
     """
-    length = F.length(line)
-    out = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for number in range(edits + 1):
-            start, size = segment_bounds(other, number, edits)
-            for move in range(max(-number, shorter - (edits - number)), min(number, shorter + (edits - number)) + 1):
-                at = start + move
-                fits = (at >= 0) & (at + size <= length)
-                out.append(F.when(fits, _signature(other, number, F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*out))
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "number", "move"), p, strict=True)]) for p in places])
+    spread = lines.select("line_id", "line", "chars", F.explode(rows).alias("p")).select("line_id", "line", "chars", "p.number", "p.move", (F.col("chars") - F.col("p.shorter")).alias("other"))
+    parts = edits + 1
+    short, first_long = F.expr(f"cast(other div {parts} as int)"), F.lit(parts) - F.col("other") % parts
+    at = short * F.col("number") + F.greatest(F.col("number") - first_long, F.lit(0)) + F.col("move")
+    placed = spread.select("line_id", "line", "chars", "number", "other", at.alias("at"), (short + (F.col("number") >= first_long).cast("int")).alias("size"))
+    fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("chars"))
+    return placed.filter(fits).select("line_id", F.xxhash64("other", "number", F.substring("line", F.col("at") + 1, F.col("size"))).alias("sig"))
 
 
 def banded_distance(left: Column, right: Column, edits: int = EDITS) -> Column:
@@ -125,21 +118,49 @@ def banded_distance(left: Column, right: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(n_left - n_right) > edits, F.lit(edits + 1)).otherwise(ends)
 
 
-def near_pairs(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+def _common(a: Column, b: Column, limit: Column, from_end: bool) -> Column:
+    """Characters that two strings share at one end, at most ``limit``, by halving steps."""
+    part = (lambda x, n: F.right(x, n)) if from_end else (lambda x, n: F.substring(x, F.lit(1), n))
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= limit) & (part(a, n + step) == part(b, n + step)), n + step).otherwise(n))
+
+
+def within(left: Column, right: Column, edits: int = EDITS) -> Column:
+    """Whether two lines are within ``edits``, by the banded distance of what lies between their common ends.
+
+    A few common characters stay on both sides, so that what is left is longer than the band needs. The
+    built-in distance, which gives up early, first turns away pairs that are far apart.
+    """
+    stay = edits + 1
+    shorter = F.least(F.length(left), F.length(right))
+    front = F.greatest(_common(left, right, shorter, False) - stay, F.lit(0))
+    back = F.greatest(_common(left, right, shorter - front, True) - stay, F.lit(0))
+    middle = lambda x, cut: F.substring(x, cut["f"] + 1, F.length(x) - cut["f"] - cut["b"])
+    ends = F.struct(front.alias("f"), back.alias("b"))
+    near = F.get(F.transform(F.array(ends), lambda cut: F.struct(middle(left, cut).alias("l"), middle(right, cut).alias("r"))), F.lit(0))
+    verified = F.get(F.transform(F.array(near), lambda m: banded_distance(m["l"], m["r"], edits) <= edits), F.lit(0))
+    return F.when(F.levenshtein(left, right, edits) >= 0, verified).otherwise(False)
+
+
+def near_pairs(distinct: DataFrame, keep, edits: int = EDITS) -> DataFrame:
     """(early, late): ids of distinct lines within ``edits`` of one another, the earlier first.
 
-    ``distinct`` has ``line``, ``line_id`` and ``first`` (a sortable position).
+    ``distinct`` has ``line``, ``chars``, ``line_id`` and ``first`` (a sortable position).
     """
-    long = distinct.filter(F.length("line") >= NEAR_CHARS)
-    index = long.select("line_id", F.explode(index_entries(F.col("line"), edits)).alias("sig"))
-    probes = long.select(F.col("line_id").alias("probe_id"), F.explode(probe_entries(F.col("line"), edits)).alias("sig"))
+    long = distinct.filter(F.col("chars") >= NEAR_CHARS)
+    index = signatures(long, segments(edits), edits)
+    probes = signatures(long, probes_of(edits), edits).withColumnRenamed("line_id", "probe_id")
     pairs = probes.join(index, "sig").filter(F.col("probe_id") != F.col("line_id")).select("probe_id", "line_id").distinct()
-    left = long.select(F.col("line_id").alias("probe_id"), F.col("line").alias("l"), F.col("first").alias("l_first"))
-    right = long.select("line_id", F.col("line").alias("r"), F.col("first").alias("r_first"))
-    texts = pairs.join(left, "probe_id").join(right, "line_id").filter(banded_distance(F.col("r"), F.col("l"), edits) <= edits)
+    pairs = keep(pairs, "pairs")
+    ids = keep(pairs.select("line_id").union(pairs.select("probe_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = keep(long.select("line_id", "line", "first").join(ids, "line_id", "left_semi"), "texts")
+    left = texts.select(F.col("line_id").alias("probe_id"), F.col("line").alias("l"), F.col("first").alias("l_first"))
+    right = texts.select("line_id", F.col("line").alias("r"), F.col("first").alias("r_first"))
+    close = pairs.join(left, "probe_id").join(right, "line_id").filter(within(F.col("r"), F.col("l"), edits))
     early = F.col("l_first") < F.col("r_first")
     ends = lambda yes, no: F.when(early, F.col(yes)).otherwise(F.col(no))
-    return texts.select(ends("probe_id", "line_id").alias("early"), ends("line_id", "probe_id").alias("late")).distinct()
+    return close.select(ends("probe_id", "line_id").alias("early"), ends("line_id", "probe_id").alias("late")).distinct()
 
 
 def repeated_lines(docs: DataFrame, keep, edits: int = EDITS) -> DataFrame:
@@ -150,8 +171,9 @@ def repeated_lines(docs: DataFrame, keep, edits: int = EDITS) -> DataFrame:
     key = _key(F.col("l"))
     lines = docs.select("_key", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "l")).select("_key", F.struct("doc_id", "_key", "no").alias("at"), key.alias("line"))
     lines = lines.filter(F.length("line") >= EXACT_CHARS)
-    distinct = lines.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n")).withColumn("line_id", F.xxhash64("line"))
-    near = keep(near_pairs(distinct, edits), "near").select(F.col("late").alias("line_id")).distinct().withColumn("near", F.lit(True))
+    distinct = lines.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n")).withColumns({"line_id": F.xxhash64("line"), "chars": F.length("line")})
+    distinct = keep(distinct, "distinct")
+    near = near_pairs(distinct, keep, edits).select(F.col("late").alias("line_id")).distinct().withColumn("near", F.lit(True))
     suspects = distinct.select("line_id", "first", "n").join(near, "line_id", "left").filter((F.col("n") > 1) | F.col("near"))
     suspects = keep(suspects.select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near")), "suspects")
     placed = lines.select("_key", "at", F.xxhash64("line").alias("line_id"))

@@ -37,7 +37,7 @@ class Scratch:
         conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(at)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -5,7 +5,9 @@ A word is embedded as the sum of two hashed tables, one by the word and one by i
 each filter's maximum over the text is kept, and a logistic layer reads the maxima. One embedding
 dimension starts as the shrunken log odds of its bucket, the rest small and random; buckets that training
 never saw stay zero, so unknown words are inert. The logit is shifted so that the global threshold is
-0.3; thresholds per language are calibrated on the same rows and decide only ``rejected``, never the score.
+0.3. The shift and the thresholds by language come from counts of (language, score bin, label) over all labelled
+rows, those that were fitted left out; they fall back to all rows, then to the global threshold, where toxic rows are
+few. Thresholds by language decide only ``rejected``, never the score.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,8 @@ LEAST_POSITIVE = 25  # labelled toxic rows that a language needs for its own thr
 WORD = re.compile(r"[^\W_]+")
 CACHE = 300_000
 SLICE = 100_000  # words embedded at once
+BINS = 64  # score bins of one unit of the logit, for calibration
+WIDEST = 40  # logits beyond this are in the last bin
 
 
 def _bucket(part: str) -> int:
@@ -98,6 +103,17 @@ class Model:
             begin = end
         return np.concatenate(out)
 
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """Logits of texts, encoded some at a time; null is the empty text."""
+        z = np.zeros(len(texts))
+        begin, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size > 1_500_000 or i + 1 == len(texts):
+                z[begin : i + 1] = self.logits(*encode([x or "" for x in texts[begin : i + 1]]))
+                begin, size = i + 1, 0
+        return z
+
     def _logits(self, h1: np.ndarray, h2: np.ndarray, starts: np.ndarray) -> np.ndarray:
         e = self.e1[h1] + self.e2[h2]
         e = np.concatenate([e, np.zeros((PAD, DIM), dtype=np.float32)])
@@ -105,7 +121,7 @@ class Model:
         return np.maximum(pooled, 0) @ self.out + self.base
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 11) -> Model:
+def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     """Fit on labelled texts; without both labels among them every score is 0."""
     rng = np.random.default_rng(seed)
     e1, e2 = np.zeros((2, BUCKETS, DIM), dtype=np.float32)
@@ -180,34 +196,72 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: i
                 d[touched == 0] = 0
                 s[touched] += d * d
                 table[touched] -= RATE * d / np.sqrt(s[touched])
-    z = model.logits(h1, h2, starts)
-    cut = best_cut(z, labels)
-    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if labels[own].sum() >= LEAST_POSITIVE:
-            model.by_lang[lang] = float(1 / (1 + np.exp(-(best_cut(z[own], labels[own], cut) + model.shift))))
     return model
 
 
-def best_cut(z: np.ndarray, labels: np.ndarray, near: float = 0.0) -> float:
-    """The logit that gives the best F1: ``near`` if it does, else the nearest to it midway between rows."""
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
-    after = np.r_[z[order][1:], z[order][-1] - 1]
-    cuts = (z[order] + after) / 2
-    cuts[z[order] == after] = np.inf
-    f1[~np.isfinite(cuts)] = -1
-    own = 2 * labels[z >= near].sum() / max(1, (z >= near).sum() + labels.sum())
+def best_cut(bins: np.ndarray, rows: np.ndarray, hits: np.ndarray, near: int = 0) -> int:
+    """The lower edge of a bin that gives the best F1 over counts by bin: ``near`` if it does, else the nearest to it midway between bins."""
+    bins, place = np.unique(bins, return_inverse=True)
+    rows, hits = np.bincount(place, rows)[::-1], np.bincount(place, hits)[::-1]
+    bins = bins[::-1]
+    f1 = 2 * np.cumsum(hits) / (np.cumsum(rows) + hits.sum())
+    cuts = (bins + np.r_[bins[1:], bins[-1] - BINS] + 1) // 2
+    above = bins >= near
+    own = 2 * hits[above].sum() / max(1, rows[above].sum() + hits.sum())
     if own >= f1.max() - 1e-12:
         return near
     best = cuts[f1 >= f1.max() - 1e-12]
-    return float(best[np.argmin(np.abs(best - near))])
+    return int(best[np.argmin(np.abs(best - near))])
+
+
+def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: DataFrame) -> None:
+    """Set the shift and the thresholds by language from the counts of all ``known`` (doc_id, label) rows.
+
+    ``docs`` has doc_id, text and lang. Rows of a bounded number of bins come to the driver for each language
+    that has ``LEAST_POSITIVE`` toxic rows. Of repeated ids one row counts, as in the fit.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            z = m.of_texts(batch.column(1).to_pylist())
+            bins = np.clip(np.floor(z * BINS), -WIDEST * BINS, WIDEST * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bins)], names=["doc_id", "lang", "bin"])
+
+    source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType())])
+    scored = source.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("bin", "lang")).alias("s"))
+    one = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    marked = one.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("fitted")).distinct()), "doc_id", "left")
+    met = marked.join(scored, "doc_id").select("s.lang", "s.bin", "label", F.col("fitted").isNotNull().alias("fitted"))
+    counts = met.groupBy("lang", "bin", "fitted").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).persist()
+    columns = lambda df: [df[k].to_numpy(zero_copy_only=False) for k in ("bin", "fitted", "n", "hits")]
+
+    def chosen(bins, fitted, n, hits, near):
+        free = ~fitted
+        if hits[free].sum() >= LEAST_POSITIVE:
+            bins, n, hits = bins[free], n[free], hits[free]
+        return best_cut(bins, n, hits, near)
+
+    try:
+        total = counts.groupBy("bin", "fitted").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toArrow()
+        if not total.num_rows:
+            return
+        cut = chosen(*columns(total), 0)
+        model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut / BINS)
+        large = counts.groupBy("lang").agg(F.sum("hits").alias("hits")).filter((F.col("hits") >= LEAST_POSITIVE) & F.col("lang").isNotNull()).select("lang")
+        by_lang = counts.join(large, "lang", "left_semi").toArrow().combine_chunks()
+    finally:
+        counts.unpersist()
+        shared.unpersist()
+    for lang in sorted(set(by_lang["lang"].to_pylist())):
+        own = by_lang.filter(pc.equal(by_lang["lang"], lang))
+        model.by_lang[lang] = float(1 / (1 + np.exp(-(chosen(*columns(own), cut) / BINS + model.shift))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` of ``labels`` (doc_id, label), those whose hashed id is least.
+    """Train on at most ``rows`` of ``labels`` (doc_id, label), those whose hashed id is least; calibrate on all.
 
     Null ids, null labels and labels without a document are passed over; of repeated rows one counts.
     """
@@ -215,9 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(rows)
     texts = docs.select("doc_id", "text", "lang") if "lang" in docs.columns else docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
     found = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    columns = [found.column(c).to_pylist() for c in ("text", "label", "lang")]
+    columns = [found.column(c).to_pylist() for c in ("text", "label")]
     del found
-    return train([t or "" for t in columns[0]], np.array(columns[1], dtype=np.float64), columns[2])
+    fitted = np.array(columns[1], dtype=np.float64)
+    model = train([t or "" for t in columns[0]], fitted)
+    if len(fitted) and fitted.min() != fitted.max():
+        calibrate(model, texts, known, sample)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -235,16 +293,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = np.zeros(len(texts))
-            begin, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 1_500_000 or i + 1 == len(texts):
-                    z = m.logits(*encode([x or "" for x in texts[begin : i + 1]])) + m.shift
-                    scores[begin : i + 1] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                    begin, size = i + 1, 0
-            langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
+            z = m.of_texts(batch.column(at).to_pylist()) + m.shift
+            scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(z)
             cuts = np.array([m.by_lang.get(x, THRESHOLD) for x in langs])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(scores >= cuts, pa.bool_())], names=schema.names)
 

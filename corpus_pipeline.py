@@ -26,10 +26,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose shingle sets link."""
-    found = ngram_join.similar_documents(docs, Scratch(spark, "ngrams"))
-    copies = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group whose shingle sets link.
+
+    Rows are told apart by id and text: of rows that share an id only those whose text is a copy go, and rows
+    that repeat both are one document, of which the row with the least other columns stays. Of equal ids the
+    least hash of id and text stays; a row without an id gives way to one that has an id.
+    """
+    scratch = Scratch(spark, "ngrams")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.similar_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), scratch)
+    groups = found.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("id"))
+    rows = scratch.keep(groups.join(ids, "_row").select("_row", "group", "n", F.struct(F.col("id").isNull().alias("none"), "id", "_row").alias("at")), "rows")
+    first = rows.groupBy("group").agg(F.min("at").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = rows.join(first, "group").filter(F.col("at") != F.col("first")).select("_row")
+    copies = scratch.keep(copies, "copies")
+    repeated = rows.filter("n > 1").select("_row").join(copies.hint("shuffle_hash"), "_row", "left_anti")
+    repeated = scratch.keep(repeated, "repeated")
+    single = keyed.join(copies.union(repeated).hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
+    one = keyed.join(repeated.hint("shuffle_hash"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("d"))
+    return single.unionByName(one.select("d.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import corpus_pipeline
 from common import SCHEMA, sentence
 from lodestrata.llm import toxicity
 from pyspark.sql import functions as F
@@ -33,3 +34,15 @@ def test_toxicity_cuts_come_from_all_labelled_rows(spark):
         own = [r for r in rows if r[0] not in fitted and r[2] in langs]
         scores, labels = [got[r[0]] for r in own], [r[4] for r in own]
         assert f1(scores, labels, cut) >= max(f1(scores, labels, s) for s in scores) - 0.01
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows that repeat id and text are one document; of rows that share an id only the copy goes."""
+    rng = random.Random(7)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (5, c), (5, c), (4, d), (4, d), (3, d), (None, b), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}") for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a, "s0"), (2, b, "s2"), (5, c, "s3"), (3, d, "s7"), (7, "", "s10"), (8, None, "s11")]
+    assert sorted(map(str, ((r.doc_id, r.text, r.source) for r in got.collect()))) == sorted(map(str, [w if w[0] != 7 else (7, "", min("s9", "s10")) for w in want]))

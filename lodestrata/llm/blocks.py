@@ -15,23 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 12_000_000
-MOST_RANGES = 512
+BLOCK_ROWS = 4096
 
 
 def block_count(docs: DataFrame) -> int:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 + total // BLOCK_CHARS
+    """Blocks for about ``BLOCK_CHARS`` bytes or ``BLOCK_ROWS`` rows each, whichever are more."""
+    total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    return 1 + max((total or 0) // BLOCK_CHARS, rows // BLOCK_ROWS)
 
 
 def in_blocks(docs: DataFrame, count: int) -> DataFrame:
-    """(blk, doc_id, text), dealt by a hash of the id."""
-    blk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(count)).cast("int")
+    """(blk, doc_id, text), dealt by a hash of id and text, so that rows without an id do not share a block."""
+    blk = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(count)).cast("int")
     return docs.select(blk.alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def range_bits(count: int) -> int:
-    """Leading bits that give about as many ranges as blocks."""
-    return min(MOST_RANGES, 1 << max(0, count - 1).bit_length()).bit_length() - 1
+    """Leading bits that give about as many ranges as blocks, so that a range stays as small as a block."""
+    return max(0, count - 1).bit_length()
 
 
 def cut(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:

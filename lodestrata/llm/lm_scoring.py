@@ -1,253 +1,321 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of 0, 1 and 2 words. A context is retained if it was seen often enough and if its
-smoothed next-word distribution diverges from that of the context one word shorter. A retained state gives
+States are contexts of 0 to ``depth`` words (the longest one is a parameter of the model, as in the tree of
+Ron, Singer and Tishby). A context is retained if it was seen ``least`` times in training and if its smoothed
+next-word distribution diverges from that of the context one word shorter. A retained state gives
 (n(w) + t * parent(w)) / (n + t) with t its distinct next words, so every state is a distribution; the root
-is the add-a-half unigram. Each word is scored by the longest retained suffix of what precedes it.
-
-The tree grows level by level. Blocks of documents send their distinct (context, next word) counts to the
-range of the context's hash, where counts are added and the divergence is tested; the answers return to
-the blocks that asked. Nothing of the tree passes through the driver but the number of tokens and words.
+is the add-a-half unigram. Each word is scored by the longest retained suffix of what precedes it; a text
+begins with one start symbol, which contexts may contain.
+
+The tree grows level by level. Documents are tokenised once and kept as numbered words in blocks. At each
+level a block sends its distinct (context, next word) counts to the range of the context's hash, where counts
+are added and the divergence is tested, and takes the answers up. A word leaves the search, its probability
+final, as soon as no longer context can be retained for it: too rare, or followed by one word only with
+so high a probability that no divergence can be left. Nothing of the tree passes through the driver but
+the numbers of tokens and words. Words are told apart by 64-bit hashes, then by exact numbers; contexts by
+64-bit hashes of those numbers. The parent's probability travels as a 32-bit float.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, unpack
 from lodestrata.llm.scratch import Scratch
-from lodestrata.llm.shingles import ordered_hash, text_words, word_hashes
+from lodestrata.llm.shingles import batch_words, mixed
 
-DEPTH = 2
-LEAST = 6  # training occurrences that a context needs for the divergence test
+DEPTH = 5  # words of the longest context
+LEAST = 2  # training occurrences that a context needs
 DIVERGENCE = 0.05  # nats
 END = np.uint64(0x9D5C3A1B7F2E4C61)
-START = np.uint64(0xFFFFFFFFFFFFFFFF)  # sorts last
-ASK = "level int, rng int, blk int, ctx binary, lens binary, sym binary, counts binary, par binary"
-ANSWER = "level int, rng int, blk int, counts binary, ctx_n binary, ctx_t binary, stats array<long>"
-KEYS = ["level", "rng", "blk"]
+START = np.uint64(0xFFFFFFFFFFFFFFFF)
+STATE = "blk int, ids binary, nulls binary, held binary, sizes binary, known binary, base binary, score binary, words binary, names binary, counts binary, open binary, p binary"
+ASK = "rng int, blk int, ctx binary, lens binary, sym binary, counts binary, par binary"
+ANSWER = "rng int, blk int, counts binary, ctx_n binary, marks binary, names binary, tokens long, kinds long, top long"
+RETAINED, CLOSED = 1, 2
 
 
-class Block:
-    """The tokens of one block's documents, in order of id; each document ends with END."""
-
-    def __init__(self, table: pa.Table, train_of):
-        order = np.argsort(table.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        self.ids = table.column("doc_id")
-        hashes, sizes = [], []
-        for text in table.column("text").to_pylist():
-            h = word_hashes(text_words(text)) if text else np.zeros(0, np.uint64)
-            hashes += [h, np.array([END])]
-            sizes.append(len(h) + 1)
-        self.sizes = np.array(sizes, np.int64)
-        self.sym = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.train = train_of(self.ids)[self.doc]
-        first = np.r_[True, self.doc[1:] != self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
-        self.first = first
+def _names(schema: str) -> list[str]:
+    return [k.split()[0] for k in schema.split(", ")]
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_names(schema))
+    return pa.table({n: pa.array(c, kinds[k.split()[1]]) for n, c, k in zip(_names(schema), columns, schema.split(", "), strict=True)})
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned integers of 32 bits byte by byte: the upper bytes are nearly all zero and compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them all, compressed."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return np.dtype(kind).char.encode() + pack(x.astype(kind))
+
+
+def _from_small(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.dtype(data[:1].decode())).astype(np.int64)
+
+
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them."""
+    place, known = pd.factorize(x)
+    order = np.argsort(known)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return known[order], rank[place]
 
 
 class Grams:
-    """Distinct (context, word) pairs of the eligible tokens of a block at one level, sorted.
+    """Distinct (context, next word) pairs of the open words of a block at one level, in order of the context's hash."""
 
-    Words are numbered by their hash. A context of one word has that word's number; one of two words has the
-    number of its own pair at the level below. So a pair is one integer, and a level costs one sort.
-    """
+    def __init__(self, words: np.ndarray, names: np.ndarray, starts: np.ndarray, at: np.ndarray, level: int):
+        own = mixed(np.r_[names, START] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))  # by word, START last
+        h = np.full(len(at), level, np.uint64)
+        for back in range(1, level + 1):
+            place = at - back
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[np.where(place < starts, len(names), words[np.maximum(place, 0)])])
+        self.ctx, where = _ranked(h)
+        many = np.int64(len(names))
+        pairs, self.place = _ranked(where * many + words[at])
+        self.pair_ctx, self.word = pairs // many, pairs % many
+        self.lens = np.bincount(self.pair_ctx, minlength=len(self.ctx))
 
-    def __init__(self, block: Block, level: int, eligible: np.ndarray, below: Grams | None = None):
-        self.level = level
-        self.at = np.flatnonzero(eligible)
-        if level == 0:
-            self.sym, self.place = np.unique(block.sym, return_inverse=True)
-            self.ctx = self.first = self.sym
-            self.pair_ctx = np.arange(len(self.sym))
-            self.words, self.word = self.sym, self.place
-        else:
-            self.words, self.word = below.words, below.word
-            many = len(self.words)
-            if level == 1:
-                before = np.where(block.first[self.at], many, self.word[self.at - 1])
-            else:
-                own = np.full(len(block.sym), -1)
-                own[below.at] = below.place
-                before = own[self.at - 1]
-            pairs, self.place = np.unique(before * np.int64(many + 1) + self.word[self.at], return_inverse=True)
-            before, word = pairs // (many + 1), pairs % (many + 1)
-            self.sym = self.words[word]
-            head = np.r_[True, before[1:] != before[:-1]] if len(pairs) else np.zeros(0, bool)
-            self.pair_ctx = np.cumsum(head) - 1
-            inner = before[head]
-            if level == 1:
-                self.first = self.ctx = np.r_[self.words, START][inner]
-            else:
-                self.first = below.first[below.pair_ctx[inner]]
-                self.ctx = ordered_hash([self.first, below.sym[inner]])
-        self.counts = np.bincount(self.place, block.train[self.at], len(self.sym)).astype(np.uint32)
-
-    def ask(self, blk: int, bits: int, parent: np.ndarray | None) -> dict[str, list]:
-        """The questions for each range."""
-        out: dict[str, list] = {k.split()[0]: [] for k in ASK.split(", ")}
-        lens = np.bincount(self.pair_ctx, minlength=len(self.ctx)).astype(np.uint32)
-        coarse = None
-        if parent is not None:
-            value = np.zeros(len(self.sym))
-            value[self.place] = parent[self.at]
-            coarse = np.clip(np.round(-8 * np.log2(np.maximum(value, 1e-300))), 0, 255).astype(np.uint8)
-        edges = cut(self.first, bits)  # by the first word of a context, in whose order the pairs are
-        pairs = np.r_[0, np.cumsum(lens)][edges]
+
+class Block:
+    """What is kept of one block: its documents, its words by number, and the words still open with their probabilities."""
+
+    def __init__(self, row: dict):
+        self.blk = row["blk"]
+        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        self.nulls, self.held = np.frombuffer(row["nulls"], bool), np.frombuffer(row["held"], bool)
+        self.words, self.counts = _from_planes(row["words"]), np.frombuffer(row["counts"], np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.row = row
+
+    def open(self) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.unpackbits(np.frombuffer(self.row["open"], np.uint8), count=len(self.words))
+        return np.flatnonzero(bits), np.frombuffer(self.row["p"], np.float32).astype(np.float64)
+
+    def grams(self, at: np.ndarray, level: int) -> Grams:
+        return Grams(self.words, np.frombuffer(self.row["names"], np.uint64), self.first[at], at, level)
+
+
+def _tokenised(table: pa.Table, train_of) -> pa.Table:
+    """The state of a block before anything is asked: names are word hashes, counts those of its own training words."""
+    ids = table.column("doc_id").combine_chunks()
+    order = pa.array(np.argsort(ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), kind="stable"))
+    table, ids = table.take(order), ids.take(order)
+    hashes, sizes = batch_words(table.column("text"))
+    sym = np.full(len(hashes) + len(sizes), END)
+    sym[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes)] = hashes
+    sizes = sizes + 1
+    train = train_of(ids)
+    names, words = _ranked(sym)
+    own = np.bincount(words, np.repeat(train, sizes), len(names)).astype(np.int64)
+    row = (
+        table.column("blk")[0].as_py(), raw(ids.fill_null(0).to_numpy(zero_copy_only=False)), raw(ids.is_null().to_numpy(zero_copy_only=False)), raw(~train), raw(sizes.astype(np.int64)),
+        b"", b"", b"", _planes(words), raw(names), raw(own), b"", b"",
+    )
+    return _table(STATE, [row])
+
+
+def _asked(block: Block, level: int, bits: int) -> list[tuple]:
+    """The questions of a block for each range."""
+    out = []
+    if level == 0:
+        names = np.frombuffer(block.row["names"], np.uint64)
+        edges = cut(names, bits)
         for r in range(len(edges) - 1):
-            c, p = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
-            if edges[r] == edges[r + 1]:
-                continue
-            row = (self.level, r, blk, raw(self.ctx[c]), pack(lens[c]), raw((self.sym[p] >> np.uint64(32)).astype(np.uint32)) if self.level else b"", pack(self.counts[p]), pack(coarse[p]) if coarse is not None else b"")
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
+            c = slice(edges[r], edges[r + 1])
+            if edges[r] < edges[r + 1]:
+                out.append((r, block.blk, raw(names[c]), b"", b"", _small(block.counts[c]), b""))
         return out
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """One range of one level: add what the blocks counted, test contexts, answer each block."""
-    level = table.column("level")[0].as_py()
+    at, p = block.open()
+    if not len(at):
+        return out
+    grams = block.grams(at, level)
+    names = np.frombuffer(block.row["names"], np.uint64)
+    wide = np.dtype("<u4") if names.max(initial=np.uint64(0)) < (1 << 32) else np.dtype("<u8")
+    sym = names[grams.word].astype(wide)
+    counts = np.bincount(grams.place, ~block.held[block.doc[at]], len(sym)).astype(np.int64)
+    par = np.zeros(len(sym), np.float32)
+    par[grams.place] = p
+    edges = cut(grams.ctx, bits)
+    pairs = np.r_[0, np.cumsum(grams.lens)][edges]
+    for r in range(len(edges) - 1):
+        c, q = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
+        if edges[r] < edges[r + 1]:
+            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), wide.char.encode() + raw(sym[q]), _small(counts[q]), raw(par[q])))
+    return out
+
+
+def divergence(p_new: np.ndarray, p_old: np.ndarray) -> np.ndarray:
+    return p_new * np.log(np.maximum(p_new, 1e-300) / np.maximum(p_old, 1e-300))
+
+
+def _tested(total, own, parent, many: int, least: int, nats: float):
+    """For each context its occurrences, and whether it is retained or closed. ``own``: the context of each pair."""
+    n, t = np.bincount(own, total, many), np.bincount(own, total > 0, many)
+    seen = total > 0
+    after = (total + t[own] * parent) / np.maximum(n + t, 1)[own]
+    gain = np.bincount(own[seen], divergence(after, parent)[seen], many)
+    rest = np.maximum(1 - np.bincount(own[seen], parent[seen], many), 0)
+    share = t / np.maximum(n + t, 1)  # what is left for unseen words is this part of the parent's rest
+    gain += share * rest * np.log(np.maximum(share, 1e-300))
+    retained = (n >= least) & (gain >= nats)
+    # A context with one next word has only such extensions, none more frequent. The divergence that they could have:
+    only = np.bincount(own[seen], np.where(retained[own], after, parent)[seen], many)
+    sure = (n + only) / (n + 1)
+    most = divergence(sure, only) + divergence(1 - sure, 1 - only)
+    closed = (n < least) | ((t == 1) & (most < nats))
+    return n.astype(np.int64), t.astype(np.int64), retained, closed
+
+
+def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -> pa.Table:
+    """One range of one level: add what the blocks counted, test contexts, answer each block in the order asked."""
     rows = table.to_pylist()
     ctxs = [np.frombuffer(r["ctx"], np.uint64) for r in rows]
-    lens = [unpack(r["lens"], np.uint32) for r in rows]
-    counts = [unpack(r["counts"], np.uint32) for r in rows]
-    known, place = np.unique(np.concatenate(ctxs), return_inverse=True)
-    out = {"level": [], "rng": [], "blk": [], "counts": [], "ctx_n": [], "ctx_t": [], "stats": []}
+    counts = [_from_small(r["counts"]) for r in rows]
+    known, place = _ranked(np.concatenate(ctxs))
+    out, at_pair, at_ctx = [], 0, 0
     if level == 0:
-        total = np.bincount(place, np.concatenate(counts), len(known))
-        per_pair, n, t = total[place], None, None
-        stats = [int(total.sum()), int((total > 0).sum())]
-    else:
-        pair_ctx = np.repeat(place, np.concatenate(lens))
-        sym = np.concatenate([np.frombuffer(r["sym"], np.uint32) for r in rows])
-        order = np.lexsort((sym, pair_ctx))
-        new = np.r_[True, (pair_ctx[order][1:] != pair_ctx[order][:-1]) | (sym[order][1:] != sym[order][:-1])]
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        total = np.bincount(of, np.concatenate(counts))
-        own = pair_ctx[order][new]
-        parent = np.zeros(len(total))
-        parent[of] = np.exp2(unpackall(rows, "par") / -8.0)
-        n = np.bincount(own, total, len(known))
-        t = np.bincount(own, total > 0, len(known))
-        seen = total > 0
-        after = (total + t[own] * parent) / np.maximum(n + t, 1)[own]
-        gain = np.bincount(own[seen], (after * np.log(np.maximum(after, 1e-300) / parent))[seen], len(known))
-        rest = np.maximum(1 - np.bincount(own[seen], parent[seen], len(known)), 0)
-        share = t / np.maximum(n + t, 1)
-        gain += share * rest * np.log(np.maximum(share, 1e-300))
-        dropped = (n < LEAST) | (gain < DIVERGENCE)
-        n, t = np.where(dropped, 0, n), np.where(dropped, 0, t)
-        # counts go back in full: they tell which longer contexts may be asked for
-        per_pair, stats = total[of], []
-    at_pair = at_ctx = 0
+        total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.int64)
+        rng = np.uint64(rows[0]["rng"])
+        names = np.arange(len(known), dtype=np.uint64) * np.uint64(1 << bits) + rng  # exact numbers, dealt in turn among ranges
+        stats = (int(total.sum()), int((total > 0).sum()), int(names.max(initial=np.uint64(0))))
+        for k, r in enumerate(rows):
+            mine = place[at_ctx : at_ctx + len(ctxs[k])]
+            out.append((r["rng"], r["blk"], _small(total[mine]), b"", b"", raw(names[mine]), *(stats if k == 0 else (0, 0, 0))))
+            at_ctx += len(ctxs[k])
+        return _table(ANSWER, out)
+    lens = [_from_small(r["lens"]) for r in rows]
+    pair_ctx = np.repeat(place, np.concatenate(lens))
+    sym = np.concatenate([np.frombuffer(r["sym"][1:], np.dtype(r["sym"][:1].decode())).astype(np.uint64) for r in rows])
+    named, number = _ranked(sym)
+    pairs, of = _ranked(pair_ctx * np.int64(len(named)) + number)
+    total = np.bincount(of, np.concatenate(counts), len(pairs))
+    own = pairs // len(named)
+    parent = np.zeros(len(pairs))
+    parent[of] = np.concatenate([np.frombuffer(r["par"], np.float32) for r in rows])
+    n, t, retained, closed = _tested(total, own, parent, len(known), least, nats)
+    marks = (retained * RETAINED + closed * CLOSED).astype(np.uint8)
+    total = total.astype(np.int64)
     for k, r in enumerate(rows):
-        out["level"].append(level)
-        out["rng"].append(r["rng"])
-        out["blk"].append(r["blk"])
-        out["counts"].append(pack(per_pair[at_pair : at_pair + len(counts[k])].astype(np.uint32)))
         mine = place[at_ctx : at_ctx + len(ctxs[k])]
-        out["ctx_n"].append(pack(n[mine].astype(np.uint32)) if level else b"")
-        out["ctx_t"].append(pack(t[mine].astype(np.uint32)) if level else b"")
-        out["stats"].append(stats if k == 0 else [])
+        out.append((r["rng"], r["blk"], _small(total[of[at_pair : at_pair + len(counts[k])]]), _small(n[mine]), pack(marks[mine]), _small(t[mine]), 0, 0, 0))
         at_pair += len(counts[k])
         at_ctx += len(ctxs[k])
-    kinds = {"counts": pa.binary(), "ctx_n": pa.binary(), "ctx_t": pa.binary(), "stats": pa.list_(pa.int64())}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.int32())) for k, v in out.items()})
-
-
-def unpackall(rows: list[dict], name: str) -> np.ndarray:
-    return np.concatenate([unpack(r[name], np.uint8) for r in rows]).astype(np.float64)
-
-
-def _states(block: Block, answers: pa.Table, upto: int, totals: tuple[int, int]):
-    """Probability of each token at level ``upto``, its unigram count, and which tokens level upto + 1 may ask for."""
-    rows = sorted(answers.select(["level", "rng", "counts", "ctx_n", "ctx_t"]).to_pylist(), key=lambda r: (r["level"], r["rng"]))
-    eligible = np.ones(len(block.sym), bool)
-    p = c = grams = None
-    for level in range(upto + 1):
-        grams = Grams(block, level, eligible, grams)
-        own = [r for r in rows if r["level"] == level]
-        got = np.concatenate([unpack(r["counts"], np.uint32) for r in own] or [np.zeros(0)]).astype(np.float64)
-        count = np.zeros(len(block.sym))
-        count[grams.at] = got[grams.place]
-        if level == 0:
-            n_all, v_all = totals
-            c = count
-            p = (count + 0.5) / (n_all + 0.5 * (v_all + 1))
-            enough = np.r_[0.0, count[:-1]] >= LEAST
-            eligible = np.where(block.first, True, enough) if len(enough) else eligible
-        else:
-            n = np.concatenate([unpack(r["ctx_n"], np.uint32) for r in own] or [np.zeros(0)]).astype(np.float64)
-            t = np.concatenate([unpack(r["ctx_t"], np.uint32) for r in own] or [np.zeros(0)]).astype(np.float64)
-            which = grams.pair_ctx[grams.place]
-            kept = n[which] > 0
-            at = grams.at[kept]
-            p[at] = (count[at] + t[which][kept] * p[at]) / (n[which][kept] + t[which][kept])
-            eligible = np.r_[False, (count[:-1] >= LEAST) & eligible[:-1]] & ~block.first if len(count) else eligible
-    return p, c, eligible, grams
-
-
-def score_documents(docs: DataFrame, scratch: Scratch, held_out, base_columns: bool = True) -> DataFrame:
+    return _table(ANSWER, out)
+
+
+def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, int], depth: int, least: int) -> tuple:
+    """The state of a block after a level's answers."""
+    got = sorted(answers.to_pylist(), key=lambda r: r["rng"])
+    joined = lambda name, f: np.concatenate([f(r[name]) for r in got] or [np.zeros(0, np.int64)])
+    row = dict(block.row)
+    many = len(block.words)
+    n_all, v_all = totals
+    if level == 0:
+        count, names = joined("counts", _from_small), joined("names", lambda x: np.frombuffer(x, np.uint64)).astype(np.uint64)
+        row |= {"counts": raw(count), "names": raw(names)}
+        at, docs = np.arange(many), len(block.sizes)
+        p = ((count + 0.5) / (n_all + 0.5 * (v_all + 1)))[block.words]
+        row["base"] = raw(np.bincount(block.doc, np.log10(p), docs))
+        row["known"] = raw(np.bincount(block.doc, count[block.words] > 0, docs).astype(np.int64))
+        score = np.zeros(docs)
+        n_before = np.r_[0, count[block.words[:-1]]] if many else np.zeros(0, np.int64)
+        going = (at == block.first) | (n_before >= least)
+    else:
+        at, p = block.open()
+        score = np.frombuffer(row["score"]).copy()
+        going = np.zeros(0, bool)
+        if len(at):
+            grams = block.grams(at, level)
+            count, n, t = joined("counts", _from_small), joined("ctx_n", _from_small), joined("names", _from_small)
+            marks = joined("marks", lambda x: unpack(x, np.uint8))
+            ctx = grams.pair_ctx[grams.place]
+            kept = (marks[ctx] & RETAINED) > 0
+            own = count[grams.place]
+            p = np.where(kept, (own + t[ctx] * p) / np.maximum(n[ctx] + t[ctx], 1), p)
+            # The next context ends in the word before, so it occurs as often as that word after its own context.
+            before = np.full(many + 1, np.iinfo(np.int64).max)
+            before[at] = own
+            going = ((marks[ctx] & CLOSED) == 0) & (before[at - 1] >= least) & (at - level >= block.first[at])
+    if level == depth:
+        going = np.zeros(len(at), bool)
+    done = at[~going]
+    score = score + np.bincount(block.doc[done], np.log10(p[~going]), len(block.sizes))
+    bits = np.zeros(many, bool)
+    bits[at[going]] = True
+    row |= {"score": raw(score), "open": raw(np.packbits(bits)), "p": raw(p[going].astype(np.float32))}
+    return tuple(row[k] for k in _names(STATE))
+
+
+def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DEPTH, least: int = LEAST, nats: float = DIVERGENCE) -> DataFrame:
     """Score all ``docs`` (doc_id, text), learning from those for which ``held_out(ids)`` is false.
 
     ``held_out`` maps an Arrow column of ids to a Boolean numpy array. Returns doc_id, held_out, n_tokens,
-    n_known, train_tokens, base_score and score for each row. A null or empty text is one END; repeated
-    rows are scored (and learned) each; a null id counts as one more id; an empty table gives an empty table.
+    n_known, train_tokens, base_score and score for each row. A null or empty text is one END; a very long one
+    is taken whole, in one block; repeated rows are scored (and learned) each; a null id counts as one more id;
+    an empty table gives an empty table; other columns are ignored, whatever their names.
     """
     count = block_count(docs)
     bits = range_bits(count)
-    parts = in_blocks(docs, count)
     train_of = lambda ids: ~held_out(ids)
-    answers = None
-    totals = (0, 0)
-
-    def asker(level, totals):
-        def first(table):
-            block = Block(table, train_of)
-            return pa.table(_typed(Grams(block, 0, np.ones(len(block.sym), bool)).ask(table.column("blk")[0].as_py(), bits, None)))
-
-        def later(table, got):
-            if not table.num_rows:
-                return pa.table(_typed({k.split()[0]: [] for k in ASK.split(", ")}))
-            block = Block(table, train_of)
-            p, _, eligible, below = _states(block, got, level - 1, totals)
-            return pa.table(_typed(Grams(block, level, eligible, below).ask(table.column("blk")[0].as_py(), bits, p)))
-
-        return later if level else first
-
-    for level in range(DEPTH + 1):
-        run = asker(level, totals)
-        if level:
-            asked = parts.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, ASK)
-        else:
-            asked = parts.groupBy("blk").applyInArrow(run, ASK)
-        got = scratch.keep(asked.groupBy("level", "rng").applyInArrow(_answer, ANSWER), f"answers{level}")
+
+    def asked(state: DataFrame, level: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from _table(ASK, _asked(Block(row), level, bits)).to_batches()
+
+        return state.mapInArrow(run, ASK)
+
+    def answer(level: int):
+        return lambda table: _answered(table, level, bits, least, nats)
+
+    def taker(level: int, totals):
+        def run(table, got):
+            return _table(STATE, [_taken_up(Block(row), got, level, totals, depth, least) for row in table.to_pylist()])
+
+        return run
+
+    state = scratch.keep(in_blocks(docs, count).groupBy("blk").applyInArrow(lambda table: _tokenised(table, train_of), STATE), "tokens")
+    old, totals = "tokens", (0, 0)
+    for level in range(depth + 1):
+        answers = scratch.keep(asked(state, level).groupBy("rng").applyInArrow(answer(level), ANSWER), f"answers{level}")
         if not level:
-            sums = got.select(F.sum(F.get("stats", F.lit(0))).alias("n"), F.sum(F.get("stats", F.lit(1))).alias("v")).first()
+            sums = answers.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
             totals = (sums.n or 0, sums.v or 0)
-        answers = got if answers is None else answers.unionByName(got)
+        elif not answers.limit(1).count():
+            break  # no word is open: all scores are final
+        state = scratch.keep(state.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(taker(level, totals), STATE), f"state{level}")
+        scratch.drop(old)
+        scratch.drop(f"answers{level}")
+        old = f"state{level}"
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def finish(table, got):
-        names = [k.split()[0] for k in schema.split(", ")]
-        if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        block = Block(table, train_of)
-        p, c, _, _ = _states(block, got, DEPTH, totals)
-        n_docs = len(block.sizes)
-        base = np.log10((c + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))
-        columns = [block.ids.combine_chunks(), pa.array(held_out(block.ids)), pa.array(block.sizes), pa.array(np.bincount(block.doc, c > 0, n_docs).astype(np.int64)), pa.array(np.full(n_docs, totals[0], np.int64)), pa.array(np.bincount(block.doc, base, n_docs)), pa.array(np.bincount(block.doc, np.log10(p), n_docs))]
-        return pa.table(dict(zip(names, columns, strict=True)))
-
-    return parts.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(finish, schema)
-
+    def finish(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=np.frombuffer(r["nulls"], bool))
+                n = np.frombuffer(r["sizes"], np.int64)
+                columns = [ids, pa.array(np.frombuffer(r["held"], bool)), pa.array(n), pa.array(np.frombuffer(r["known"], np.int64)), pa.array(np.full(len(n), totals[0], np.int64)), pa.array(np.frombuffer(r["base"])), pa.array(np.frombuffer(r["score"]))]
+                yield pa.RecordBatch.from_arrays(columns, names=_names(schema))
 
-def _typed(columns: dict[str, list]) -> dict[str, pa.Array]:
-    return {k: pa.array(v, pa.int32() if k in KEYS else pa.binary()) for k, v in columns.items()}
+    final = state.select("ids", "nulls", "held", "sizes", "known", "base", "score")
+    return final.mapInArrow(finish, schema)

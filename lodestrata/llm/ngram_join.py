@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import connected_components
 from lodestrata.llm.scratch import Scratch
-from lodestrata.llm.shingles import mixed, shingle_set
+from lodestrata.llm.shingles import mixed, shingle_sets
 
 PERCENT = 80
 SKETCH_BITS = 22  # the sketch is one byte a counter: 4 MB at most, whatever the corpus
@@ -66,8 +66,7 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         names = ["doc_id", "n", "fp", "chunk", "part"]
         for batch in batches:
             sizes, prints, seen = [], [], [np.zeros(0, np.uint64)]
-            for text in batch.column(1).to_pylist():
-                h = shingle_set(text)
+            for h in shingle_sets(batch.column(1)):
                 sizes.append(len(h))
                 prints.append(fingerprint(h))
                 seen.append(h >> np.uint64(64 - bits))
@@ -111,8 +110,7 @@ def prefixes(docs: DataFrame, ranks) -> DataFrame:
         seen = set()
         for batch in batches:
             tokens, prints, sizes, places = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                h = shingle_set(text)
+            for h in shingle_sets(batch.column(0)):
                 fp = fingerprint(h)
                 if fp in seen or not len(h):
                     continue
@@ -355,7 +353,7 @@ def _sets(docs: DataFrame, holders: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1))
             prints = pa.array([fingerprint(h) for h in sets], pa.int64())
             yield _batch(["fp", "want", "h"], prints, batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()))
 

@@ -190,6 +190,60 @@ def test_lm_scores(spark, small_blocks):
     assert lm_scoring.score_documents(spark.createDataFrame([], SCHEMA), Scratch(spark, "lm"), fifth()).count() == 0
 
 
+def plain_tree(tokens, train, depth, least, nats):
+    """log10 probability of each token sequence under the suffix tree, from dictionaries of whole contexts."""
+    follows = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for ws, learn in zip(tokens, train, strict=True):
+        seq = [None, *ws]
+        for i in range(1, len(seq)):
+            for d in range(min(depth, i) + 1):
+                if learn:
+                    follows[d][tuple(seq[i - d : i])][seq[i]] += 1
+    root = follows[0][()]
+    total, kinds = sum(root.values()), len(root)
+    memo = {}
+
+    def retained(ctx):
+        if ctx not in memo:
+            seen = follows[len(ctx)].get(ctx, {})
+            n, t = sum(seen.values()), len(seen)
+            if n < least:
+                memo[ctx] = None
+            else:
+                old = {w: p(w, ctx[1:]) for w in seen}
+                new = {w: (seen[w] + t * old[w]) / (n + t) for w in seen}
+                share = t / (n + t)
+                gain = sum(new[w] * math.log(new[w] / old[w]) for w in seen) + share * max(1 - sum(old.values()), 0) * math.log(share)
+                memo[ctx] = (n, t) if gain >= nats else None
+        return memo[ctx]
+
+    def p(w, ctx):
+        if not ctx:
+            return (root[w] + 0.5) / (total + 0.5 * (kinds + 1))
+        below = p(w, ctx[1:])
+        state = retained(ctx)
+        return (follows[len(ctx)][ctx][w] + state[1] * below) / sum(state) if state else below
+
+    return [sum(math.log10(p(w, tuple([None, *ws][max(0, i + 1 - depth) : i + 1]))) for i, w in enumerate(ws)) for ws in tokens]
+
+
+@pytest.mark.parametrize(("depth", "least"), [(0, 2), (1, 2), (2, 6), (4, 2), (7, 3)])
+def test_lm_scores_equal_a_plain_tree(spark, small_blocks, depth, least):
+    rng = random.Random(depth)
+    rows = corpus(n=150) + [(None, "a b a c a b a d " * 30, "en", "s"), (900, "a b a c x " * 20, "en", "s")]
+    rows += [(1000 + k, " ".join(rng.choice(("a b c", "a b d", "x a b c e")) for _ in range(20)), "en", "s") for k in range(40)]
+    got = collections.defaultdict(list)
+    for r in lm_scoring.score_documents(clash(spark.createDataFrame(rows, SCHEMA)), Scratch(spark, "lm"), fifth(), depth=depth, least=least).collect():
+        got[r.doc_id].append(r.score)
+    tokens = [[*words(t), "\0end"] for _, t, _, _ in rows]
+    want = collections.defaultdict(list)
+    for r, x in zip(rows, plain_tree(tokens, [zlib.crc32(str(r[0]).encode()) % 5 != 1 for r in rows], depth, least, lm_scoring.DIVERGENCE), strict=True):
+        want[r[0]].append(x)
+    assert set(got) == set(want)
+    for k, x in want.items():
+        assert sorted(got[k]) == pytest.approx(sorted(x), rel=1e-6)
+
+
 def test_lm_states_are_distributions(spark):
     """Next-word probabilities after a frequent context sum to one over the words and one unknown."""
     text = "a b a c a b a d " * 40

@@ -18,10 +18,10 @@ BLOCK_CHARS = 12_000_000
 BLOCK_ROWS = 4096
 
 
-def block_count(docs: DataFrame) -> int:
-    """Blocks for about ``BLOCK_CHARS`` bytes or ``BLOCK_ROWS`` rows each, whichever are more."""
+def block_count(docs: DataFrame, chars: int | None = None) -> int:
+    """Blocks for about ``chars`` (``BLOCK_CHARS``) bytes or ``BLOCK_ROWS`` rows each, whichever are more."""
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    return 1 + max((total or 0) // BLOCK_CHARS, rows // BLOCK_ROWS)
+    return 1 + max((total or 0) // min(chars or BLOCK_CHARS, BLOCK_CHARS), rows // BLOCK_ROWS)
 
 
 def in_blocks(docs: DataFrame, count: int) -> DataFrame:

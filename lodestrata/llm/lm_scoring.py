@@ -19,7 +19,6 @@ the numbers of tokens and words. Words are told apart by 64-bit hashes, then by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +27,13 @@ from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits,
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import batch_words, mixed
 
-DEPTH = 5  # words of the longest context
+DEPTH = 4  # words of the longest context
 LEAST = 2  # training occurrences that a context needs
 DIVERGENCE = 0.05  # nats
+CHARS = 6_000_000  # bytes of text of a block
 END = np.uint64(0x9D5C3A1B7F2E4C61)
 START = np.uint64(0xFFFFFFFFFFFFFFFF)
-STATE = "blk int, ids binary, nulls binary, held binary, sizes binary, known binary, base binary, score binary, words binary, names binary, counts binary, open binary, p binary"
+STATE = "blk int, ids binary, nulls binary, held binary, sizes binary, kept_sizes binary, known binary, base binary, score binary, words binary, names binary, counts binary, open binary, p binary"
 ASK = "rng int, blk int, ctx binary, lens binary, sym binary, counts binary, par binary"
 ANSWER = "rng int, blk int, counts binary, ctx_n binary, marks binary, names binary, tokens long, kinds long, top long"
 RETAINED, CLOSED = 1, 2
@@ -58,6 +58,16 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _wide(x: np.ndarray) -> bytes:
+    """Numbers of words: 32 bits if all fit, else 64."""
+    kind = np.dtype("<u4") if int(x.max(initial=0)) < (1 << 32) else np.dtype("<u8")
+    return kind.char.encode() + raw(x.astype(kind))
+
+
+def _from_wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], np.dtype(data[:1].decode())).astype(np.uint64)
+
+
 def _small(x: np.ndarray) -> bytes:
     """Counts in the narrowest unsigned type that holds them all, compressed."""
     kind = np.min_scalar_type(int(x.max(initial=0)))
@@ -68,29 +78,61 @@ def _from_small(data: bytes) -> np.ndarray:
     return unpack(data[1:], np.dtype(data[:1].decode())).astype(np.int64)
 
 
+def _sorted_order(x: np.ndarray) -> np.ndarray:
+    """An order that sorts unsigned values: their leading bits are sorted with the places packed behind them."""
+    n = len(x)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    room = np.uint64(64) - bits
+    drop = np.uint64(max(0, int(x.max(initial=0)).bit_length() - int(room)))
+    packed = ((x >> drop) << bits) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    if drop:  # values that differ in the bits left out: the few runs that are not in order yet
+        head, y = packed >> bits, x[order]
+        done = -1
+        for k in np.flatnonzero(y[1:] < y[:-1]).tolist():
+            if k > done:
+                lo, done = np.searchsorted(head, head[k]), np.searchsorted(head, head[k], "right")
+                order[lo:done] = order[lo:done][np.argsort(y[lo:done], kind="stable")]
+    return order
+
+
 def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and the place of each value among them."""
-    place, known = pd.factorize(x)
-    order = np.argsort(known)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return known[order], rank[place]
+    x = x.astype(np.uint64, copy=False)
+    order = _sorted_order(x)
+    y = x[order]
+    new = np.ones(len(y), bool)
+    new[1:] = y[1:] != y[:-1]
+    place = np.empty(len(y), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return y[new], place
 
 
 class Grams:
     """Distinct (context, next word) pairs of the open words of a block at one level, in order of the context's hash."""
 
     def __init__(self, words: np.ndarray, names: np.ndarray, starts: np.ndarray, at: np.ndarray, level: int):
-        own = mixed(np.r_[names, START] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))  # by word, START last
-        h = np.full(len(at), level, np.uint64)
-        for back in range(1, level + 1):
-            place = at - back
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[np.where(place < starts, len(names), words[np.maximum(place, 0)])])
-        self.ctx, where = _ranked(h)
+        own = mixed(np.r_[names.astype(np.uint64), START] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))  # by word, START last
+        before = lambda back: np.where(at - back < starts, len(names), words[np.maximum(at - back, 0)])
+        if level == 1:  # contexts are words, so only these are put in order
+            order = np.argsort(own)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            known, where = own[order], rank[before(1)]
+        else:
+            h = np.full(len(at), level, np.uint64)
+            for back in range(1, level + 1):
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[before(back)])
+            known, where = _ranked(h)
         many = np.int64(len(names))
         pairs, self.place = _ranked(where * many + words[at])
-        self.pair_ctx, self.word = pairs // many, pairs % many
-        self.lens = np.bincount(self.pair_ctx, minlength=len(self.ctx))
+        pairs = pairs.astype(np.int64)
+        pair_ctx, self.word = pairs // many, pairs % many
+        lens = np.bincount(pair_ctx, minlength=len(known))
+        used = lens > 0
+        self.ctx, self.lens = known[used], lens[used]
+        self.pair_ctx = (np.cumsum(used) - 1)[pair_ctx]
 
 
 class Block:
@@ -98,19 +140,27 @@ class Block:
 
     def __init__(self, row: dict):
         self.blk = row["blk"]
-        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-        self.nulls, self.held = np.frombuffer(row["nulls"], bool), np.frombuffer(row["held"], bool)
-        self.words, self.counts = _from_planes(row["words"]), np.frombuffer(row["counts"], np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.held, self.sizes = np.frombuffer(row["held"], bool), np.frombuffer(row["kept_sizes"], np.int64)
+        self.words = _from_planes(row["words"])
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.first = np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         self.row = row
 
-    def open(self) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.unpackbits(np.frombuffer(self.row["open"], np.uint8), count=len(self.words))
-        return np.flatnonzero(bits), np.frombuffer(self.row["p"], np.float32).astype(np.float64)
+    def counts(self) -> np.ndarray:
+        return _from_small(self.row["counts"])
+
+    def names(self) -> np.ndarray:
+        return _from_wide(self.row["names"])
+
+    def open(self, roots) -> tuple[np.ndarray, np.ndarray]:
+        """The open words and their probabilities; before level 1 ``roots(counts)`` of each word."""
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.row["open"], np.uint8), count=len(self.words)))
+        if self.row["counts"]:
+            return at, roots(self.counts())[self.words[at]]
+        return at, np.frombuffer(self.row["p"], np.float32).astype(np.float64)
 
     def grams(self, at: np.ndarray, level: int) -> Grams:
-        return Grams(self.words, np.frombuffer(self.row["names"], np.uint64), self.first[at], at, level)
+        return Grams(self.words, self.names(), self.first[at], at, level)
 
 
 def _tokenised(table: pa.Table, train_of) -> pa.Table:
@@ -127,29 +177,32 @@ def _tokenised(table: pa.Table, train_of) -> pa.Table:
     own = np.bincount(words, np.repeat(train, sizes), len(names)).astype(np.int64)
     row = (
         table.column("blk")[0].as_py(), raw(ids.fill_null(0).to_numpy(zero_copy_only=False)), raw(ids.is_null().to_numpy(zero_copy_only=False)), raw(~train), raw(sizes.astype(np.int64)),
-        b"", b"", b"", _planes(words), raw(names), raw(own), b"", b"",
+        raw(sizes.astype(np.int64)), b"", b"", b"", _planes(words), _wide(names), _small(own), b"", b"",
     )
     return _table(STATE, [row])
 
 
-def _asked(block: Block, level: int, bits: int) -> list[tuple]:
+def _roots(totals: tuple[int, int]):
+    """Add-a-half unigram probabilities by count, in 32 bits like all that travel."""
+    return lambda count: ((count + 0.5) / (totals[0] + 0.5 * (totals[1] + 1))).astype(np.float32).astype(np.float64)
+
+
+def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list[tuple]:
     """The questions of a block for each range."""
     out = []
     if level == 0:
-        names = np.frombuffer(block.row["names"], np.uint64)
+        names, counts = block.names(), block.counts()
         edges = cut(names, bits)
         for r in range(len(edges) - 1):
             c = slice(edges[r], edges[r + 1])
             if edges[r] < edges[r + 1]:
-                out.append((r, block.blk, raw(names[c]), b"", b"", _small(block.counts[c]), b""))
+                out.append((r, block.blk, raw(names[c]), b"", b"", _small(counts[c]), b""))
         return out
-    at, p = block.open()
+    at, p = block.open(_roots(totals))
     if not len(at):
         return out
     grams = block.grams(at, level)
-    names = np.frombuffer(block.row["names"], np.uint64)
-    wide = np.dtype("<u4") if names.max(initial=np.uint64(0)) < (1 << 32) else np.dtype("<u8")
-    sym = names[grams.word].astype(wide)
+    sym = block.names()[grams.word]
     counts = np.bincount(grams.place, ~block.held[block.doc[at]], len(sym)).astype(np.int64)
     par = np.zeros(len(sym), np.float32)
     par[grams.place] = p
@@ -158,7 +211,7 @@ def _asked(block: Block, level: int, bits: int) -> list[tuple]:
     for r in range(len(edges) - 1):
         c, q = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
         if edges[r] < edges[r + 1]:
-            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), wide.char.encode() + raw(sym[q]), _small(counts[q]), raw(par[q])))
+            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), raw(par[q])))
     return out
 
 
@@ -198,16 +251,19 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -
         stats = (int(total.sum()), int((total > 0).sum()), int(names.max(initial=np.uint64(0))))
         for k, r in enumerate(rows):
             mine = place[at_ctx : at_ctx + len(ctxs[k])]
-            out.append((r["rng"], r["blk"], _small(total[mine]), b"", b"", raw(names[mine]), *(stats if k == 0 else (0, 0, 0))))
+            out.append((r["rng"], r["blk"], _small(total[mine]), b"", b"", _wide(names[mine]), *(stats if k == 0 else (0, 0, 0))))
             at_ctx += len(ctxs[k])
         return _table(ANSWER, out)
     lens = [_from_small(r["lens"]) for r in rows]
     pair_ctx = np.repeat(place, np.concatenate(lens))
-    sym = np.concatenate([np.frombuffer(r["sym"][1:], np.dtype(r["sym"][:1].decode())).astype(np.uint64) for r in rows])
-    named, number = _ranked(sym)
-    pairs, of = _ranked(pair_ctx * np.int64(len(named)) + number)
+    sym = np.concatenate([_from_wide(r["sym"]) for r in rows])
+    many = np.uint64(int(sym.max(initial=0)) + 1)
+    if int(many) * len(known) >= 1 << 64:
+        named, sym = _ranked(sym)
+        sym, many = sym.astype(np.uint64), np.uint64(len(named))
+    pairs, of = _ranked(pair_ctx.astype(np.uint64) * many + sym)
     total = np.bincount(of, np.concatenate(counts), len(pairs))
-    own = pairs // len(named)
+    own = (pairs // many).astype(np.int64)
     parent = np.zeros(len(pairs))
     parent[of] = np.concatenate([np.frombuffer(r["par"], np.float32) for r in rows])
     n, t, retained, closed = _tested(total, own, parent, len(known), least, nats)
@@ -226,12 +282,12 @@ def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, in
     got = sorted(answers.to_pylist(), key=lambda r: r["rng"])
     joined = lambda name, f: np.concatenate([f(r[name]) for r in got] or [np.zeros(0, np.int64)])
     row = dict(block.row)
-    many = len(block.words)
+    many, docs = len(block.words), len(block.sizes)
     n_all, v_all = totals
+    names = None
     if level == 0:
-        count, names = joined("counts", _from_small), joined("names", lambda x: np.frombuffer(x, np.uint64)).astype(np.uint64)
-        row |= {"counts": raw(count), "names": raw(names)}
-        at, docs = np.arange(many), len(block.sizes)
+        count, names = joined("counts", _from_small), joined("names", _from_wide).astype(np.uint64)
+        at = np.arange(many)
         p = ((count + 0.5) / (n_all + 0.5 * (v_all + 1)))[block.words]
         row["base"] = raw(np.bincount(block.doc, np.log10(p), docs))
         row["known"] = raw(np.bincount(block.doc, count[block.words] > 0, docs).astype(np.int64))
@@ -239,7 +295,7 @@ def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, in
         n_before = np.r_[0, count[block.words[:-1]]] if many else np.zeros(0, np.int64)
         going = (at == block.first) | (n_before >= least)
     else:
-        at, p = block.open()
+        at, p = block.open(_roots(totals))
         score = np.frombuffer(row["score"]).copy()
         going = np.zeros(0, bool)
         if len(at):
@@ -256,11 +312,21 @@ def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, in
             going = ((marks[ctx] & CLOSED) == 0) & (before[at - 1] >= least) & (at - level >= block.first[at])
     if level == depth:
         going = np.zeros(len(at), bool)
-    done = at[~going]
-    score = score + np.bincount(block.doc[done], np.log10(p[~going]), len(block.sizes))
+    done, left = at[~going], at[going]
+    score = score + np.bincount(block.doc[done], np.log10(p[~going]), docs)
     bits = np.zeros(many, bool)
-    bits[at[going]] = True
-    row |= {"score": raw(score), "open": raw(np.packbits(bits)), "p": raw(p[going].astype(np.float32))}
+    bits[left] = True
+    # Only the words that contexts of open words can reach are kept, and of the names only theirs.
+    begin = np.maximum(left - depth, block.first[left])
+    near = np.cumsum((np.bincount(begin, minlength=many + 1) - np.bincount(left + 1, minlength=many + 1))[:many]) > 0
+    words = block.words[near]
+    used = np.zeros(len(names) if level == 0 else len(names := block.names()), bool)
+    used[words] = True
+    row |= {
+        "score": raw(score), "open": raw(np.packbits(bits[near])), "kept_sizes": raw(np.bincount(block.doc[near], minlength=docs).astype(np.int64)),
+        "words": _planes((np.cumsum(used) - 1)[words]), "names": _wide(names[used]), "counts": b"" if level else _small(count[used]),
+        "p": raw(p[going].astype(np.float32)) if level else b"",
+    }
     return tuple(row[k] for k in _names(STATE))
 
 
@@ -272,15 +338,15 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DE
     is taken whole, in one block; repeated rows are scored (and learned) each; a null id counts as one more id;
     an empty table gives an empty table; other columns are ignored, whatever their names.
     """
-    count = block_count(docs)
+    count = block_count(docs, CHARS)
     bits = range_bits(count)
     train_of = lambda ids: ~held_out(ids)
 
-    def asked(state: DataFrame, level: int) -> DataFrame:
+    def asked(state: DataFrame, level: int, totals) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield from _table(ASK, _asked(Block(row), level, bits)).to_batches()
+                    yield from _table(ASK, _asked(Block(row), level, bits, totals)).to_batches()
 
         return state.mapInArrow(run, ASK)
 
@@ -296,7 +362,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DE
     state = scratch.keep(in_blocks(docs, count).groupBy("blk").applyInArrow(lambda table: _tokenised(table, train_of), STATE), "tokens")
     old, totals = "tokens", (0, 0)
     for level in range(depth + 1):
-        answers = scratch.keep(asked(state, level).groupBy("rng").applyInArrow(answer(level), ANSWER), f"answers{level}")
+        answers = scratch.keep(asked(state, level, totals).groupBy("rng").applyInArrow(answer(level), ANSWER), f"answers{level}")
         if not level:
             sums = answers.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
             totals = (sums.n or 0, sums.v or 0)

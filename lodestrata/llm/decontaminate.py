@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.columns import Aside
 from lodestrata.llm.text import ascii_lower, let
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,13 +47,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
     """Words of ``docs`` (doc_id, text) that lie in a window of ``items`` (item_id, text).
 
     ``keep`` stores small tables (windows and token counts). Adds to each row of ``docs`` n_words, ``hit``
-    (sorted word positions inside windows) and ``item_ids`` (sorted). Null and empty texts have no words;
-    repeated rows and ids are answered row by row; null item texts have no window; empty tables give empty
-    results or no hits. Columns of the added names are replaced, others pass through.
+    (sorted word positions inside windows) and ``item_ids`` (sorted). Null and empty texts have no words, very
+    long ones are taken whole; repeated rows and ids are answered row by row; null item texts have no window;
+    empty tables give empty results or no hits. Other columns pass through whatever their names; the three
+    added names replace columns of the table.
     """
-    docs = docs.drop("n_words", "hit", "item_ids")
-    columns = docs.columns
-    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    aside = Aside(docs, ("doc_id", "text"), ("n_words", "hit", "item_ids"))
+    docs = aside.df.withColumn("_key", F.xxhash64("doc_id", "text"))
     windows = keep(_windows(items.select("item_id", "text"), window), "windows")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most SHINGLE of them
 
@@ -80,7 +81,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
 
     nothing = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<string>)")
     if candidates is None:
-        return docs.select(*columns, F.size(words(F.col("text"))).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
+        return aside.back(docs, F.size(words(F.col("text"))).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
     by_doc = candidates.join(windows.select("win_id", "win", "item_ids"), "win_id").groupBy("_key").agg(F.collect_set(F.struct("start", "win", "item_ids")).alias("_near"))
 
     def judged(ws: Column) -> Column:
@@ -90,5 +91,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
         none = F.struct(F.size(ws).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
         return F.when(F.col("_near").isNull(), none).otherwise(let(found, lambda f: F.struct(F.size(ws).cast("long").alias("n_words"), hit(f).alias("hit"), ids(f).alias("item_ids"))))
 
-    joined = docs.join(by_doc.hint("shuffle_hash"), "_key", "left").select(*columns, let(words(F.col("text")), judged).alias("_r"))
-    return joined.select(*columns, "_r.n_words", "_r.hit", "_r.item_ids")
+    joined = docs.join(by_doc.hint("shuffle_hash"), "_key", "left").select(*docs.columns, let(words(F.col("text")), judged).alias("_r"))
+    return aside.back(joined, "_r.n_words", "_r.hit", "_r.item_ids")

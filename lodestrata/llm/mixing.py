@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.columns import Aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 BUCKETS = 4096
@@ -67,9 +69,12 @@ def mix(sized: DataFrame, weights=cyclic_weights, max_epochs: int = MAX_EPOCHS,
 
     Adds source_size, target, taken (words) and ``repeats`` (how often the document is taken). Rows with
     equal ids fall into the same bucket; a null id counts as an empty one; a null source is a source.
-    An empty table gives an empty table. Other columns of ``sized`` pass through, but for the names that
-    this adds and ``_source``, ``_whole``, ``_cut``. ``sized`` is read three times: pass a stored table.
+    An empty table gives an empty table; the length of a text matters by its size only. Other columns of
+    ``sized`` pass through whatever their names; the four added names replace columns of the table.
+    ``sized`` is read three times: pass a stored table.
     """
+    aside = Aside(sized, ("doc_id", "source", "size"), ("source_size", "target", "taken", "repeats"))
+    sized = aside.df
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     few = totals.count() <= BROADCAST_SOURCES
     targets = water_fill(weights(totals), max_epochs)
@@ -89,5 +94,5 @@ def mix(sized: DataFrame, weights=cyclic_weights, max_epochs: int = MAX_EPOCHS,
     once_more = (bucket(F.col("doc_id"), seed) <= F.col("_cut")) & (F.col("_whole") < max_epochs)
     repeats = F.col("_whole") + F.coalesce(once_more, F.lit(False)).cast("long")
     joined = sized.join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select(*sized.columns, "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))
+    return aside.back(joined, "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))
 

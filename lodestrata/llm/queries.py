@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
+from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, secrets, sql, suffix_dedup, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -24,50 +24,19 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP2_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|20'), 1, 3))::INT AS bucket
-  FROM documents
-), sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
-  FROM sized GROUP BY source
-), ordered AS (
-  SELECT *, sum(source_size) OVER ()::BIGINT - coalesce(sum(3 * source_size) OVER b, 0)::BIGINT AS rest, (sum(weight) OVER f)::BIGINT AS weights
-  FROM sources
-  WINDOW b AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-    f AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-), clamps AS (
-  SELECT *, 3 * source_size * weights <= weight * rest AS clamped FROM ordered
-), free AS (
-  SELECT rest AS r, weights AS w FROM clamps WHERE NOT clamped ORDER BY weights DESC LIMIT 1
-), targets AS (
-  SELECT source, source_size, CASE WHEN clamped THEN (3 * source_size)::DOUBLE ELSE (weight * r)::DOUBLE / w END AS target
-  FROM clamps LEFT JOIN free ON true
-), epochs AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
-), buckets AS (
-  SELECT source, bucket, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) - sum(size) / 2 AS middle
-  FROM sized GROUP BY source, bucket
-), cuts AS (
-  SELECT e.source, e.source_size, e.target, e.whole, max(CASE WHEN middle <= target - whole * source_size THEN bucket END) AS cut
-  FROM buckets b JOIN epochs e ON b.source IS NOT DISTINCT FROM e.source GROUP BY ALL
-)
-SELECT doc_id, size, source_size, target,
-  size * (whole + CASE WHEN bucket <= cut AND whole < 3 THEN 1 ELSE 0 END) AS taken
-FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
-"""
-
-
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document, scanned through a ledger that has seen nothing yet."""
-    docs = _table(spark, sf_dir, "documents")
-    paths, _ = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    """Secrets in every document, through a ledger: the base rules first, then, against what that run left, the added ones."""
+    versions = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    scratch = Scratch(spark, "op10")
+    _, entries = secrets.scan(versions)
+    ledger = scratch.keep(entries, "base")
+    # Every blob has met the base rules, so this run scans with the added rules only and joins the findings of both.
+    paths, entries = secrets.scan(versions, ledger, secrets.RULE_VERSIONS)
+    base = F.filter("spans", lambda s: s["kind_no"] < len(secrets.RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    listed = secrets.listed(F.col("spans"))
     return paths.select(
         F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"),
-        F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
     )
 
 
@@ -80,33 +49,6 @@ def op5_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = r"""
-WITH dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents
-), bw AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark
-), wins AS (
-  SELECT DISTINCT item_id::VARCHAR AS item_id, list_slice(w, s, s + 9) AS win
-  FROM bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0
-), lens AS (SELECT DISTINCT len(win) AS m FROM wins),
-runs AS (
-  SELECT doc_id, s, m, list_slice(w, s, s + m - 1) AS run
-  FROM dw, lens, unnest(range(1, len(w) - m + 2)) AS t(s) WHERE len(w) >= m
-), hits AS (
-  SELECT doc_id, s, m, item_id FROM runs JOIN wins ON run = win
-), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, s, m FROM hits), unnest(range(s, s + m)) AS t(p) GROUP BY doc_id
-), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
-)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
-"""
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat, exactly or nearly, an earlier line."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,7 +65,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows outside the held-out quarter."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     labels = _table(spark, sf_dir, "labels").filter(remainder != 2)
     model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
@@ -170,6 +112,11 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op5_benchmark_overlap": OP5_SQL,
-    "op2_source_mix": OP2_SQL,
+    "op1_embedding_dedup": sql.OP1_SQL,
+    "op2_source_mix": sql.OP2_SQL,
+    "op4_ngram_jaccard": sql.OP4_SQL,
+    "op5_benchmark_overlap": sql.OP5_SQL,
+    "op7_line_dedup": sql.OP7_SQL,
+    "op9_repeated_passages": sql.OP9_SQL,
+    "op10_secret_scan": sql.OP10_SQL,
 }

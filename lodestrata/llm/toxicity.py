@@ -263,12 +263,13 @@ def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: DataFrame
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` of ``labels`` (doc_id, label), those whose hashed id is least; calibrate on all.
 
-    Null ids, null labels and labels without a document are passed over; of repeated rows one counts.
+    Null ids, null labels and labels without a document are passed over; of rows that repeat an id the one with
+    the least label, then the least text, is fitted. Very long texts are read whole.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", (F.col("label") > 0).cast("int").alias("label")).distinct()
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(rows)
     texts = docs.select("doc_id", "text", "lang") if "lang" in docs.columns else docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
-    found = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("s")).select("doc_id", "s.text", "s.label").toArrow().sort_by("doc_id")
     columns = [found.column(c).to_pylist() for c in ("text", "label")]
     del found
     fitted = np.array(columns[1], dtype=np.float64)
@@ -282,7 +283,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1) and ``rejected`` (score reaches the threshold of its language) to ``docs``.
 
     A null text is the empty text, which has a score; a null or unknown language has the global
-    threshold; columns of these names are replaced; an empty table gives an empty table.
+    threshold; a very long text is read whole, in slices; repeated rows are scored each; columns of these names
+    are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalars import stripped
+
+
+# The written forms of dates, and the reasons why a date is unknown.
+YEAR, COMPACT, SLASHED = r"^[1-9][0-9]{3}\z", r"^[0-9]{8}\z", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
+MISSING, MALFORMED = "missing", "malformed_or_uninterpreted"
+
 
 def parse_date(raw: Column) -> Column:
-    """Struct (raw, precision, value, state, reason) of a year, yyyymmdd or m/d/yyyy; anything else is UNKNOWN."""
-    text = F.trim(F.coalesce(raw.cast("string"), F.lit("")))
-    year = text.rlike(r"^[0-9]{4}$") & (text != "0000")
-    compact = F.when(text.rlike(r"^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))
-    slashed = F.when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(text, "M/d/yyyy"))
+    """Struct (raw, precision, value, state, reason, year) of a year, yyyymmdd or m/d/yyyy; anything else is UNKNOWN.
+
+    ``value`` is text; ``year`` is the integer of a date known to the year only.
+    """
+    text = stripped(F.coalesce(raw.cast("string"), F.lit("")))
+    year = text.rlike(YEAR)
+    compact = F.when(text.rlike(COMPACT), F.try_to_date(text, "yyyyMMdd"))
+    slashed = F.when(text.rlike(SLASHED), F.try_to_date(text, "M/d/yyyy"))
     day = F.coalesce(compact, slashed)
     known = year | day.isNotNull()
-    reason = F.when(text == "", "blank").when(~known, "unparsed")
+    reason = F.when(text == "", MISSING).when(~known, MALFORMED)
     return F.struct(
         raw.cast("string").alias("raw"),
         F.when(year, "year").when(day.isNotNull(), "day").alias("precision"),
         F.when(year, text).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("value"),
         F.when(known, "DERIVED").otherwise("UNKNOWN").alias("state"),
         reason.alias("reason"),
+        F.when(year, text.cast("int")).alias("year"),
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +19,9 @@ def sha256(value: Column) -> Column:
 
 
 def composite_id(*parts: Column | str, sep: str = ":") -> Column:
-    """Identity of several parts: SHA-256 of their text joined by ``sep``."""
-    return F.sha2(F.concat_ws(sep, *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]), 256)
+    """Identity of several parts: SHA-256 of their text joined by ``sep``; a null part is a NUL, which no text is."""
+    named = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.sha2(F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit("\0")) for p in named]), 256)
 
 
 def canonical_struct(columns: list[str]) -> Column:
@@ -50,12 +55,40 @@ def row_digest(columns: list[str]) -> Column:
 def ordered_fingerprint(df: DataFrame, group: list[str], order: list[str], digest: str) -> DataFrame:
     """Per group: rows and SHA-256 of ``id:digest`` lines in the order of ``order``.
 
-    The group's lines meet in one string, as the definition of the digest demands; use the tree form
-    (``tree_fingerprint``) where a group may be larger than a task.
+    The definition is sequential, so a group is one task's; but its lines only stream through: they are sorted
+    (on disk, where they must be) and hashed batch by batch, so no group is ever held. ``tree_fingerprint`` has
+    no such task.
     """
     line = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in order]), F.lit(":"), F.col(digest), F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    return df.groupBy(*group).agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.transform(lines, lambda x: x["_line"]), ""), 256).alias("fingerprint"))
+    named = F.struct(*[F.col(c) for c in group])
+    rows = df.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("_group"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.coalesce(line, F.lit("")).alias("_line"))
+    sorted_rows = rows.repartition("_group").sortWithinPartitions("_group", *[f"_o{k}" for k in range(len(order))], "_line").select("_group", "_line")
+
+    def run(batches):
+        now, n, state = None, 0, None
+        for batch in batches:
+            groups, lines = batch.column(0), batch.column(1).cast(pa.large_string())
+            ends = pc.run_end_encode(groups, run_end_type=pa.int64()).run_ends.to_pylist()
+            data, at = lines.buffers()[2], np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                key = groups[lo].as_py()
+                if key != now:
+                    if state is not None:
+                        yield _fingerprint(now, n, state)
+                    now, n, state = key, 0, hashlib.sha256()
+                n += hi - lo
+                if at[hi] > at[lo]:
+                    state.update(data.slice(int(at[lo]), int(at[hi] - at[lo])))
+        if state is not None:
+            yield _fingerprint(now, n, state)
+
+    found = sorted_rows.mapInArrow(run, "_group string, n_rows long, fingerprint string")
+    kinds = T.StructType([df.schema[c] for c in group])
+    return found.select(F.from_json("_group", kinds).alias("_g"), "n_rows", "fingerprint").select(*[F.col("_g")[c].alias(c) for c in group], "n_rows", "fingerprint")
+
+
+def _fingerprint(group: str, n: int, state) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"_group": [group], "n_rows": pa.array([n], pa.int64()), "fingerprint": [state.hexdigest()]})
 
 
 def tree_fingerprint(df: DataFrame, group: list[str], digest: str) -> DataFrame:

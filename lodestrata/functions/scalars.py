@@ -8,9 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All white space of Unicode, as a character class.
+WHITE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
+
+
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+\z", "")
+
+
 def is_blank(x: Column) -> Column:
-    """Null, empty or only blanks."""
-    return F.trim(F.coalesce(x, F.lit(""))) == ""
+    """Null, empty or only white space."""
+    return F.coalesce(x, F.lit("")).rlike(rf"^{WHITE}*\z")
 
 
 def differs(a: Column, b: Column) -> Column:

@@ -62,8 +62,10 @@ def split_touches(ring: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_struct(**dict.fromkeys(("left", "right", "both", "either", "left_only", "right_only"), T.DoubleType())))
 def overlay_areas(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Boolean areas of pairs of regions."""
-    return pd.DataFrame([planar.boolean_areas(_region(a), _region(b)) for a, b in zip(left, right, strict=True)])
+    """Boolean areas of pairs of regions; null where one is missing."""
+    there = left.notna() & right.notna()
+    areas = planar.areas_of_pairs([(_region(a), _region(b)) for a, b in zip(left[there], right[there], strict=True)])
+    return pd.DataFrame(areas, index=left.index[there], columns=list(planar.AREAS), dtype=float).reindex(left.index)
 
 
 @F.pandas_udf(T.StringType())
@@ -74,8 +76,8 @@ def region_relation(left: pd.Series, study: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def hausdorff(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Discrete Hausdorff distance of two polygons' rings."""
-    return pd.Series([planar.hausdorff(_plain(a), _plain(b)) for a, b in zip(left, right, strict=True)], dtype=float)
+    """Discrete Hausdorff distance of two polygons' rings; null where one is missing."""
+    return pd.Series([None if a is None or b is None else planar.hausdorff(_plain(a), _plain(b)) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
 def transformed(rings, operation: str):
@@ -93,6 +95,12 @@ def transformed(rings, operation: str):
     return run(rings)
 
 
+def box_region(xmin, ymin, xmax, ymax):
+    """A box as a region (JVM functions)."""
+    p = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    return F.array(F.array(F.array(p(xmin, ymin), p(xmin, ymax), p(xmax, ymax), p(xmax, ymin), p(xmin, ymin))))
+
+
 def with_bounds(df: DataFrame, region: str = "region") -> DataFrame:
     """Add xmin, ymin, xmax, ymax of a region column (JVM functions)."""
     points = F.flatten(F.flatten(region))
@@ -100,6 +108,17 @@ def with_bounds(df: DataFrame, region: str = "region") -> DataFrame:
     return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
 
 
+def held_bounds(rings):
+    """Bounds (xmin, ymin, xmax, ymax) of every vertex of held rings, null where any vertex is missing or not finite."""
+    points = F.flatten(rings)
+    finite = lambda v: F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    full = (F.size(rings) > 0) & F.forall(rings, lambda r: F.coalesce(F.size(r), F.lit(0)) > 0)
+    sound = full & F.forall(points, lambda p: F.coalesce(F.size(p) >= 2, F.lit(False)) & finite(F.get(p, F.lit(0))) & finite(F.get(p, F.lit(1))))
+    along = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
+    box = F.struct(F.array_min(along(0)).alias("xmin"), F.array_min(along(1)).alias("ymin"), F.array_max(along(0)).alias("xmax"), F.array_max(along(1)).alias("ymax"))
+    return F.when(F.coalesce(sound, F.lit(False)), box)
+
+
 def screen(subjects: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """Overlay each subject (id, region) with zones (id, zone, region): one row a subject.
 
@@ -113,11 +132,11 @@ def screen(subjects: DataFrame, zones: DataFrame, size: float) -> DataFrame:
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         subject = _region(frame["s"].iloc[0])
-        whole = planar.boolean_areas(subject, [])["left"]
         over, touch, total, names = [], [], 0.0, set()
-        for b_id, zone, z in sorted(zip(frame["b_id"], frame["zone"], frame["z"], strict=True), key=lambda r: r[0]):
-            region = _region(z)
-            area = planar.boolean_areas(subject, region)["both"]
+        found = sorted(zip(frame["b_id"], frame["zone"], map(_region, frame["z"]), strict=True), key=lambda r: r[0])
+        areas = planar.areas_of_pairs([(subject, region) for _, _, region in found])
+        whole = areas["left"][0]
+        for (b_id, zone, region), area in zip(found, areas["both"].tolist(), strict=True):
             if area > 0:
                 over += region
                 total += area

@@ -65,6 +65,13 @@ def replay_conflicts(incoming: DataFrame, stored: DataFrame, key: list[str], ign
     return incoming.join(other, match).filter(differ).select(*key)
 
 
+def own_conflicts(incoming: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that one batch holds with several payloads; equal rows are one."""
+    payload = [c for c in incoming.columns if c not in key]
+    digest = F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}) if payload else F.lit(""), 256)
+    return incoming.groupBy(*key).agg(F.min(digest).alias("_low"), F.max(digest).alias("_high")).filter(F.col("_low") != F.col("_high")).select(*key)
+
+
 def changed_or_removed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Immutability guard: stored rows that a new version of the table lacks or alters (must be empty)."""
     return before.exceptAll(after.select(*before.columns)).select(*key).distinct()

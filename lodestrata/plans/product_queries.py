@@ -39,7 +39,7 @@ def polygon_overlay(t: Tables) -> DataFrame:
 
 
 @R.add(f"""
-WITH a AS (SELECT * FROM ({ZONES_SQL}) WHERE id % 3 = 0), b AS ({PARTS_SQL}),
+WITH a AS ({ZONES_SQL}), b AS ({PARTS_SQL}),
 o AS (SELECT a.id, b.id AS b, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS ar FROM a JOIN b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax),
 c AS (SELECT a.id, count(*) AS cells FROM a, range(0, 2400) r(i) WHERE EXISTS (SELECT 1 FROM b WHERE b.xmin <= a.xmin + i % 60 AND b.xmax >= a.xmin + i % 60 + 1 AND b.ymin <= a.ymin + i // 60 AND b.ymax >= a.ymin + i // 60 + 1) GROUP BY 1),
 s AS (SELECT id, count(*) FILTER (ar > 0) AS n, sum(ar) FILTER (ar > 0) AS total, count(*) FILTER (ar = 0) AS touch FROM o GROUP BY 1)
@@ -48,12 +48,12 @@ SELECT a.id, coalesce(n, 0)::INT AS n_overlaps, total AS area_sum, round(cells /
 def zoning_screening(t: Tables) -> DataFrame:
     """Zones screened against parts: overlaps, area sums, covered fractions, touches."""
     zones = _as_region(_parts(t)).withColumn("zone", F.concat(F.lit("Z"), (F.col("id") % 5).cast("string")))
-    s = frames.screen(_as_region(_zones(t).filter("id % 3 = 0")), zones, 64.0)
+    s = frames.screen(_as_region(_zones(t)), zones, 64.0)
     return s.select("id", F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"), F.round("area_sum", 6).alias("area_sum"), F.round("covered_fraction", 6).alias("covered_fraction"), F.coalesce(F.size("touches"), F.lit(0)).alias("n_touch"), "status")
 
 
 @R.add(f"""
-WITH a AS (SELECT * FROM ({ZONES_SQL}) WHERE id % 5 = 1), f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'zoning' ELSE 'wetlands' END AS topic, id % 13 = 0 AS held FROM ({PARTS_SQL})),
+WITH a AS ({ZONES_SQL}), f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'zoning' ELSE 'wetlands' END AS topic, id % 13 = 0 AS held FROM ({PARTS_SQL})),
 p AS (SELECT a.id AS aoi_id, topic, f.id, held, least(a.xmax, f.xmax) > greatest(a.xmin, f.xmin) AND least(a.ymax, f.ymax) > greatest(a.ymin, f.ymin) AS inside FROM a JOIN f ON a.xmin <= f.xmax AND f.xmin <= a.xmax AND a.ymin <= f.ymax AND f.ymin <= a.ymax),
 s AS (SELECT aoi_id, topic, count(*) FILTER (NOT held AND inside) AS n_interior, count(*) FILTER (NOT held AND NOT inside) AS n_touch, count(*) FILTER (held) AS n_held FROM p GROUP BY ALL),
 c AS (SELECT a.id AS aoi_id, topic, count(DISTINCT i) AS cells FROM a JOIN f ON NOT held AND a.xmin < f.xmax AND f.xmin < a.xmax AND a.ymin < f.ymax AND f.ymin < a.ymax, range(0, 2400) r(i) WHERE f.xmin <= a.xmin + i % 60 AND f.xmax >= a.xmin + i % 60 + 1 AND f.ymin <= a.ymin + i // 60 AND f.ymax >= a.ymin + i // 60 + 1 GROUP BY ALL)
@@ -63,7 +63,7 @@ FROM a CROSS JOIN (VALUES ('zoning'), ('wetlands')) t(topic) LEFT JOIN s ON s.ao
 """)
 def area_packets(t: Tables) -> DataFrame:
     """Topic states of areas under features, some of them held."""
-    aois = _as_region(_zones(t).filter("id % 5 = 1")).select(F.col("id").alias("aoi_id"), "region", F.lit(True).alias("within_scope"), (F.col("id") % 4 != 0).alias("snapshot_current"))
+    aois = _as_region(_zones(t)).select(F.col("id").alias("aoi_id"), "region", F.lit(True).alias("within_scope"), (F.col("id") % 4 != 0).alias("snapshot_current"))
     held = F.col("id") % 13 == 0
     source = F.when(F.col("id") % 2 == 0, "parts-even").otherwise("parts-odd")
     features = _as_region(_parts(t)).select(source.alias("source_id"), F.col("id").alias("object_id"), F.when(~held, F.col("region")).alias("region"), F.when(held, "ring held").alias("hold"), F.when(held, F.struct(*BOX)).alias("held_bounds"))
@@ -73,15 +73,15 @@ def area_packets(t: Tables) -> DataFrame:
 
 
 @R.add(f"""
-WITH h AS (SELECT * FROM ({PARTS_SQL}) WHERE id % 4 = 0), g AS ({ZONES_SQL} WHERE s_suppkey % 2 = 0),
+WITH h AS ({PARTS_SQL}), g AS ({ZONES_SQL}),
 p AS (SELECT h.id, coalesce(sum(CASE WHEN g.id IS NULL THEN 0 ELSE greatest(0, least(h.xmax, g.xmax) - greatest(h.xmin, g.xmin)) * greatest(0, least(h.ymax, g.ymax) - greatest(h.ymin, g.ymin)) END), 0) AS area FROM h LEFT JOIN g ON h.xmin <= g.xmax AND g.xmin <= h.xmax AND h.ymin <= g.ymax AND g.ymin <= h.ymax GROUP BY 1),
 r AS (SELECT id, area, row_number() OVER (ORDER BY area DESC, id) AS previous_rank, CASE WHEN id % 8 = 0 THEN area / 2 ELSE 0 END AS reduction FROM p)
 SELECT id AS object_id, round(area - reduction, 6) AS area, previous_rank::INT AS previous_rank, row_number() OVER (ORDER BY area - reduction DESC, id)::INT AS rank FROM r
 """)
 def gap_ranking(t: Tables) -> DataFrame:
     """Held envelopes ranked by the gap area in them, before and after reductions."""
-    held = _parts(t).filter("id % 4 = 0").select(F.col("id").alias("object_id"), *BOX)
-    gaps = _as_region(_zones(t).filter("id % 2 = 0")).select(F.col("id").alias("gap_id"), "region")
+    held = _parts(t).select(F.col("id").alias("object_id"), *BOX)
+    gaps = _as_region(_zones(t)).select(F.col("id").alias("gap_id"), "region")
     from lodestrata.operators.sequences import ranked
 
     first = ranked(ranking.gap_areas(held, gaps, 64.0), "area", "object_id", "rank")

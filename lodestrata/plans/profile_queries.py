@@ -115,8 +115,8 @@ def repeated_keys(t: Tables) -> DataFrame:
 
 @R.add("""
 WITH s AS (SELECT event_id, ts, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y') WHEN 1 THEN strftime(ts, '%Y%m%d') WHEN 2 THEN strftime(ts, '%-m/%-d/%Y') WHEN 3 THEN '' WHEN 4 THEN strftime(ts, '%Y') || '1345' ELSE '13/' || strftime(ts, '%-d/%Y') END AS raw FROM events),
-p AS (SELECT raw, regexp_matches(raw, '^[0-9]{4}$') AND raw <> '0000' AS y, coalesce(CASE WHEN regexp_matches(raw, '^[0-9]{8}$') THEN try_strptime(raw, '%Y%m%d') END, CASE WHEN regexp_matches(raw, '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$') THEN try_strptime(raw, '%m/%d/%Y') END) AS d FROM s)
-SELECT CASE WHEN y OR d IS NOT NULL THEN 'DERIVED' ELSE 'UNKNOWN' END AS state, CASE WHEN y THEN 'year' WHEN d IS NOT NULL THEN 'day' ELSE 'none' END AS precision, CASE WHEN raw = '' THEN 'blank' WHEN NOT y AND d IS NULL THEN 'unparsed' ELSE 'none' END AS reason, count(*) AS n FROM p GROUP BY ALL
+p AS (SELECT raw, regexp_matches(raw, '^[1-9][0-9]{3}$') AS y, coalesce(CASE WHEN regexp_matches(raw, '^[0-9]{8}$') THEN try_strptime(raw, '%Y%m%d') END, CASE WHEN regexp_matches(raw, '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$') THEN try_strptime(raw, '%m/%d/%Y') END) AS d FROM s)
+SELECT CASE WHEN y OR d IS NOT NULL THEN 'DERIVED' ELSE 'UNKNOWN' END AS state, CASE WHEN y THEN 'year' WHEN d IS NOT NULL THEN 'day' ELSE 'none' END AS precision, CASE WHEN trim(raw) = '' THEN 'missing' WHEN NOT y AND d IS NULL THEN 'malformed_or_uninterpreted' ELSE 'none' END AS reason, count(*) AS n FROM p GROUP BY ALL
 """)
 def date_profile(t: Tables) -> DataFrame:
     """States of dates of mixed form."""

@@ -38,13 +38,10 @@ def qualify(aois: DataFrame, features: DataFrame, topics: DataFrame, size: float
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:
         area = _region(frame["a"].iloc[0])
-        inside, touch = [], 0
-        for f, hold in zip(frame["f"], frame["hold"], strict=True):
-            if hold is None:
-                region = _region(f)
-                kind = planar.relation(region, area)
-                inside += [region] if kind == "interior" else []
-                touch += kind == "touch"
+        regions = [_region(f) for f, hold in zip(frame["f"], frame["hold"], strict=True) if hold is None]
+        shared = planar.areas_of_pairs([(region, area) for region in regions])["both"] > 0
+        inside = [region for region, yes in zip(regions, shared, strict=True) if yes]
+        touch = sum(planar.touches_or_crosses(region, area) for region, yes in zip(regions, shared, strict=True) if not yes)
         c = planar.coverage(inside, area)
         return pd.DataFrame([(*key, len(inside), touch, int(frame["hold"].notna().sum()), c["state"], c["uncovered"], c["fraction"], c["basis"])], columns=[x.split()[0] for x in TOPIC.split(", ")])
 

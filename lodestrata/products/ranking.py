@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import decrease
 from lodestrata.geometry import planar
-from lodestrata.geometry.frames import _region, with_bounds
-from lodestrata.operators.boxes import box_pairs
+from lodestrata.geometry.frames import _region, box_region, overlay_areas, with_bounds
+from lodestrata.operators.boxes import BOX, box_pairs
 from lodestrata.operators.sequences import ranked
 
 
@@ -17,14 +17,8 @@ def gap_areas(held: DataFrame, gaps: DataFrame, size: float) -> DataFrame:
     """(object_id, area): uncovered area (gaps: gap_id, region) within each held envelope (object_id, xmin..ymax)."""
     pairs = box_pairs(held, with_bounds(gaps), "object_id", "gap_id", size)
     met = pairs.join(gaps.select(F.col("gap_id").alias("b_id"), "region"), "b_id")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        r = frame.iloc[0]
-        box = planar.envelope(r["a_xmin"], r["a_ymin"], r["a_xmax"], r["a_ymax"])
-        area = sum(planar.boolean_areas(box, _region(g))["both"] for g in frame["region"])
-        return pd.DataFrame({"object_id": [r["a_id"]], "area": [area]})
-
-    found = met.groupBy("a_id").applyInPandas(one, "object_id long, area double")
+    areas = met.select(F.col("a_id").alias("object_id"), overlay_areas(box_region(*[F.col(f"a_{c}") for c in BOX]), "region").alias("o"))
+    found = areas.groupBy("object_id").agg(F.sum("o.both").alias("area"))
     return held.select("object_id").join(found, "object_id", "left").select("object_id", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.history import new_rows, replay_conflicts
+from lodestrata.operators.history import new_rows, own_conflicts, replay_conflicts
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -15,19 +15,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_new(incoming: DataFrame, path: str, key: list[str]) -> int:
-    """Append the rows whose key is not stored; a stored key with another payload is an error. Returns rows written."""
+    """Append the rows whose key is not stored. Returns rows written.
+
+    A key that comes with two payloads, in the batch or against the store, is an error. The rows written are
+    counted as they are written; the log is not read for it.
+    """
     spark = incoming.sparkSession
+    if own_conflicts(incoming, key).limit(1).count():
+        raise ValueError("a key comes twice in a batch with different payloads")
     if not exists(spark, path):
         fresh = incoming.dropDuplicates(key)
     else:
         stored = spark.read.parquet(path)
-        conflict = replay_conflicts(incoming, stored, key).limit(1).count()
-        if conflict:
+        if replay_conflicts(incoming, stored, key).limit(1).count():
             raise ValueError("a stored key comes again with another payload")
         fresh = new_rows(incoming, stored, key)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(incoming.schema).parquet(path).count() - before
+    written = Observation()
+    fresh.observe(written, F.count("*").alias("rows")).write.mode("append").parquet(path)
+    return written.get["rows"]
 
 
 def write_once(df: DataFrame, path: str) -> None:

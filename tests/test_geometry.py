@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 import pytest
-from lodestrata.geometry import crs, planar
+from lodestrata.geometry import crs, frames, planar
+from pyspark.sql import functions as F
 
 SQUARE = [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)]  # clockwise
 HOLE = [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]
@@ -91,10 +92,13 @@ def test_areas_equal_an_independent_engine(spark):
         assert got["either"] == pytest.approx(a.union(b).getArea(), abs=1e-9)
 
 
-def test_held_envelope_is_all_or_nothing():
-    assert planar.held_envelope([[(0, 0), (3, 4)]]) == (0, 0, 3, 4)
-    for odd in (None, [], [[]], [[(0, float("inf"))]], [[(0,)]], [[(True, 1)]]):
-        assert planar.held_envelope(odd) is None
+def test_held_envelope_is_all_or_nothing(spark):
+    good = ([[[0.0, 0.0], [3.0, 4.0]]], [[[0.0, 1.0, 9.0]], [[-1.0, 5.0]]])
+    odd = (None, [], [[]], [[[0.0, 1.0]], []], [[[0.0, float("inf")]]], [[[0.0]]], [[[0.0, None]]], [[None]], [None])
+    rows = [(k, rings) for k, rings in enumerate((*good, *odd))]
+    df = spark.createDataFrame(rows, "k int, rings array<array<array<double>>>")
+    got = {r.k: r.box and tuple(r.box) for r in df.select("k", frames.held_bounds(F.col("rings")).alias("box")).collect()}
+    assert got == {0: (0.0, 0.0, 3.0, 4.0), 1: (-1.0, 1.0, 0.0, 5.0)} | {k: None for k in range(len(good), len(rows))}
 
 
 def test_distances():

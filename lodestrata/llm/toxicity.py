@@ -117,7 +117,8 @@ class Model:
     def _logits(self, h1: np.ndarray, h2: np.ndarray, starts: np.ndarray) -> np.ndarray:
         e = self.e1[h1] + self.e2[h2]
         e = np.concatenate([e, np.zeros((PAD, DIM), dtype=np.float32)])
-        pooled = np.concatenate([np.maximum.reduceat(m, starts[:-1]) for m in self.maps(e)], axis=1)
+        spans = np.stack([starts[:-1], starts[1:] - PAD], axis=1).ravel()  # the last windows would reach into the next text
+        pooled = np.concatenate([np.maximum.reduceat(m, spans)[::2] for m in self.maps(e)], axis=1)
         return np.maximum(pooled, 0) @ self.out + self.base
 
 
@@ -163,7 +164,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
             e = np.concatenate([e1[b1] + e2[b2], np.zeros((PAD, DIM), dtype=np.float32)])
             b1, b2 = np.r_[b1, [0] * PAD], np.r_[b2, [0] * PAD]
             maps = model.maps(e)
-            tops = [np.stack([a + m[a:b].argmax(0) for a, b in zip(local[:-1], local[1:], strict=True)]) for m in maps]
+            tops = [np.stack([a + m[a : b - PAD].argmax(0) for a, b in zip(local[:-1], local[1:], strict=True)]) for m in maps]
             pooled = [np.take_along_axis(m, t, 0) for m, t in zip(maps, tops, strict=True)]
             z = np.concatenate(pooled, axis=1)
             p = 1 / (1 + np.exp(-np.clip(np.maximum(z, 0) @ out + model.base, -30, 30)))

@@ -30,7 +30,8 @@ from lodestrata.llm.shingles import mixed, shingle_sets
 PERCENT = 80
 SKETCH_BITS = 22  # the sketch is one byte a counter: 4 MB at most, whatever the corpus
 CHUNK = 1 << 14
-STRIDES = (1, 2, 5, 13)
+STRIDES = (1, 2, 5)
+CELLS = 128  # cells of the counts that bound an overlap before sets are sent
 BLOCK = 64
 FEW = 3  # members of a component that a list proposes in a round
 ROUNDS = 1
@@ -54,6 +55,30 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.array(total & 0xFFFFFFFFFFFFFFFF, np.uint64).view(np.int64)) or 1
 
 
+def cell_counts(h: np.ndarray) -> bytes:
+    """How many members of a set fall into each cell of hash space, a byte each; nothing where a byte is too small."""
+    counts = np.bincount((h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def within_reach(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose cell counts allow the overlap: no cell shares more than its smaller count."""
+    left = classes.select(F.col("fp").alias("a"), F.col("cells").alias("ca"))
+    right = classes.select(F.col("fp").alias("b"), F.col("cells").alias("cb"))
+
+    def run(batches):
+        for batch in batches:
+            ca, cb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = np.array([not x or not y for x, y in zip(ca, cb, strict=True)], bool)
+            known = np.flatnonzero(~ok)
+            if len(known):
+                x, y = (np.frombuffer(b"".join(c[k] for k in known), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in (ca, cb))
+                ok[known] = np.minimum(x, y).sum(1) >= overlap_needed(x.sum(1), y.sum(1))
+            yield _batch(["a", "b"], batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
@@ -63,22 +88,23 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "fp", "chunk", "part"]
+        names = ["doc_id", "n", "fp", "cells", "chunk", "part"]
         for batch in batches:
-            sizes, prints, seen = [], [], [np.zeros(0, np.uint64)]
+            sizes, prints, cells, seen = [], [], [], [np.zeros(0, np.uint64)]
             for h in shingle_sets(batch.column(1)):
                 sizes.append(len(h))
                 prints.append(fingerprint(h))
+                cells.append(cell_counts(h))
                 seen.append(h >> np.uint64(64 - bits))
             place, times = np.unique(np.concatenate(seen), return_counts=True)
             counts[place.astype(np.int64)] += times.astype(np.uint32)
             none = [None] * len(sizes)
-            yield _batch(names, batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()))
+            yield _batch(names, batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(cells, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary()))
         parts = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
         none = [None] * len(parts)
-        yield _batch(names, pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary()))
+        yield _batch(names, *[pa.array(none, pa.int64())] * 3, pa.array(none, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp long, chunk int, part binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp long, cells binary, chunk int, part binary")
 
 
 def rarity(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -139,18 +165,25 @@ class _Lists:
         self.batches, self.names = batches, names
 
     def __iter__(self):
-        rest = None
+        parts = []  # pieces that end in a list which may go on
         for batch in self.batches:
             now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(self.names))]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             token = now[0]
-            cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            rest = [x[cut:] for x in now]
-            if cut:
-                yield self.distinct([x[:cut] for x in now])
-        if rest is not None and len(rest[0]):
-            yield self.distinct(rest)
+            if not len(token):
+                continue
+            if parts and token[-1] == parts[-1][0][-1]:
+                parts.append(now)  # one list, still: joined once, when it ends
+                continue
+            cut = int(np.searchsorted(token, token[-1]))
+            if parts or cut:
+                yield self.distinct(self.joined([*parts, [x[:cut] for x in now]]))
+            parts = [[x[cut:] for x in now]]
+        if parts:
+            yield self.distinct(self.joined(parts))
+
+    @staticmethod
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     @staticmethod
     def distinct(columns):
@@ -246,6 +279,17 @@ def across(entries: DataFrame) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(run, "z long, xs array<long>")
 
 
+def named_in(candidates: DataFrame) -> DataFrame:
+    """The ids (fp) that candidates (z, xs) name, each once a batch: pairs are never rows."""
+
+    def run(batches):
+        for batch in batches:
+            ids = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()]))
+            yield _batch(["fp"], pa.array(ids, pa.int64()))
+
+    return candidates.select("z", "xs").mapInArrow(run, "fp long").distinct()
+
+
 def _block_of(fp: np.ndarray, count: int) -> np.ndarray:
     return (mixed(fp.view(np.uint64)) % np.uint64(count)).astype(np.int32)
 
@@ -372,15 +416,16 @@ def similar_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     done = scratch.keep(signatures(docs), "signatures")
     ranks = spark.sparkContext.broadcast(rarity(done.filter("chunk is not null")))
-    rows = done.filter("chunk is null").select("doc_id", "n", "fp")
-    classes = scratch.keep(rows.filter("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
+    rows = done.filter("chunk is null").select("doc_id", "n", "fp", "cells")
+    classes = scratch.keep(rows.filter("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("cells").alias("cells")), "classes")
     near = scratch.keep(neighbours(prefixes(docs, ranks)), "near")
     pairs = scratch.keep(near.filter("b is not null").select("a", "b").distinct(), "pairs1")
     long = near.filter("b is null").select("token", F.col("a").alias("fp"), "n", "pos")
 
     def link(todo: DataFrame, name: str) -> DataFrame:
+        todo = scratch.keep(within_reach(todo, classes), f"reach-{name}")
         wanted = todo.select(F.col("a").alias("fp")).union(todo.select(F.col("b").alias("fp"))).distinct()
-        holders = scratch.keep(classes.join(wanted, "fp", "left_semi"), f"holders-{name}")
+        holders = scratch.keep(classes.drop("cells").join(wanted, "fp", "left_semi"), f"holders-{name}")
         sets = scratch.keep(_sets(docs, holders), f"sets-{name}")
         links = scratch.keep(verified(todo, sets), f"links-{name}")
         scratch.drop(f"sets-{name}")
@@ -401,16 +446,15 @@ def similar_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         named = connected_components(links, scratch, f"bridged{turn}")
     rest = across(labelled(named)).groupBy("z").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
     rest = scratch.keep(rest, "rest")
-    wanted = rest.select(F.col("z").alias("fp")).union(rest.select(F.explode("xs"))).distinct()
-    holders = scratch.keep(classes.join(wanted, "fp", "left_semi"), "holders-rest")
+    holders = scratch.keep(classes.drop("cells").join(named_in(rest), "fp", "left_semi"), "holders-rest")
     many = holders.count()
     if many:
         sets = scratch.keep(_sets(docs, holders), "sets-rest")
         links = links.unionByName(scratch.keep(linked_across(rest, sets, 1 + many // SETS), "links-rest"))
         named = connected_components(links, scratch, "last")
-    rooted = classes.join(named.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.drop("cells").join(named.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.keep(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     answer = scratch.keep(rooted.join(least, "root").select("fp", "least"), "answer")
-    out = rows.join(answer, "fp", "left")
+    out = rows.drop("cells").join(answer, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

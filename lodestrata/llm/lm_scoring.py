@@ -59,13 +59,14 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _wide(x: np.ndarray) -> bytes:
-    """Numbers of words: 32 bits if all fit, else 64."""
-    kind = np.dtype("<u4") if int(x.max(initial=0)) < (1 << 32) else np.dtype("<u8")
-    return kind.char.encode() + raw(x.astype(kind))
+    """Numbers of words, 32 bits if all fit, else 64; byte by byte and compressed, since frequent words have low numbers."""
+    size = 4 if int(x.max(initial=0)) < (1 << 32) else 8
+    return bytes([size]) + pack(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T)
 
 
 def _from_wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data[1:], np.dtype(data[:1].decode())).astype(np.uint64)
+    planes = unpack(data[1:], np.uint8).reshape(data[0], -1).T
+    return np.ascontiguousarray(planes).view(f"<u{data[0]}").ravel().astype(np.uint64)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -177,7 +178,7 @@ def _tokenised(table: pa.Table, train_of) -> pa.Table:
     own = np.bincount(words, np.repeat(train, sizes), len(names)).astype(np.int64)
     row = (
         table.column("blk")[0].as_py(), raw(ids.fill_null(0).to_numpy(zero_copy_only=False)), raw(ids.is_null().to_numpy(zero_copy_only=False)), raw(~train), raw(sizes.astype(np.int64)),
-        raw(sizes.astype(np.int64)), b"", b"", b"", _planes(words), _wide(names), _small(own), b"", b"",
+        raw(sizes.astype(np.int64)), b"", b"", b"", _planes(words), raw(names), _small(own), b"", b"",
     )
     return _table(STATE, [row])
 
@@ -191,7 +192,7 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
     """The questions of a block for each range."""
     out = []
     if level == 0:
-        names, counts = block.names(), block.counts()
+        names, counts = np.frombuffer(block.row["names"], np.uint64), block.counts()  # hashes, still
         edges = cut(names, bits)
         for r in range(len(edges) - 1):
             c = slice(edges[r], edges[r + 1])
@@ -211,7 +212,7 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
     for r in range(len(edges) - 1):
         c, q = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
         if edges[r] < edges[r + 1]:
-            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), raw(par[q])))
+            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), pack(par[q])))
     return out
 
 
@@ -247,7 +248,8 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -
     if level == 0:
         total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.int64)
         rng = np.uint64(rows[0]["rng"])
-        names = np.arange(len(known), dtype=np.uint64) * np.uint64(1 << bits) + rng  # exact numbers, dealt in turn among ranges
+        names = np.empty(len(known), np.uint64)  # exact numbers, dealt in turn among ranges, the most frequent words first
+        names[np.argsort(-total, kind="stable")] = np.arange(len(known), dtype=np.uint64) * np.uint64(1 << bits) + rng
         stats = (int(total.sum()), int((total > 0).sum()), int(names.max(initial=np.uint64(0))))
         for k, r in enumerate(rows):
             mine = place[at_ctx : at_ctx + len(ctxs[k])]
@@ -265,7 +267,7 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -
     total = np.bincount(of, np.concatenate(counts), len(pairs))
     own = (pairs // many).astype(np.int64)
     parent = np.zeros(len(pairs))
-    parent[of] = np.concatenate([np.frombuffer(r["par"], np.float32) for r in rows])
+    parent[of] = np.concatenate([unpack(r["par"], np.float32) for r in rows])
     n, t, retained, closed = _tested(total, own, parent, len(known), least, nats)
     marks = (retained * RETAINED + closed * CLOSED).astype(np.uint8)
     total = total.astype(np.int64)
@@ -287,6 +289,10 @@ def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, in
     names = None
     if level == 0:
         count, names = joined("counts", _from_small), joined("names", _from_wide).astype(np.uint64)
+        order = np.argsort(names)  # from now on words are in the order of their numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        names, count, block.words = names[order], count[order], rank[block.words]
         at = np.arange(many)
         p = ((count + 0.5) / (n_all + 0.5 * (v_all + 1)))[block.words]
         row["base"] = raw(np.bincount(block.doc, np.log10(p), docs))

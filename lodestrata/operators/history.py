@@ -118,3 +118,35 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: list[str], paren
     named = parents.select(*[F.col(p).alias(c) for c, p in zip(child_key, parent_key, strict=True)])
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_key])
     return children.filter(present).join(named, child_key, "left_anti")
+
+
+def scoped_staleness(results: DataFrame, inputs: DataFrame, scope: list[str], id_column: str, digest: str) -> DataFrame:
+    """Add ``is_stale`` to results (scope, dependencies): only changes within a result's own scope count.
+
+    ``inputs`` are the current inputs (scope, id, digest); a scope's fingerprint is order-free and folded before
+    it is joined. ``dependencies`` is the fingerprint that a result was made from; an empty scope has 0.
+    """
+    now = scope_fingerprint(inputs, scope, id_column, digest)
+    renamed = now.select(*[F.col(k).alias(f"_{k}") for k in scope], F.col("dependencies").alias("_now"))
+    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in scope])
+    stale = ~F.col("dependencies").eqNullSafe(F.coalesce("_now", F.lit(0).cast("decimal(38,0)")))
+    return results.join(renamed, match, "left").select(*results.columns, stale.alias("is_stale"))
+
+
+def scope_fingerprint(inputs: DataFrame, scope: list[str], id_column: str, digest: str) -> DataFrame:
+    """(scope, dependencies): the folded hashes of the (id, digest) pairs of each scope."""
+    return inputs.groupBy(*scope).agg(F.sum(F.xxhash64(id_column, digest).cast("decimal(20,0)")).cast("decimal(38,0)").alias("dependencies"))
+
+
+def bound_coverage(coverage: DataFrame, snapshots: DataFrame, acceptances: DataFrame) -> DataFrame:
+    """Coverage results with what they still rest on: add ``currency`` (current, superseded, unaccepted or unknown).
+
+    ``coverage``: scope, snapshot_id, ...; ``snapshots``: scope, snapshot_id (the current one of each scope);
+    ``acceptances``: scope, event_seq, status. A result holds for the snapshot it was computed from, and only while
+    the last event of its scope accepts the geometry.
+    """
+    head = snapshots.select(F.col("scope").alias("_scope"), F.col("snapshot_id").alias("_now"))
+    last = acceptances.groupBy(F.col("scope").alias("_of")).agg(F.max_by("status", "event_seq").alias("_last"))
+    both = coverage.join(head, F.col("scope") == F.col("_scope"), "left").join(last, F.col("scope") == F.col("_of"), "left")
+    currency = F.when(F.col("_now").isNull(), "unknown").when(F.col("_now") != F.col("snapshot_id"), "superseded").when(~F.col("_last").eqNullSafe(F.lit("accepted")), "unaccepted").otherwise("current")
+    return both.select(*coverage.columns, currency.alias("currency"))

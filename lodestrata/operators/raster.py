@@ -6,7 +6,7 @@ aggregate, so no tile is gathered and any number of sources can stand side by si
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,38 @@ def pair_differences(grids: DataFrame, source: str = "source") -> DataFrame:
     a = grids.filter("valid").select(F.col(source).alias("a"), "row", "col", F.col("value").alias("_va"))
     b = grids.filter("valid").select(F.col(source).alias("b"), "row", "col", F.col("value").alias("_vb"))
     return a.join(b, ["row", "col"]).filter("a < b").select("a", "b", "row", "col", (F.col("_va") - F.col("_vb")).alias("difference"))
+
+
+def to_map(col: Column, row: Column, affine: tuple[float, ...]) -> Column:
+    """Map coordinates (x, y) of pixel coordinates under (a, b, c, d, e, f): x = a col + b row + c, y = d col + e row + f."""
+    a, b, c, d, e, f = affine
+    return F.struct((a * col + b * row + c).alias("x"), (d * col + e * row + f).alias("y"))
+
+
+def to_pixel(x: Column, y: Column, affine: tuple[float, ...]) -> Column:
+    """Pixel coordinates (col, row) of map coordinates: the inverse of ``to_map``."""
+    a, b, c, d, e, f = affine
+    det = a * e - b * d
+    if not det:
+        raise ValueError("the transform has no inverse")
+    dx, dy = x - c, y - f
+    return F.struct(((e * dx - b * dy) / det).alias("col"), ((a * dy - d * dx) / det).alias("row"))
+
+
+def footprint(width: Column, height: Column, affine: tuple[float, ...]) -> Column:
+    """Bounds (xmin, ymin, xmax, ymax) of a north-up raster; another orientation is an error."""
+    a, b, c, d, e, f = affine
+    if b or d or a <= 0 or e >= 0:
+        raise ValueError("the raster is not north-up")
+    return F.struct(F.lit(c).alias("xmin"), (f + e * height).alias("ymin"), (c + a * width).alias("xmax"), F.lit(f).alias("ymax"))
+
+
+def window_of(box: dict[str, Column], width: Column, height: Column, affine: tuple[float, ...]) -> Column:
+    """Cells (row0, row1, col0, col1; ends exclusive) of a north-up raster that a box meets; null if it meets none."""
+    a, b, c, d, e, f = affine
+    if b or d or a <= 0 or e >= 0:
+        raise ValueError("the raster is not north-up")
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(v.cast("long"), most.cast("long")))
+    col0, col1 = inside(F.floor((box["xmin"] - c) / a), width), inside(F.ceil((box["xmax"] - c) / a), width)
+    row0, row1 = inside(F.floor((box["ymax"] - f) / e), height), inside(F.ceil((box["ymin"] - f) / e), height)
+    return F.when((col0 < col1) & (row0 < row1), F.struct(row0.alias("row0"), row1.alias("row1"), col0.alias("col0"), col1.alias("col1")))

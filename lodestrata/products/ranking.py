@@ -49,3 +49,31 @@ def refresh(previous: DataFrame, reductions: DataFrame) -> DataFrame:
 def civil_reductions(pieces: DataFrame) -> DataFrame:
     """Area per civil name of clipped pieces (name, area); a piece without a name is UNKNOWN, not dropped."""
     return pieces.groupBy(F.coalesce("name", F.lit("UNKNOWN")).alias("name")).agg(F.sum("area").alias("area"), F.count("*").alias("n_pieces"))
+
+
+def scenario_areas(gaps: DataFrame, proposals: DataFrame, accepted: DataFrame, size: float) -> DataFrame:
+    """(gap_id, area): what proposals (cand_id, region) add in each gap (gap_id, region) beyond the accepted (cand_id, region).
+
+    Proposals count once where they overlap, and not at all where something accepted lies already. Gaps to which
+    nothing is added have 0.
+    """
+    own = gaps.select("gap_id", F.col("region").alias("g"))
+    bounded = with_bounds(gaps)
+
+    def met(candidates: DataFrame, name: str) -> DataFrame:
+        pairs = box_pairs(bounded, with_bounds(candidates), "gap_id", "cand_id", size).select(F.col("a_id").alias("gap_id"), F.col("b_id").alias("cand_id"))
+        named = pairs.join(candidates.select("cand_id", F.col("region").alias("c")), "cand_id")
+        return named.groupBy("gap_id").agg(F.flatten(F.collect_list("c")).alias(name))
+
+    rows = own.join(met(proposals, "new"), "gap_id").join(met(accepted, "old"), "gap_id", "left")
+
+    @F.pandas_udf("double")
+    def added(g: pd.Series, new: pd.Series, old: pd.Series) -> pd.Series:
+        regions = [(_region(a), _region(b), [] if c is None else _region(c)) for a, b, c in zip(g, new, old, strict=True)]
+        # Within the gap: all that is there with the proposals, less what is there without them.
+        whole = planar.areas_of_pairs([(a, b + c) for a, b, c in regions])["both"]
+        before = planar.areas_of_pairs([(a, c) for a, _, c in regions])["both"]
+        return pd.Series(whole - before)
+
+    found = rows.select("gap_id", added("g", "new", "old").alias("area"))
+    return gaps.select("gap_id").join(found, "gap_id", "left").select("gap_id", F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0)).alias("area"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import json_paths
-from lodestrata.operators import history, raster, validation
+from lodestrata.operators import boxes, history, raster, validation
 from lodestrata.plans.product_queries import _as_region
 from lodestrata.plans.spatial_queries import PARTS_SQL, ZONES_SQL, _parts, _zones
 from lodestrata.plans.tables import Registry, Tables
-from lodestrata.products import ranking
+from lodestrata.products import ingestion, ranking
 
 R = Registry()
 
@@ -185,3 +185,63 @@ def raster_windows(t: Tables) -> DataFrame:
     cells = F.coalesce((F.col("w.row1") - F.col("w.row0")) * (F.col("w.col1") - F.col("w.col0")), F.lit(0))
     corner = raster.to_map(F.col("w.col0"), F.col("w.row0"), AFFINE)
     return w.select("id", F.col("w").isNotNull().alias("met"), cells.alias("n_cells"), corner["x"].alias("west"), corner["y"].alias("north"))
+
+
+@R.add("""
+WITH r AS (
+  SELECT 'parcels' AS source_id, c_custkey AS object_id, CASE WHEN c_custkey % 6 <> 0 THEN 'g' END AS gid, CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE (c_nationkey + CASE WHEN c_custkey % 13 = 0 THEN 100 ELSE 0 END)::VARCHAR END AS code,
+    CASE WHEN c_custkey % 4 = 0 THEN 'elsewhere' ELSE (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) END AS name, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 40)::VARCHAR END AS k,
+    CASE c_custkey % 3 WHEN 0 THEN '2011' WHEN 1 THEN '' ELSE '13/1/2020' END AS d, true AS geo FROM customer
+  UNION ALL
+  SELECT 'table', s_suppkey, 'g', s_nationkey::VARCHAR, NULL, (s_suppkey % 60)::VARCHAR, '2011', false FROM supplier
+), n AS (
+  SELECT *, count(*) OVER (PARTITION BY source_id, k) AS reps, (SELECT count(*) FROM r x WHERE NOT x.geo AND x.k = r.k) AS m, (SELECT count(*) FROM r x WHERE NOT x.geo AND x.k = r.k AND x.code = r.code) AS agree, (SELECT lower(n_name) FROM nation WHERE n_nationkey::VARCHAR = r.code) AS known FROM r
+)
+SELECT source_id, object_id, sha256('b1:' || source_id || ':' || object_id) AS record_id, CASE WHEN geo THEN m END AS candidate_count, CASE WHEN NOT geo THEN 'field_semantics_unverified' WHEN d = '' THEN 'missing' WHEN d <> '2011' THEN 'malformed_or_uninterpreted' END AS reason,
+  concat_ws(',', CASE WHEN trim(code) = '' THEN 'blank_jurisdiction' END, CASE WHEN trim(code) <> '' AND known IS NULL THEN 'unrecognized_jurisdiction' END, CASE WHEN geo AND known <> lower(name) THEN 'code_name_conflict' END,
+    CASE WHEN k IS NULL THEN 'missing_candidate_key' END, CASE WHEN k IS NOT NULL AND reps > 1 THEN 'repeated_candidate_key_in_batch' END, CASE WHEN gid IS NULL THEN 'missing_global_id' END, CASE WHEN geo AND d = '' THEN 'missing_source_date' END,
+    CASE WHEN geo AND d = '13/1/2020' THEN 'uninterpreted_source_date' END, CASE WHEN geo AND code IN ('1', '2', '3') THEN 'source_overlap_unresolved' END, CASE WHEN NOT geo THEN 'assessment_date_semantics' END,
+    CASE WHEN geo AND m = 0 THEN 'assessment_no_match' END, CASE WHEN geo AND m > 1 THEN 'assessment_multiple_candidates' END, CASE WHEN geo AND m > CASE WHEN trim(code) = '' THEN 0 ELSE agree END THEN 'assessment_geocode_disagreement' END) AS flags
+FROM n
+""")
+def ingestion_batch(t: Tables) -> DataFrame:
+    """A batch of parcels and tabular records with identities, date states, candidates and quality flags."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    names = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    code = F.when(c % 9 == 0, " ").otherwise((F.col("c_nationkey") + F.when(c % 13 == 0, 100).otherwise(0)).cast("string"))
+    parcels = t.customer.join(names, "c_nationkey", "left").select(
+        F.lit("parcels").alias("source_id"), c.alias("object_id"), F.when(c % 6 != 0, "g").alias("global_id"), code.alias("code"), F.when(c % 4 == 0, "elsewhere").otherwise(F.col("n_name")).alias("name"),
+        F.when(c % 7 != 0, (c % 40).cast("string")).alias("candidate_key"), F.lit(ingestion.GEOMETRY).alias("record_kind"), F.when(c % 3 == 0, "2011").when(c % 3 == 1, "").otherwise("13/1/2020").alias("raw_date"),
+    )
+    table = t.supplier.select(F.lit("table").alias("source_id"), s.alias("object_id"), F.lit("g").alias("global_id"), F.col("s_nationkey").cast("string").alias("code"), F.lit(None).cast("string").alias("name"), (s % 60).cast("string").alias("candidate_key"), F.lit(ingestion.TABULAR).alias("record_kind"), F.lit("2011").alias("raw_date"))
+    reference = t.nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("common_name"))
+    done = ingestion.classified(parcels.unionByName(table), reference, reference.filter("code in ('1', '2', '3')").select("code"), "b1", "parcels")
+    return done.select("source_id", "object_id", "record_id", "candidate_count", F.col("parsed_date.reason").alias("reason"), F.array_join("quality_flags", ",").alias("flags"))
+
+
+@R.add(f"""
+WITH p AS (SELECT *, 'source-' || id % 3 AS source_id, id % 13 = 0 AS held FROM ({PARTS_SQL})),
+r AS (SELECT *, CASE WHEN held THEN 'held' WHEN xmin > 500 OR xmax < 100 OR ymin > 500 OR ymax < 100 THEN 'outside' WHEN xmin < 500 AND xmax > 100 AND ymin < 500 AND ymax > 100 THEN 'interior' ELSE 'touch' END AS relation FROM p)
+SELECT source_id, count(*) AS n_rows, count(*) FILTER (relation = 'interior') AS n_interior, count(*) FILTER (relation = 'touch') AS n_touch, count(*) FILTER (relation = 'outside') AS n_outside, count(*) FILTER (held) AS n_held,
+  sha256(string_agg(id || ':' || sha256('part ' || id) || chr(10), '' ORDER BY id)) AS fingerprint FROM r GROUP BY 1
+""")
+def area_inventory(t: Tables) -> DataFrame:
+    """The manifest of each source within a study box: relations, holds and fingerprints."""
+    held = F.col("id") % 13 == 0
+    box = {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}
+    relation = boxes.scope_relation(box, {"xmin": 100.0, "ymin": 100.0, "xmax": 500.0, "ymax": 500.0}, held)
+    rows = _parts(t).select(F.concat(F.lit("source-"), (F.col("id") % 3).cast("string")).alias("source_id"), F.col("id").alias("object_id"), F.sha2(F.concat(F.lit("part "), F.col("id").cast("string")), 256).alias("digest"), F.when(held, "ring held").alias("hold"), relation.alias("scope_relation"))
+    return ingestion.inventory(rows)
+
+
+@R.add("""
+WITH b AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 97 <> 5 GROUP BY 1), a AS (SELECT o_custkey AS k, count(*) AS n, round(sum(CASE WHEN o_orderkey % 101 = 9 THEN 0 ELSE o_totalprice END), 2) AS total FROM orders GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'changed' END AS change, b.n AS n_before, a.n AS n_after, b.total AS total_before, a.total AS total_after
+FROM a FULL JOIN b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n OR a.total IS DISTINCT FROM b.total
+""")
+def recomputed_results(t: Tables) -> DataFrame:
+    """Customers whose totals a recomputation changed, with both values."""
+    sums = lambda df, price: df.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum(price), 2).alias("total"))
+    before = sums(t.orders.filter("o_orderkey % 97 <> 5"), F.col("o_totalprice"))
+    after = sums(t.orders, F.when(F.col("o_orderkey") % 101 == 9, 0).otherwise(F.col("o_totalprice")))
+    return ingestion.recomputed(before, after, ["o_custkey"], ["n", "total"])

@@ -77,11 +77,3 @@ def tile_of(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float, n:
     """Tile number of a point in an n by n tiling of an extent; the upper edges belong to the last tiles."""
     place = lambda v, lo, hi: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - lo) * n / (hi - lo)))).cast("int")
     return place(y, y0, y1) * n + place(x, x0, x1)
-
-
-def gate_class(distances: DataFrame, key: str, distance: str, agrees: Column, gate: float) -> DataFrame:
-    """Per key: none, single_agree, single_conflict or multiple candidates within a gate."""
-    near = F.col(distance) <= gate
-    sums = distances.groupBy(key).agg(F.count_if(near).alias("n"), F.count_if(near & agrees).alias("_ok"))
-    state = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "multiple").when(F.col("_ok") == 1, "single_agree").otherwise("single_conflict")
-    return sums.select(key, "n", state.alias("match_class"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators import boxes, raster, sequences
+from lodestrata.operators import boxes, raster, sequences, vectors
 from lodestrata.plans.tables import Registry, Tables
 
 R = Registry()
@@ -130,13 +130,12 @@ SELECT id, n, CASE WHEN n = 0 THEN 'none' WHEN n > 1 THEN 'multiple' WHEN ok = 1
 def distance_gate(t: Tables) -> DataFrame:
     """Match class of every twentieth vector against all vectors within a gate.
 
-    The query vectors are a stated set; they are sent to the table in blocks of bounded size.
+    The query vectors are a stated set; they meet the table in blocks and tiles of bounded size.
     """
-    e = t.embeddings.select("vec_id", "embedding", "label")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    square = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    d = q.join(e, F.col("id") != F.col("vec_id")).select("id", F.sqrt(square).alias("dist"), (F.col("label") == F.col("q_label")).alias("same"))
-    return boxes.gate_class(d, "id", "dist", F.col("same"), 9.2)
+    all_vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    m = vectors.matches_within(all_vectors.filter("id % 20 = 0"), all_vectors, 9.2)
+    kind = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "multiple").when(F.col("n_same") == 1, "single_agree").otherwise("single_conflict")
+    return m.select("id", "n", kind.alias("match_class"))
 
 
 GRID_SQL = "SELECT (l_partkey % 60)::INT AS row, (l_suppkey % 40)::INT AS col, sum(l_quantity) / 10 AS value, count(*) % 9 <> 0 AS valid FROM lineitem GROUP BY 1, 2"

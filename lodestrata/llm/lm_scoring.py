@@ -32,7 +32,7 @@ LEAST = 2  # training occurrences that a context needs
 DIVERGENCE = 0.05  # nats
 CHARS = 6_000_000  # bytes of text of a block
 END = np.uint64(0x9D5C3A1B7F2E4C61)
-START = np.uint64(0xFFFFFFFFFFFFFFFF)
+START = np.uint64(0)  # the number of the start symbol; words are numbered from 1
 STATE = "blk int, ids binary, nulls binary, held binary, sizes binary, kept_sizes binary, known binary, base binary, score binary, words binary, names binary, counts binary, open binary, p binary"
 ASK = "rng int, blk int, ctx binary, lens binary, sym binary, counts binary, par binary"
 ANSWER = "rng int, blk int, counts binary, ctx_n binary, marks binary, names binary, tokens long, kinds long, top long"
@@ -51,11 +51,11 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 
 def _planes(x: np.ndarray) -> bytes:
     """Unsigned integers of 32 bits byte by byte: the upper bytes are nearly all zero and compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _wide(x: np.ndarray) -> bytes:
@@ -120,19 +120,21 @@ class Grams:
             order = np.argsort(own)
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            known, where = own[order], rank[before(1)]
+            known, where = np.r_[names.astype(np.uint64), START][order], rank[before(1)]
+            self.order = own[order]
         else:
             h = np.full(len(at), level, np.uint64)
             for back in range(1, level + 1):
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[before(back)])
             known, where = _ranked(h)
+            self.order = known
         many = np.int64(len(names))
         pairs, self.place = _ranked(where * many + words[at])
         pairs = pairs.astype(np.int64)
         pair_ctx, self.word = pairs // many, pairs % many
         lens = np.bincount(pair_ctx, minlength=len(known))
         used = lens > 0
-        self.ctx, self.lens = known[used], lens[used]
+        self.ctx, self.order, self.lens = known[used], self.order[used], lens[used]  # words by number, longer contexts by hash
         self.pair_ctx = (np.cumsum(used) - 1)[pair_ctx]
 
 
@@ -205,14 +207,18 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
     grams = block.grams(at, level)
     sym = block.names()[grams.word]
     counts = np.bincount(grams.place, ~block.held[block.doc[at]], len(sym)).astype(np.int64)
-    par = np.zeros(len(sym), np.float32)
-    par[grams.place] = p
-    edges = cut(grams.ctx, bits)
+    if level == 1:  # the parent's probabilities follow from the words' counts
+        roots, parents = block.counts()[grams.word], _small
+    else:
+        roots, parents = np.zeros(len(sym), np.float32), pack
+        roots[grams.place] = p
+    contexts = _wide if level == 1 else raw
+    edges = cut(grams.order, bits)
     pairs = np.r_[0, np.cumsum(grams.lens)][edges]
     for r in range(len(edges) - 1):
         c, q = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
         if edges[r] < edges[r + 1]:
-            out.append((r, block.blk, raw(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), pack(par[q])))
+            out.append((r, block.blk, contexts(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), parents(roots[q])))
     return out
 
 
@@ -238,10 +244,10 @@ def _tested(total, own, parent, many: int, least: int, nats: float):
     return n.astype(np.int64), t.astype(np.int64), retained, closed
 
 
-def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -> pa.Table:
+def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float, totals: tuple[int, int]) -> pa.Table:
     """One range of one level: add what the blocks counted, test contexts, answer each block in the order asked."""
     rows = table.to_pylist()
-    ctxs = [np.frombuffer(r["ctx"], np.uint64) for r in rows]
+    ctxs = [_from_wide(r["ctx"]) if level == 1 else np.frombuffer(r["ctx"], np.uint64) for r in rows]
     counts = [_from_small(r["counts"]) for r in rows]
     known, place = _ranked(np.concatenate(ctxs))
     out, at_pair, at_ctx = [], 0, 0
@@ -249,7 +255,7 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -
         total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.int64)
         rng = np.uint64(rows[0]["rng"])
         names = np.empty(len(known), np.uint64)  # exact numbers, dealt in turn among ranges, the most frequent words first
-        names[np.argsort(-total, kind="stable")] = np.arange(len(known), dtype=np.uint64) * np.uint64(1 << bits) + rng
+        names[np.argsort(-total, kind="stable")] = np.arange(len(known), dtype=np.uint64) * np.uint64(1 << bits) + rng + np.uint64(1)
         stats = (int(total.sum()), int((total > 0).sum()), int(names.max(initial=np.uint64(0))))
         for k, r in enumerate(rows):
             mine = place[at_ctx : at_ctx + len(ctxs[k])]
@@ -267,7 +273,7 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float) -
     total = np.bincount(of, np.concatenate(counts), len(pairs))
     own = (pairs // many).astype(np.int64)
     parent = np.zeros(len(pairs))
-    parent[of] = np.concatenate([unpack(r["par"], np.float32) for r in rows])
+    parent[of] = np.concatenate([_roots(totals)(_from_small(r["par"])) if level == 1 else unpack(r["par"], np.float32) for r in rows])
     n, t, retained, closed = _tested(total, own, parent, len(known), least, nats)
     marks = (retained * RETAINED + closed * CLOSED).astype(np.uint8)
     total = total.astype(np.int64)
@@ -356,8 +362,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DE
 
         return state.mapInArrow(run, ASK)
 
-    def answer(level: int):
-        return lambda table: _answered(table, level, bits, least, nats)
+    def answer(level: int, totals):
+        return lambda table: _answered(table, level, bits, least, nats, totals)
 
     def taker(level: int, totals):
         def run(table, got):
@@ -368,7 +374,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DE
     state = scratch.keep(in_blocks(docs, count).groupBy("blk").applyInArrow(lambda table: _tokenised(table, train_of), STATE), "tokens")
     old, totals = "tokens", (0, 0)
     for level in range(depth + 1):
-        answers = scratch.keep(asked(state, level, totals).groupBy("rng").applyInArrow(answer(level), ANSWER), f"answers{level}")
+        answers = scratch.keep(asked(state, level, totals).groupBy("rng").applyInArrow(answer(level, totals), ANSWER), f"answers{level}")
         if not level:
             sums = answers.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
             totals = (sums.n or 0, sums.v or 0)

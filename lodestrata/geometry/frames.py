@@ -6,8 +6,10 @@ run on rows or on groups of one subject; subjects and sources meet through grid
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +37,7 @@ def _region(value):
 
 
 @F.pandas_udf(_struct(region=REGION_TYPE, hold=T.StringType()))
-def decoded_rings(rings: pd.Series) -> pd.DataFrame:
+def _decoded_rings(rings: pd.Series) -> pd.DataFrame:
     """Region of service rings, or the reason why they are held."""
     rows = []
     for r in rings:
@@ -45,13 +47,13 @@ def decoded_rings(rings: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def ring_reason(ring: pd.Series) -> pd.Series:
+def _ring_reason(ring: pd.Series) -> pd.Series:
     """Why a ring is not simple; null if it is."""
     return ring.map(lambda r: "missing" if r is None else planar.ring_fault([tuple(p) for p in r]))
 
 
 @F.pandas_udf(_struct(loops=RINGS_TYPE, hold=T.StringType()))
-def split_touches(ring: pd.Series) -> pd.DataFrame:
+def _split_touches(ring: pd.Series) -> pd.DataFrame:
     """Loops of a ring cut at twice-visited vertices."""
     rows = []
     for r in ring:
@@ -61,7 +63,7 @@ def split_touches(ring: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(_struct(**dict.fromkeys(("left", "right", "both", "either", "left_only", "right_only"), T.DoubleType())))
-def overlay_areas(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+def _overlay_areas(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Boolean areas of pairs of regions; null where one is missing."""
     there = left.notna() & right.notna()
     areas = planar.areas_of_pairs([(_region(a), _region(b)) for a, b in zip(left[there], right[there], strict=True)])
@@ -69,17 +71,74 @@ def overlay_areas(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def region_relation(left: pd.Series, study: pd.Series) -> pd.Series:
+def _region_relation(left: pd.Series, study: pd.Series) -> pd.Series:
     """interior, touch or outside; held where a region is missing."""
     return pd.Series(["held" if a is None or b is None else planar.relation(_region(a), _region(b)) for a, b in zip(left, study, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
-def hausdorff(left: pd.Series, right: pd.Series) -> pd.Series:
+def _hausdorff(left: pd.Series, right: pd.Series) -> pd.Series:
     """Discrete Hausdorff distance of two polygons' rings; null where one is missing."""
     return pd.Series([None if a is None or b is None else planar.hausdorff(_plain(a), _plain(b)) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
+_CORNERS = [[0.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0], [0.0, 0.0]]
+
+
+def stand_in() -> Column:
+    """A unit box as a region: what travels into Python where there is no region."""
+    return F.array(F.array(F.array(*[F.array(*map(F.lit, p)) for p in _CORNERS])))
+
+
+def _whole(run, depth: int, *columns, null=None):
+    """``run`` on nested arrays, ``null`` where one is missing.
+
+    A batch in which all arrays of arrays are null does not survive the way into pandas, so a box stands in.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+    box = F.array(*[F.array(*map(F.lit, p)) for p in _CORNERS])
+    for _ in range(depth):
+        box = F.array(box)
+    there = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+    found = run(*[F.coalesce(c, box) for c in columns])
+    return F.when(there, found) if null is None else F.when(there, found).otherwise(null)
+
+
+def _hold(reason: str, **fields) -> Column:
+    """The struct of a geometry that is not there."""
+    return F.struct(*[F.lit(None).cast(t).alias(n) for n, t in fields.items()], F.lit(reason).alias("hold"))
+
+
+def decoded_rings(rings) -> Column:
+    """Region of service rings, or the reason why they are held."""
+    return _whole(_decoded_rings, 1, rings, null=_hold("missing rings", region=REGION))
+
+
+def ring_reason(ring) -> Column:
+    """Why a ring is not simple; null if it is."""
+    return _whole(_ring_reason, 0, ring, null=F.lit("missing"))
+
+
+def split_touches(ring) -> Column:
+    """Loops of a ring cut at twice-visited vertices."""
+    return _whole(_split_touches, 0, ring, null=_hold("missing", loops=RINGS))
+
+
+def overlay_areas(left, right) -> Column:
+    """Boolean areas of pairs of regions; null where one is missing."""
+    return _whole(_overlay_areas, 2, left, right)
+
+
+def region_relation(left, study) -> Column:
+    """interior, touch or outside; held where a region is missing."""
+    return _whole(_region_relation, 2, left, study, null=F.lit("held"))
+
+
+def hausdorff(left, right) -> Column:
+    """Discrete Hausdorff distance of two polygons' rings; null where one is missing."""
+    return _whole(_hausdorff, 1, left, right)
+
+
 def transformed(rings, operation: str):
     """Rings through a named operation; one vectorised call for each batch."""
 
@@ -92,7 +151,7 @@ def transformed(rings, operation: str):
         flat = iter(zip(x.tolist(), y.tolist(), strict=True))
         return column.map(lambda r: None if r is None else [[list(next(flat)) for _ in ring] for ring in r])
 
-    return run(rings)
+    return _whole(run, 1, rings)
 
 
 def box_region(xmin, ymin, xmax, ymax):

@@ -60,7 +60,7 @@ def null_profile(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     counted = df.agg(
         F.count("*").alias("_n"),
         *[F.count_if(F.col(c).isNull()).alias(f"_null_{k}") for k, c in enumerate(columns)],
-        *[F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) == "")).alias(f"_blank_{k}") for k, c in enumerate(columns)],
+        *[F.count_if(F.col(c).isNotNull() & is_blank(F.col(c).cast("string"))).alias(f"_blank_{k}") for k, c in enumerate(columns)],
     )
     rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_null_{k}").alias("n_null"), F.col(f"_blank_{k}").alias("n_blank")) for k, c in enumerate(columns)])
     return counted.select("_n", F.explode(rows).alias("r")).select(F.lit(kind).alias("kind"), "r.field", F.col("_n").alias("n_rows"), "r.n_null", "r.n_blank")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.geometry import planar
-from lodestrata.geometry.frames import REGION, _region, with_bounds
+from lodestrata.geometry.frames import REGION, _region, stand_in, with_bounds
 from lodestrata.operators.boxes import box_pairs
 
 # What a topic can never establish from inventories alone.
@@ -33,7 +33,7 @@ def qualify(aois: DataFrame, features: DataFrame, topics: DataFrame, size: float
     held = keyed.filter("hold is not null and held_bounds is not null").select("fid", "source_id", "object_id", F.lit(None).cast(REGION).alias("region"), "hold", *[F.col(f"held_bounds.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
     known = sound.unionByName(held)
     pairs = box_pairs(areas, known.withColumnRenamed("fid", "id"), "id", "id", size).select(F.col("a_id").alias("aoi_id"), F.col("b_id").alias("fid"))
-    met = pairs.join(known.select("fid", "source_id", "object_id", F.col("region").alias("f"), "hold"), "fid").join(topics, "source_id")
+    met = pairs.join(known.select("fid", "source_id", "object_id", F.coalesce("region", stand_in()).alias("f"), "hold"), "fid").join(topics, "source_id")
     met = met.join(aois.select("aoi_id", F.col("region").alias("a")), "aoi_id")
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import decrease
 from lodestrata.geometry import planar
-from lodestrata.geometry.frames import _region, box_region, overlay_areas, with_bounds
+from lodestrata.geometry.frames import _region, box_region, overlay_areas, stand_in, with_bounds
 from lodestrata.operators.boxes import BOX, box_pairs
 from lodestrata.operators.sequences import ranked
 
@@ -68,12 +68,12 @@ def scenario_areas(gaps: DataFrame, proposals: DataFrame, accepted: DataFrame, s
     rows = own.join(met(proposals, "new"), "gap_id").join(met(accepted, "old"), "gap_id", "left")
 
     @F.pandas_udf("double")
-    def added(g: pd.Series, new: pd.Series, old: pd.Series) -> pd.Series:
-        regions = [(_region(a), _region(b), [] if c is None else _region(c)) for a, b, c in zip(g, new, old, strict=True)]
+    def added(g: pd.Series, new: pd.Series, old: pd.Series, known: pd.Series) -> pd.Series:
+        regions = [(_region(a), _region(b), _region(c) if yes else []) for a, b, c, yes in zip(g, new, old, known, strict=True)]
         # Within the gap: all that is there with the proposals, less what is there without them.
         whole = planar.areas_of_pairs([(a, b + c) for a, b, c in regions])["both"]
         before = planar.areas_of_pairs([(a, c) for a, _, c in regions])["both"]
         return pd.Series(whole - before)
 
-    found = rows.select("gap_id", added("g", "new", "old").alias("area"))
+    found = rows.select("gap_id", added("g", "new", F.coalesce("old", stand_in()), F.col("old").isNotNull()).alias("area"))
     return gaps.select("gap_id").join(found, "gap_id", "left").select("gap_id", F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0)).alias("area"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalars import stripped
+
 
 def missing_links(units: DataFrame, legends: DataFrame, components: DataFrame) -> DataFrame:
     """(mukey, missing) for units whose legend or components are not there."""
@@ -15,7 +17,7 @@ def missing_links(units: DataFrame, legends: DataFrame, components: DataFrame) -
 
 def mixtures(components: DataFrame) -> DataFrame:
     """Per unit: components, exact listed total, unlisted rest and percentage state. Nothing is normalised."""
-    text = F.trim(F.col("percent").cast("string"))
+    text = stripped(F.col("percent").cast("string"))
     value = F.when(text != "", text.cast("decimal(12,4)"))
     s = components.groupBy("mukey").agg(F.count("*").alias("component_count"), F.count(value).alias("_known"), F.sum(value).alias("_sum"))
     total = F.when(F.col("_known") == F.col("component_count"), F.col("_sum"))

@@ -104,7 +104,7 @@ def page_drift(pages: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 
 
 def key_chunks(keys: DataFrame, key: str, size: int = 20) -> DataFrame:
-    """Distinct keys in chunks for dependent requests: (chunk, keys), even by hash."""
+    """Distinct keys in chunks for dependent requests: (chunk, keys); the last chunk of each partition may be smaller."""
     distinct = keys.filter(F.col(key).isNotNull()).select(key).distinct()
     ranked = distinct.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() % (1 << 33))
     return ranked.groupBy("_p", F.floor(F.col("_n") / size).alias("_c")).agg(F.array_sort(F.collect_list(key)).alias("keys")).select(F.concat_ws("-", "_p", "_c").alias("chunk"), "keys")

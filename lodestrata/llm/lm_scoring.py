@@ -69,6 +69,16 @@ def _from_wide(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes).view(f"<u{data[0]}").ravel().astype(np.uint64)
 
 
+def _ascending(x: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte: the upper bytes are zero where many hashes share a range."""
+    return pack(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_ascending(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(unpack(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _small(x: np.ndarray) -> bytes:
     """Counts in the narrowest unsigned type that holds them all, compressed."""
     kind = np.min_scalar_type(int(x.max(initial=0)))
@@ -212,7 +222,7 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
     else:
         roots, parents = np.zeros(len(sym), np.float32), pack
         roots[grams.place] = p
-    contexts = _wide if level == 1 else raw
+    contexts = _wide if level == 1 else _ascending
     edges = cut(grams.order, bits)
     pairs = np.r_[0, np.cumsum(grams.lens)][edges]
     for r in range(len(edges) - 1):
@@ -247,7 +257,8 @@ def _tested(total, own, parent, many: int, least: int, nats: float):
 def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float, totals: tuple[int, int]) -> pa.Table:
     """One range of one level: add what the blocks counted, test contexts, answer each block in the order asked."""
     rows = table.to_pylist()
-    ctxs = [_from_wide(r["ctx"]) if level == 1 else np.frombuffer(r["ctx"], np.uint64) for r in rows]
+    read = np.frombuffer if level == 0 else _from_wide if level == 1 else _from_ascending
+    ctxs = [read(r["ctx"], np.uint64) if level == 0 else read(r["ctx"]) for r in rows]
     counts = [_from_small(r["counts"]) for r in rows]
     known, place = _ranked(np.concatenate(ctxs))
     out, at_pair, at_ctx = [], 0, 0

@@ -81,7 +81,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
 
     nothing = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<string>)")
     if candidates is None:
-        return aside.back(docs, F.size(words(F.col("text"))).cast("long").alias("n_words"), nothing[0].alias("hit"), nothing[1].alias("item_ids"))
+        return aside.back(docs, {"n_words": F.size(words(F.col("text"))).cast("long"), "hit": nothing[0], "item_ids": nothing[1]})
     by_doc = candidates.join(windows.select("win_id", "win", "item_ids"), "win_id").groupBy("_key").agg(F.collect_set(F.struct("start", "win", "item_ids")).alias("_near"))
 
     def judged(ws: Column) -> Column:
@@ -92,4 +92,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep, window: int = WINDOW)
         return F.when(F.col("_near").isNull(), none).otherwise(let(found, lambda f: F.struct(F.size(ws).cast("long").alias("n_words"), hit(f).alias("hit"), ids(f).alias("item_ids"))))
 
     joined = docs.join(by_doc.hint("shuffle_hash"), "_key", "left").select(*docs.columns, let(words(F.col("text")), judged).alias("_r"))
-    return aside.back(joined, "_r.n_words", "_r.hit", "_r.item_ids")
+    return aside.back(joined, {n: f"_r.{n}" for n in ("n_words", "hit", "item_ids")})

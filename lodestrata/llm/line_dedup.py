@@ -276,7 +276,9 @@ def dedup_lines(docs: DataFrame, keep, edits: int = EDITS, exact_chars: int = EX
     lines = lines_of(F.col("text"))
     return aside.back(
         joined,
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, left)).alias("kept_text"),
+        {
+            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+            "n_removed": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"),
+            "kept_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, left)),
+        },
     )

@@ -94,5 +94,5 @@ def mix(sized: DataFrame, weights=cyclic_weights, max_epochs: int = MAX_EPOCHS,
     once_more = (bucket(F.col("doc_id"), seed) <= F.col("_cut")) & (F.col("_whole") < max_epochs)
     repeats = F.col("_whole") + F.coalesce(once_more, F.lit(False)).cast("long")
     joined = sized.join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    return aside.back(joined, "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))
+    return aside.back(joined, {"source_size": "source_size", "target": "target", "taken": repeats * F.col("size"), "repeats": repeats})
 

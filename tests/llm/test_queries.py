@@ -87,6 +87,20 @@ def test_operators_keep_columns_of_any_name(spark):
         assert not any(str(r[c]).startswith("own ") for r in out.select(*added).collect() for c in added)
 
 
+def test_columns_named_like_internal_ones_do_not_change_texts(spark):
+    """A user's column of the same name and type as an internal one must not be taken for it."""
+    text = "first line of a text that is long enough to be compared\nsecond line, which is long enough as well, of course\nthird line of that text, again with some more words"
+    rows = [(1, text), (2, text.split("\n")[1] + "\nand one line that occurs here only, in this document")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = Scratch(spark, "same").keep
+    show = lambda df: sorted((r.doc_id, r.n_removed, r.kept_text) for r in df.collect())
+    plain = show(line_dedup.dedup_lines(docs, keep))
+    assert [r[1] for r in plain] == [0, 1]
+    clashing = docs.withColumns({"gone": F.array(F.lit(0)), "_added0": F.lit(5), "lines": F.array(F.lit("x")), "g": F.lit(7)})
+    out = line_dedup.dedup_lines(clashing, keep)
+    assert show(out) == plain and {(tuple(r.gone), r._added0, r.g) for r in out.collect()} == {((0,), 5, 7)}
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     """Nulls, empty texts, repeated rows and clashing names go through every stage; what is clean and single stays."""
     docs = awkward(spark)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, secrets, sql, suffix_dedup, token_counts, toxicity
+from lodestrata.llm import collocations, compaction, decontaminate, embedding_dedup, licences, line_dedup, lm_scoring, mixing, ngram_join, secrets, sql, suffix_dedup, token_counts, toxicity
 from lodestrata.llm.scratch import Scratch
 
 
@@ -98,7 +98,26 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks written as many small files, then compacted; one row a final file."""
+    scratch = Scratch(spark, "op11")
+    return compaction.compact_clicks(spark, _table(spark, sf_dir, "clicks"), f"{scratch.path}/clicks", scratch.keep)
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and spans of licence templates in every document."""
+    return licences.scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES = {
+    "op11_compaction": op11_compaction,
+    "op12_licence_scan": op12_licence_scan,
+    "op13_collocations": op13_collocations,
     "op8_lm_scores": op8_lm_scores,
     "op9_repeated_passages": op9_repeated_passages,
     "op4_ngram_jaccard": op4_ngram_jaccard,
@@ -119,4 +138,5 @@ ORACLES = {
     "op7_line_dedup": sql.OP7_SQL,
     "op9_repeated_passages": sql.OP9_SQL,
     "op10_secret_scan": sql.OP10_SQL,
+    "op13_collocations": sql.OP13_SQL,
 }

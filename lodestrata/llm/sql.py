@@ -176,3 +176,38 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (doc_id)
 """
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS k) WHERE len(ws) >= k)
+), frequent AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (SELECT * FROM frequent WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(ws[:c], ' ') AS head, array_to_string(ws[c + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, h.a AS l, t.a AS r, 2000000::HUGEINT * cuts.a // (h.a + t.a) AS score, c
+  FROM cuts JOIN frequent h ON h.lang = cuts.lang AND h.phrase = head JOIN frequent t ON t.lang = cuts.lang AND t.phrase = tail
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), parts AS (
+  SELECT lang, array_to_string(ws[o : o + w - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, k - w + 2)) AS o FROM candidates, (SELECT unnest(range(2, 4)) AS w) WHERE w < k)
+), longer AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY lang, phrase
+), ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, encode(l.phrase)) AS rank
+  FROM least l LEFT JOIN longer ON longer.lang = l.lang AND longer.phrase = l.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "pra", "sté", "tro") for b in ("lon", "dar", "vis", "gem", "pu", "rix", "ñol")]
 
 
@@ -41,3 +43,8 @@ def corpus(seed: int = 5, n: int = 60) -> list[tuple]:
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Names that operators use inside or add; they must not clash.
 CLASHING = {"fp": 1, "blk": "x", "n": 2.0, "_n": 3, "token": "t", "near": True, "root": 9, "key": "k", "size_": 1}
+
+
+def clash(df):
+    """The table with columns that are named like internal ones."""
+    return df.withColumns({k: F.lit(v) for k, v in CLASHING.items()})

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from common import CLASHING, SCHEMA, corpus, sentence
+from common import SCHEMA, clash, corpus, sentence
 from pyspark.sql import functions as F
 
 from lodestrata.llm import blocks, embedding_dedup, lm_scoring, ngram_join, suffix_dedup, token_counts, toxicity
@@ -15,10 +15,6 @@ from lodestrata.llm.components import connected_components
 from lodestrata.llm.scratch import Scratch
 
 
-def clash(df):
-    return df.withColumns({k: F.lit(v) for k, v in CLASHING.items()})
-
-
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_CHARS", 8_000)

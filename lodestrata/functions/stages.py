@@ -27,8 +27,8 @@ class Stages:
         self.path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Write ``df`` and read it back; a name is used once."""
+        df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

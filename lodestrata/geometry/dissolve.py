@@ -373,15 +373,27 @@ def _stitched(lines: DataFrame, keys: list[str], size: float, stages: Stages) ->
     return named.groupBy("low").applyInArrow(_ring_of(size, keys, schema), schema)
 
 
+def _private(df: DataFrame, keys: list[str], region: str) -> tuple[DataFrame, list[str]]:
+    """The subjects' columns under names that nothing here uses, and the names."""
+    names = [f"_key{k}" for k in range(len(keys))]
+    return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{region}`").alias("_shape")), names
+
+
+def _public(rings: DataFrame, keys: list[str]) -> DataFrame:
+    return rings.select(*[F.col(f"_key{k}").alias(name) for k, name in enumerate(keys)], "label", "ring", "area", "length")
+
+
 def dissolved(df: DataFrame, keys: list[str], region: str, size: float, stages: Stages) -> DataFrame:
     """(*keys, label, ring, area, length): the boundary of the union of the regions of each subject (``keys``).
 
     A ring has the union on its left: shells have positive areas, holes negative ones; label is 1. Rings that
-    touch themselves in a point are one ring. A null region adds nothing, and a subject without any has no row. ``size`` is the
-    grid: it changes the work, not the result (points on straight lines over grid lines are left out).
+    touch themselves in a point are one ring. A null region adds nothing, and a subject without any has no row; null
+    keys are a subject. ``size`` is the grid: it changes the work, not the result (points on straight lines over grid
+    lines are left out).
     """
-    parts = thinned(pieces(df, keys, region, size), keys, size, stages)
-    return _stitched(stages.keep(_cell_lines(gathered(parts, keys), keys, size, _covered), "lines"), keys, size, stages)
+    own, names = _private(df, keys, region)
+    parts = thinned(pieces(own, names, "_shape", size), names, size, stages)
+    return _public(_stitched(stages.keep(_cell_lines(gathered(parts, names), names, size, _covered), "lines"), names, size, stages), keys)
 
 
 def faces(df: DataFrame, keys: list[str], region: str, size: float, stages: Stages) -> DataFrame:
@@ -391,8 +403,9 @@ def faces(df: DataFrame, keys: list[str], region: str, size: float, stages: Stag
     so the lobes of a figure of eight differ in sign and nested rings add up. A positive area is the outer
     boundary of a face, a negative one a hole in it.
     """
-    cells = gathered(pieces(df, keys, region, size, as_given=True), keys)
-    return _stitched(stages.keep(_cell_lines(cells, keys, size, _winding), "lines"), keys, size, stages)
+    own, names = _private(df, keys, region)
+    cells = gathered(pieces(own, names, "_shape", size, as_given=True), names)
+    return _public(_stitched(stages.keep(_cell_lines(cells, names, size, _winding), "lines"), names, size, stages), keys)
 
 
 def roles(rings: DataFrame, thin: float) -> DataFrame:

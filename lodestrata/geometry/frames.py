@@ -62,6 +62,17 @@ def _split_touches(ring: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["loops", "hold"])
 
 
+@F.pandas_udf(_struct(pattern=T.StringType(), loops=RINGS_TYPE, area=T.DoubleType(), hold=T.StringType()))
+def _ring_contacts(ring: pd.Series) -> pd.DataFrame:
+    """Pattern and loops of a ring with contacts, and its signed area; or the reason why it is held."""
+    rows = []
+    for r in ring:
+        points = [tuple(p) for p in r]
+        pattern, loops, hold = planar.contact_pattern(points)
+        rows.append((pattern, loops and [[list(p) for p in loop] for loop in loops], None if hold else planar.signed_area(points), hold))
+    return pd.DataFrame(rows, columns=["pattern", "loops", "area", "hold"])
+
+
 @F.pandas_udf(_struct(**dict.fromkeys(("left", "right", "both", "either", "left_only", "right_only"), T.DoubleType())))
 def _overlay_areas(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Boolean areas of pairs of regions; null where one is missing."""
@@ -124,6 +135,11 @@ def split_touches(ring) -> Column:
     return _whole(_split_touches, 0, ring, null=_hold("missing", loops=RINGS))
 
 
+def ring_contacts(ring) -> Column:
+    """Pattern, loops and signed area of a ring cut at twice-visited vertices, or the reason why it is held."""
+    return _whole(_ring_contacts, 0, ring, null=_hold("missing", pattern="string", loops=RINGS, area="double"))
+
+
 def overlay_areas(left, right) -> Column:
     """Boolean areas of pairs of regions; null where one is missing."""
     return _whole(_overlay_areas, 2, left, right)

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import decrease
+from lodestrata.functions.stages import Stages
 from lodestrata.geometry import planar
-from lodestrata.geometry.frames import _region, box_region, overlay_areas, stand_in, with_bounds
+from lodestrata.geometry.dissolve import cell_areas, gathered, pieces, thinned
+from lodestrata.geometry.frames import _region, box_region, overlay_areas, with_bounds
 from lodestrata.operators.boxes import BOX, box_pairs
 from lodestrata.operators.sequences import ranked
 
@@ -55,25 +57,12 @@ def scenario_areas(gaps: DataFrame, proposals: DataFrame, accepted: DataFrame, s
     """(gap_id, area): what proposals (cand_id, region) add in each gap (gap_id, region) beyond the accepted (cand_id, region).
 
     Proposals count once where they overlap, and not at all where something accepted lies already. Gaps to which
-    nothing is added have 0.
+    nothing is added have 0. All sides are cut to grid cells; an area is the sum over the cells that gap and proposals
+    share, so neither a large gap nor one with many proposals is one task's.
     """
-    own = gaps.select("gap_id", F.col("region").alias("g"))
-    bounded = with_bounds(gaps)
-
-    def met(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = box_pairs(bounded, with_bounds(candidates), "gap_id", "cand_id", size).select(F.col("a_id").alias("gap_id"), F.col("b_id").alias("cand_id"))
-        named = pairs.join(candidates.select("cand_id", F.col("region").alias("c")), "cand_id")
-        return named.groupBy("gap_id").agg(F.flatten(F.collect_list("c")).alias(name))
-
-    rows = own.join(met(proposals, "new"), "gap_id").join(met(accepted, "old"), "gap_id", "left")
-
-    @F.pandas_udf("double")
-    def added(g: pd.Series, new: pd.Series, old: pd.Series, known: pd.Series) -> pd.Series:
-        regions = [(_region(a), _region(b), _region(c) if yes else []) for a, b, c, yes in zip(g, new, old, known, strict=True)]
-        # Within the gap: all that is there with the proposals, less what is there without them.
-        whole = planar.areas_of_pairs([(a, b + c) for a, b, c in regions])["both"]
-        before = planar.areas_of_pairs([(a, c) for a, _, c in regions])["both"]
-        return pd.Series(whole - before)
-
-    found = rows.select("gap_id", added("g", "new", F.coalesce("old", stand_in()), F.col("old").isNotNull()).alias("area"))
-    return gaps.select("gap_id").join(found, "gap_id", "left").select("gap_id", F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0)).alias("area"))
+    of = lambda side, name: gathered(thinned(pieces(side, [], "region", size), [], size, Stages(gaps.sparkSession, f"scenario-{name}")), [], name)
+    own = pieces(gaps, ["gap_id"], "region", size)
+    cells = own.join(of(proposals, "new"), ["cx", "cy"]).join(of(accepted, "old"), ["cx", "cy"], "left")
+    added = {"area": lambda c: (c[0] > 0) & (c[1] > 0) & (c[2] <= 0)}
+    found = cell_areas(cells, ["gap_id"], ["edges", "new", "old"], added, size).groupBy("gap_id").agg(F.sum("area").alias("area"))
+    return gaps.select("gap_id").join(found, "gap_id", "left").select("gap_id", F.coalesce("area", F.lit(0.0)).alias("area"))

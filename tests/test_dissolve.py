@@ -104,6 +104,30 @@ def test_faces_and_roles(spark):
         assert got[3] == [(1, "sliver", 0.2)] and got[4] == []
 
 
+def test_subjects_of_any_name(spark):
+    """Key columns may be named like the columns that the work uses, and may be null."""
+    box = lambda x: [[[[x, 0.0], [x + 3, 0.0], [x + 3, 3.0], [x, 3.0], [x, 0.0]]]]
+    df = spark.createDataFrame([(1, None, box(0.0)), (1, None, box(2.0)), (2, "a", box(8.0)), (None, "a", box(1.0))], "id long, label string, ring array<array<array<array<double>>>>")
+    out = dissolve.dissolved(df.withColumnRenamed("label", "low"), ["id", "low"], "ring", 2.0, Stages(spark, "names")).collect()
+    assert {(r.id, r.low, round(r.area, 9)) for r in out} == {(1, None, 15.0), (2, "a", 9.0), (None, "a", 9.0)}
+
+
+def test_contact_patterns():
+    square, hole = [(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(2, 1), (2, 2), (0, 0)]
+    assert planar.contact_pattern(square)[0] == "simple"
+    pattern, loops, hold = planar.contact_pattern(square + hole)
+    assert (pattern, len(loops), hold) == ("single_touch", 2, None) and planar.segments(loops, True) == planar.segments([square + hole], True)
+    beside = [(9, 0), (9, 9), (0, 0), (-2, 0), (-2, -2), (0, 0)]
+    assert planar.contact_pattern([(0, 0), *beside])[0] == "touching_holes"
+    assert planar.contact_pattern([*square, (-2, -1), (-2, -2), (0, 0)])[2] in ("loops of opposite turn are not nested", "two shells in one ring")
+    two = [(0, 0), (0, 9), (9, 9), (7, 8), (8, 7), (9, 9), (9, 0), (0, 0), *hole]
+    pattern, loops, hold = planar.contact_pattern(two)
+    assert (pattern, hold) == ("two_contacts", None) and planar.segments(loops, True) == planar.segments([two], True)
+    overlap = [(0, 0), (9, 0), (9, 9), (0, 0), (5, 1), (5, 4), (0, 0)]
+    assert planar.contact_pattern(overlap)[2] in ("touching holes overlap", "vertex visited more than twice")
+    assert planar.contact_pattern([*beside[:0], (0, 0), (9, 0), (9, 9), (0, 0), (-2, 0), (-2, -2), (0, 0), (0, 2), (-2, 2), (0, 0)])[2] == "vertex visited more than twice"
+
+
 def test_many_boxes_in_one_gap_are_quick():
     rng = random.Random(1)
     corners = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(200)]

@@ -5,6 +5,8 @@ ascending positions at which it begins. A list of phrases of k words is extended
 with the postings of the adjacent word, narrowed to places where the shifted phrase of k words is frequent
 too, for no other extension can be frequent. The length of a list is the exact frequency in its block, and
 the sum over blocks decides which phrases of k + 1 words are frequent; only those numbers travel back.
+Blocks ask about their phrases in packed arrays, one row for each block and range of phrases, and a range
+answers in the order asked; there are as many ranges as the corpus has millions of words.
 
 A block's lists are held together: positions in order, next to each the number of its phrase. Phrases are
 told apart by exact numbers (number of the shorter phrase, number of the last word), never by hashes.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.scratch import Scratch
 
 BLOCK_BYTES = 8_000_000  # bytes of text in one block; a piece is never cut
+RANGE_WORDS = 1_000_000  # words of the corpus for each range of pairs
 LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a candidate
 COVERED = (80, 100)  # a candidate goes if a longer one has this share of its occurrences
@@ -38,25 +41,39 @@ for _c in _SEPARATORS:
 _table[9] = 32
 _TABLE = bytes(_table)
 
-_ROWS = "blk long, lang string, no int, word string, prefix long, last long, n long, words binary, glob binary, pos binary, cand binary"
-_SCHEMA = pa.schema(
-    [("blk", pa.int64()), ("lang", pa.string()), ("no", pa.int32()), ("word", pa.string()), ("prefix", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]
-    + [(x, pa.binary()) for x in ("words", "glob", "pos", "cand")]
-)
+_STATE = [("words", "binary"), ("glob", "binary"), ("pos", "binary"), ("cand", "binary")]
+#: What a block sends: its words once; later, for each range of pairs, the pairs of (number of a phrase, number of the next word) and how often.
+_WORDS = [("blk", "long"), ("lang", "string"), ("no", "int"), ("word", "string"), ("n", "long"), *_STATE]
+_PAIRS = [("blk", "long"), ("lang", "string"), ("rng", "int"), ("begin", "long"), ("first", "binary"), ("last", "binary"), ("count", "binary"), *_STATE]
+#: What a range says: the frequent pairs with new numbers, and to each block the numbers in the order in which it asked.
+_FOUND = [("prefix", "long"), ("end", "long"), ("a", "long"), ("number", "long"), ("b", "long"), ("begin", "long"), ("numbers", "binary")]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _rows(count: int, **columns) -> pa.RecordBatch:
-    """Rows of the exchange; columns that are not given are null."""
-    made = [columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in _SCHEMA]
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, _SCHEMA, strict=True)], schema=_SCHEMA)
+def _ddl(fields) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields)
+
+
+def _schema(fields) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in fields])
+
+
+def _rows(fields, size: int, /, **columns) -> pa.RecordBatch:
+    """Rows of an exchange; columns that are not given are null."""
+    schema = _schema(fields)
+    made = [columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, schema, strict=True)], schema=schema)
 
 
 def _pack(array: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
+    """Compressed by byte planes: the high bytes of numbers repeat."""
+    array = np.ascontiguousarray(array)
+    return zlib.compress(array.view(np.uint8).reshape(len(array), -1).T.tobytes(), 1)
 
 
-def _unpack(data: bytes | None, dtype) -> np.ndarray:
-    return np.zeros(0, dtype) if data is None else np.frombuffer(zlib.decompress(data), dtype)
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
 def _parts(text: bytes, size: int):
@@ -84,11 +101,11 @@ def _block(blk: int, lang: str, texts: list[bytes]):
     keep = np.flatnonzero(np.arange(len(known)) != dot)
     number = np.full(len(known), -1, np.int32)
     number[keep] = np.arange(len(keep))
-    yield _rows(1, blk=[blk], lang=[lang], words=[_pack(number[found])])
+    yield _rows(_WORDS, 1, blk=[blk], lang=[lang], words=[_pack(number[found])])
     for lo in range(0, len(keep), 50_000):
         part = keep[lo : lo + 50_000]
         words = known.take(pa.array(part)).cast(pa.string())
-        yield _rows(len(part), blk=np.full(len(part), blk), lang=pa.array([lang] * len(part)), no=np.arange(lo, lo + len(part), dtype=np.int32), word=words, n=counts[part])
+        yield _rows(_WORDS, len(part), blk=np.full(len(part), blk), lang=pa.array([lang] * len(part)), no=np.arange(lo, lo + len(part), dtype=np.int32), word=words, n=counts[part])
 
 
 def _in_blocks(size: int):
@@ -120,40 +137,96 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a) if len(b) else np.zeros(len(a), bool)
 
 
-def _extended(k: int):
-    """Lists of k words and the numbers of the frequent phrases among them to lists of k + 1 words."""
+def _range_of(first: np.ndarray, last: np.ndarray, ranges: int) -> np.ndarray:
+    """Where a pair of numbers is counted."""
+    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(ranges)).astype(np.int32)
+
+
+def _numbers(k: int, answers: pa.Table, size: int) -> np.ndarray:
+    """Numbers of a block's candidates by their numbers in the block, -1 for those that are not frequent."""
+    number = np.full(size, -1, np.int64)
+    if k == 1:
+        number[answers["local"].to_numpy()] = answers["number"].to_numpy()
+    else:
+        for begin, packed in zip(answers["begin"].to_pylist(), answers["numbers"].to_pylist(), strict=True):
+            told = _unpack(packed, np.int64)
+            number[begin : begin + len(told)] = told
+    return number
+
+
+def _extended(k: int, ranges: int):
+    """Lists of k words and the numbers of the frequent phrases among them to lists of k + 1 words, and what they ask."""
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        none = pa.Table.from_batches([], _SCHEMA)
+        none = pa.Table.from_batches([], _schema(_PAIRS))
         if not state.num_rows or not answers.num_rows:
             return none
         blk, lang = state["blk"][0].as_py(), state["lang"][0].as_py()
-        no, numbers = answers["local"].to_numpy(), answers["number"].to_numpy()
         words = _unpack(state["words"][0].as_py(), np.int32)
         if k == 1:
             pos, cand = np.arange(len(words), dtype=np.int64), words
         else:
             pos, cand = np.cumsum(_unpack(state["pos"][0].as_py(), np.int32).astype(np.int64)), _unpack(state["cand"][0].as_py(), np.int32)
-        number = np.full(max(int(cand.max(initial=-1)), int(no.max())) + 1, -1, np.int64)
-        number[no] = numbers
+        number = _numbers(k, answers, int(cand.max(initial=0)) + 1)
         held = (cand >= 0) & (number[cand] >= 0)
         pos, cand = pos[held], cand[held]
-        if k == 1:  # words that are not frequent leave all lists, and word numbers become those of the table
+        if k == 1:  # words that are not frequent leave all lists
             glob = number
-            words = np.where(words >= 0, np.where(number[words] >= 0, words, -1), -1).astype(np.int32)
+            words = np.where((words >= 0) & (number[words] >= 0), words, -1).astype(np.int32)
         else:
             glob = _unpack(state["glob"][0].as_py(), np.int64)
         grown = _meet(pos + 1, pos)
-        pos, first = pos[grown], cand[grown]
+        pos, begin = pos[grown], cand[grown]
         if not len(pos):
             return none
-        last = words[pos + k]
-        pair, where, count = np.unique(first.astype(np.int64) * len(glob) + last, return_inverse=True, return_counts=True)
-        ids = dict(blk=np.full(len(pair), blk), lang=pa.array([lang] * len(pair)), no=np.arange(len(pair), dtype=np.int32))
-        out = [_rows(len(pair), **ids, prefix=number[pair // len(glob)], last=glob[pair % len(glob)], n=count)]
+        # A list for each pair; its length is the frequency in this block.
+        pair, where, count = np.unique(begin.astype(np.int64) * len(glob) + words[pos + k], return_inverse=True, return_counts=True)
+        first, last = number[pair // len(glob)], glob[pair % len(glob)]
+        rng = _range_of(first, last, ranges)
+        order = np.lexsort((last, first, rng))
+        place = np.empty(len(pair), np.int32)
+        place[order] = np.arange(len(pair))
+        first, last, count, rng = first[order], last[order], count[order], rng[order]
+        heads = np.r_[0, np.flatnonzero(np.diff(rng)) + 1]
+        cuts = list(zip(heads.tolist(), [*heads[1:].tolist(), len(rng)], strict=True))
+        out = [_rows(
+            _PAIRS, len(cuts), blk=np.full(len(cuts), blk), rng=rng[heads], begin=heads,
+            first=[_pack(np.diff(first[lo:hi], prepend=0)) for lo, hi in cuts], last=[_pack(last[lo:hi]) for lo, hi in cuts], count=[_pack(count[lo:hi].astype(np.int32)) for lo, hi in cuts],
+        )]
         if k + 1 < LONGEST:
             step = np.diff(pos, prepend=0).astype(np.int32)
-            out.append(_rows(1, blk=[blk], lang=[lang], words=[_pack(words)], glob=[_pack(glob)], pos=[_pack(step)], cand=[_pack(where.astype(np.int32))]))
+            out.append(_rows(_PAIRS, 1, blk=[blk], lang=[lang], words=[_pack(words)], glob=[_pack(glob)], pos=[_pack(step)], cand=[_pack(place[where])]))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _counted(least: int):
+    """The frequent pairs of a range with their frequencies and numbers, and the answers to the blocks."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        packed = {n: asked[n].to_pylist() for n in ("blk", "begin", "first", "last", "count")}
+        first = [np.cumsum(_unpack(x, np.int64)) for x in packed["first"]]
+        sizes = [len(x) for x in first]
+        first = np.concatenate(first)
+        last = np.concatenate([_unpack(x, np.int64) for x in packed["last"]])
+        count = np.concatenate([_unpack(x, np.int32) for x in packed["count"]]).astype(np.int64)
+        order = np.lexsort((last, first))
+        new = np.r_[True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0)]
+        heads = np.flatnonzero(new)
+        total = np.add.reduceat(count[order], heads)
+        enough = total >= least
+        number = np.where(enough, (int(asked["rng"][0].as_py()) << 40) + np.cumsum(enough), -1)
+        told = np.empty(len(first), np.int64)
+        told[order] = number[np.cumsum(new) - 1]
+        at = order[heads[enough]]
+        out = [_rows(_FOUND, len(at), prefix=first[at], end=last[at], a=total[enough], number=number[enough])]
+        edges = np.r_[0, np.cumsum(sizes)]
+        back = [k for k in range(len(sizes)) if (told[edges[k] : edges[k + 1]] >= 0).any()]
+        out.append(_rows(_FOUND, len(back), b=[packed["blk"][k] for k in back], begin=[packed["begin"][k] for k in back], numbers=[_pack(told[edges[k] : edges[k + 1]]) for k in back]))
         return pa.Table.from_batches(out)
 
     return run
@@ -162,27 +235,27 @@ def _extended(k: int):
 def _frequent_phrases(docs: DataFrame, scratch: Scratch, least: int, longest: int, block_bytes: int) -> tuple[list[DataFrame], DataFrame]:
     """For each length the table (lang, phrase, a) of the frequent phrases, and (lang, n)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter(F.octet_length("text") > 0)
-    rows = scratch.keep(texts.mapInArrow(_in_blocks(block_bytes), _ROWS), "rows1")
+    rows = scratch.keep(texts.mapInArrow(_in_blocks(block_bytes), _ddl(_WORDS)), "rows1")
     words = rows.filter(F.col("word").isNotNull())
     totals = scratch.keep(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    ranges = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     frequent = scratch.keep(frequent.select("lang", F.col("word").alias("phrase"), "a", F.monotonically_increasing_id().alias("number")), "frequent1")
-    answers = words.join(frequent.select("lang", F.col("phrase").alias("word"), "number"), ["lang", "word"]).select(F.col("blk").alias("b"), F.col("no").alias("local"), "number")
+    named = frequent.select("lang", F.col("phrase").alias("word"), "number")
+    answers = words.join(named, ["lang", "word"]).select(F.col("blk").alias("b"), F.col("no").alias("local"), "number")
     found = [frequent]
     for k in range(1, longest):
-        state = rows.filter(F.col("words").isNotNull())
-        grown = state.groupBy("blk").cogroup(answers.groupBy("b")).applyInArrow(_extended(k), _ROWS)
-        rows = scratch.keep(grown, f"rows{k + 1}")
-        if k > 1:
-            scratch.drop(f"rows{k - 1}")
-        pairs = rows.filter(F.col("prefix").isNotNull())
-        counted = pairs.groupBy("prefix", "last").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        shorter = found[-1].select(F.col("number").alias("prefix"), "lang", F.col("phrase").alias("begin"))
-        word = found[0].select(F.col("number").alias("last"), F.col("phrase").alias("end"))
-        named = counted.join(shorter, "prefix").join(word, "last")
-        named = named.select("lang", F.concat_ws(" ", "begin", "end").alias("phrase"), "a", F.monotonically_increasing_id().alias("number"), "prefix", "last")
-        found.append(scratch.keep(named, f"frequent{k + 1}"))
-        answers = pairs.join(found[-1].select("prefix", "last", "number"), ["prefix", "last"]).select(F.col("blk").alias("b"), F.col("no").alias("local"), "number")
+        state = rows.filter(F.col("words").isNotNull()).select("blk", "lang", *[n for n, _ in _STATE])
+        rows = scratch.keep(state.groupBy("blk").cogroup(answers.groupBy("b")).applyInArrow(_extended(k, ranges), _ddl(_PAIRS)), f"rows{k + 1}")
+        scratch.drop(f"rows{k}")
+        asked = rows.filter(F.col("rng").isNotNull()).select("rng", "blk", "begin", "first", "last", "count")
+        told = scratch.keep(asked.groupBy("rng").applyInArrow(_counted(least), _ddl(_FOUND)), f"told{k + 1}")
+        pairs = told.filter(F.col("prefix").isNotNull())
+        shorter = found[-1].select(F.col("number").alias("prefix"), "lang", F.col("phrase").alias("head"))
+        word = found[0].select(F.col("number").alias("end"), F.col("phrase").alias("tail"))
+        joined = pairs.select("prefix", "end", "a", "number").join(shorter, "prefix").join(word, "end")
+        found.append(scratch.keep(joined.select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "a", "number"), f"frequent{k + 1}"))
+        answers = told.filter(F.col("b").isNotNull()).select("b", "begin", "numbers")
     return [f.select("lang", "phrase", "a") for f in found], totals
 
 

@@ -91,9 +91,22 @@ def _fingerprint(group: str, n: int, state) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"_group": [group], "n_rows": pa.array([n], pa.int64()), "fingerprint": [state.hexdigest()]})
 
 
+LIMBS = 4  # a SHA-256 is summed as four numbers of 64 bits
+EMPTY_FINGERPRINT = hashlib.sha256("|".join(["0"] * (LIMBS + 1)).encode()).hexdigest()
+
+
 def tree_fingerprint(df: DataFrame, group: list[str], digest: str) -> DataFrame:
-    """Order-free fingerprint of bounded memory: rows and two independent folds of the digests."""
-    return df.groupBy(*group).agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(digest)).alias("fold_xor"), F.sum(F.xxhash64(digest).cast("decimal(38,0)")).alias("fold_sum"))
+    """Order-free identity of the multiset of digests of each group: n_rows and fingerprint, in bounded memory.
+
+    The SHA-256 of each digest is summed limb by limb (map-side combined, in any order), and the sums are hashed with the
+    number of rows. Repeated rows count; a null digest is a NUL, which no text is; nothing has ``EMPTY_FINGERPRINT``.
+    """
+    sha = F.sha2(F.coalesce(F.col(digest).cast("string"), F.lit("\0")), 256)
+    width = 64 // LIMBS
+    limb = lambda k: F.sum(F.conv(F.substring(sha, 1 + width * k, width), 16, 10).cast("decimal(20,0)"))
+    sums = df.groupBy(*group).agg(F.count("*").alias("n_rows"), *[limb(k).alias(f"_limb{k}") for k in range(LIMBS)])
+    text = F.concat_ws("|", F.col("n_rows").cast("string"), *[F.coalesce(F.col(f"_limb{k}"), F.lit(0)).cast("string") for k in range(LIMBS)])
+    return sums.select(*group, "n_rows", F.sha2(text, 256).alias("fingerprint"))
 
 
 def set_fingerprint(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.digest import EMPTY_FINGERPRINT, tree_fingerprint
+
 
 def latest(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last event of each key by ``order``: a map-side aggregate, no sort and no window."""
@@ -124,18 +126,19 @@ def scoped_staleness(results: DataFrame, inputs: DataFrame, scope: list[str], id
     """Add ``is_stale`` to results (scope, dependencies): only changes within a result's own scope count.
 
     ``inputs`` are the current inputs (scope, id, digest); a scope's fingerprint is order-free and folded before
-    it is joined. ``dependencies`` is the fingerprint that a result was made from; an empty scope has 0.
+    it is joined. ``dependencies`` is the fingerprint that a result was made from; an empty scope has that of nothing.
     """
     now = scope_fingerprint(inputs, scope, id_column, digest)
     renamed = now.select(*[F.col(k).alias(f"_{k}") for k in scope], F.col("dependencies").alias("_now"))
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in scope])
-    stale = ~F.col("dependencies").eqNullSafe(F.coalesce("_now", F.lit(0).cast("decimal(38,0)")))
+    stale = ~F.col("dependencies").eqNullSafe(F.coalesce("_now", F.lit(EMPTY_FINGERPRINT)))
     return results.join(renamed, match, "left").select(*results.columns, stale.alias("is_stale"))
 
 
 def scope_fingerprint(inputs: DataFrame, scope: list[str], id_column: str, digest: str) -> DataFrame:
-    """(scope, dependencies): the folded hashes of the (id, digest) pairs of each scope."""
-    return inputs.groupBy(*scope).agg(F.sum(F.xxhash64(id_column, digest).cast("decimal(20,0)")).cast("decimal(38,0)").alias("dependencies"))
+    """(scope, dependencies): the order-free SHA-256 identity of the (id, digest) pairs of each scope."""
+    pairs = inputs.select(*scope, F.to_json(F.struct(F.col(id_column).alias("id"), F.col(digest).alias("d")), {"ignoreNullFields": "false"}).alias("_pair"))
+    return tree_fingerprint(pairs, scope, "_pair").select(*scope, F.col("fingerprint").alias("dependencies"))
 
 
 def bound_coverage(coverage: DataFrame, snapshots: DataFrame, acceptances: DataFrame) -> DataFrame:

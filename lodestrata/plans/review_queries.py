@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import json_paths
+from lodestrata.functions.digest import EMPTY_FINGERPRINT
 from lodestrata.operators import boxes, history, raster, validation
 from lodestrata.plans.product_queries import _as_region
 from lodestrata.plans.spatial_queries import PARTS_SQL, ZONES_SQL, _parts, _zones
@@ -126,7 +127,7 @@ def scoped_staleness(t: Tables) -> DataFrame:
     """Results by nation that a change of a customer makes stale, in its own nation only."""
     inputs = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", F.col("c_mktsegment").alias("d"))
     made = history.scope_fingerprint(inputs, ["n_nationkey"], "c_custkey", "d")
-    results = t.nation.select("n_nationkey").join(made, "n_nationkey", "left").withColumn("dependencies", F.coalesce("dependencies", F.lit(0).cast("decimal(38,0)")))
+    results = t.nation.select("n_nationkey").join(made, "n_nationkey", "left").withColumn("dependencies", F.coalesce("dependencies", F.lit(EMPTY_FINGERPRINT)))
     now = inputs.withColumn("d", F.when(F.col("c_custkey") % 50 == 7, F.concat("d", F.lit("!"))).otherwise(F.col("d")))
     return history.scoped_staleness(results, now, ["n_nationkey"], "c_custkey", "d").select("n_nationkey", "is_stale")
 

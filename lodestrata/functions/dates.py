@@ -23,6 +23,7 @@ def parse_date(raw: Column) -> Column:
     compact = F.when(text.rlike(COMPACT), F.try_to_date(text, "yyyyMMdd"))
     slashed = F.when(text.rlike(SLASHED), F.try_to_date(text, "M/d/yyyy"))
     day = F.coalesce(compact, slashed)
+    day = F.when(F.year(day) >= 1, day)  # there is no year 0
     known = year | day.isNotNull()
     reason = F.when(text == "", MISSING).when(~known, MALFORMED)
     return F.struct(

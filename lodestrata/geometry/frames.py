@@ -52,6 +52,12 @@ def _ring_reason(ring: pd.Series) -> pd.Series:
     return ring.map(lambda r: "missing" if r is None else planar.ring_fault([tuple(p) for p in r]))
 
 
+@F.pandas_udf(T.StringType())
+def _region_reason(region: pd.Series) -> pd.Series:
+    """Why a region is not valid; null if it is."""
+    return pd.Series([planar.region_fault(_region(r)) for r in region], dtype=object)
+
+
 @F.pandas_udf(_struct(loops=RINGS_TYPE, hold=T.StringType()))
 def _split_touches(ring: pd.Series) -> pd.DataFrame:
     """Loops of a ring cut at twice-visited vertices."""
@@ -130,6 +136,11 @@ def ring_reason(ring) -> Column:
     return _whole(_ring_reason, 0, ring, null=F.lit("missing"))
 
 
+def region_reason(region) -> Column:
+    """Why a region is not valid; null if it is."""
+    return _whole(_region_reason, 2, region, null=F.lit("missing"))
+
+
 def split_touches(ring) -> Column:
     """Loops of a ring cut at twice-visited vertices."""
     return _whole(_split_touches, 0, ring, null=_hold("missing", loops=RINGS))

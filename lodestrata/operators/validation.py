@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import variants
 from lodestrata.functions.scalars import is_blank
+from lodestrata.geometry import frames
 
 SHA256 = r"^[0-9a-f]{64}\z"
 # Fixed values of the review log.
@@ -19,6 +21,7 @@ FINDING_ID = r"^TL-F-[0-9]{4}\z"
 STATUSES = ("open", "in_progress", "blocked", "deferred", "resolved")
 PRIORITIES = ("high", "medium", "low")
 REVIEW_FIELDS = ("event_id", "correction_id", "status", "actor", "note")
+SOIL_BATCH = "b31e3034caee9f70361bb9c769b936b8709fcab38706f89cdee22c9265aad512"
 PARCEL_SOURCES = ("ut-parcels", "organized-parcels")
 
 
@@ -45,19 +48,28 @@ def has_exact_keys(json_text: Column, names: tuple[str, ...] = REVIEW_FIELDS) ->
 
 
 def request_faults(request: Column) -> Column:
-    """Faults of a qualification request: digests, an explicit Boolean, and either an area or a parcel, not both."""
-    text = lambda path: F.get_json_object(request, f"$.{path}")
-    typed = F.from_json(request, "purchase_candidate string, object_id string, geometry struct<type string, coordinates string>")
-    keys = F.coalesce(F.json_object_keys(request), F.expr("cast(array() as array<string>)"))
-    has = lambda name: F.array_contains(keys, name)
-    numbers = F.transform(F.regexp_extract_all(typed["geometry"]["coordinates"], F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0)), lambda v: v.cast("double"))
-    odd = F.filter(numbers, lambda v, i: F.abs(v) > F.when(i % 2 == 0, 180.0).otherwise(90.0))
-    flat = ~F.coalesce(typed["geometry"]["coordinates"], F.lit("")).rlike(r"\[[^\[\],]+,[^\[\],]+,")
-    area = typed["geometry"]["type"].isin("Polygon", "MultiPolygon") & (F.size(numbers) >= 8) & flat
-    parcel = text("source_id").isin(*PARCEL_SOURCES) & typed["object_id"].rlike(r"^[0-9]+\z")
+    """Faults of a qualification request: digests, soils, an explicit Boolean, and either an area or a parcel, not both.
+
+    Values are judged by their JSON types: "true" is no Boolean and "12" no number. An area is a Polygon or MultiPolygon of
+    closed, simple rings of two finite coordinates each, holes within their shells, in degrees.
+    """
+    v = variants.parsed(request)
+    has = lambda name: variants.at(v, f"$.{name}").isNotNull()
+    sha = lambda path: variants.is_text(v, path, SHA256)
+    shape = variants.at(v, "$.geometry.type", "string")
+    rings, parts = variants.at(v, "$.geometry.coordinates", frames.RINGS), variants.at(v, "$.geometry.coordinates", frames.REGION)
+    region = F.when(shape == "Polygon", F.array(rings)).when(shape == "MultiPolygon", parts)
+    points = F.flatten(F.flatten(region))
+    flat = F.forall(points, lambda p: F.size(p) == 2) & ~F.schema_of_variant(variants.at(v, "$.geometry.coordinates")).contains("STRING")
+    usable = F.coalesce(flat & (F.size(points) > 0), F.lit(False))
+    area = usable & frames.region_reason(F.when(usable, region)).isNull()
+    degrees = F.forall(points, lambda p: (F.abs(F.get(p, F.lit(0))) <= 180) & (F.abs(F.get(p, F.lit(1))) <= 90))
+    soils = variants.keys_are(F.get_json_object(request, "$.soils"), ["batch", "snapshot"]) & (variants.at(v, "$.soils.batch", "string") == SOIL_BATCH) & sha("$.soils.snapshot")
+    parcel = variants.at(v, "$.source_id", "string").isin(*PARCEL_SOURCES) & (variants.kind_of(v, "$.object_id") == "BIGINT") & (variants.at(v, "$.object_id", "long") >= 0)
     return faults(
-        audit=text("audit").rlike(SHA256), snapshot=text("snapshot").rlike(SHA256), purchase_candidate=typed["purchase_candidate"].isin("true", "false"),
-        one_selection=~(has("geometry") & (has("source_id") | has("object_id"))), area=~has("geometry") | area, lon_lat=~has("geometry") | (F.size(odd) == 0), parcel=has("geometry") | parcel,
+        audit=sha("$.audit"), snapshot=sha("$.snapshot"), soils=~has("soils") | soils, purchase_candidate=variants.kind_of(v, "$.purchase_candidate") == "BOOLEAN",
+        one_selection=~(has("geometry") & (has("source_id") | has("object_id"))), area=~has("geometry") | area,
+        lon_lat=~has("geometry") | F.coalesce(degrees, F.lit(True)), parcel=has("geometry") | parcel,
     )
 
 

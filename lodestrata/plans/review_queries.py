@@ -53,21 +53,6 @@ def payload_fields(t: Tables) -> DataFrame:
     return t.events.select("event_id", validation.has_exact_keys(text).alias("exact"))
 
 
-@R.add("""
-SELECT c_custkey, CASE c_custkey % 8 WHEN 1 THEN 'audit' WHEN 2 THEN 'purchase_candidate' WHEN 3 THEN 'one_selection' WHEN 4 THEN 'lon_lat' WHEN 5 THEN 'area' WHEN 6 THEN 'parcel' ELSE '' END AS faults FROM customer
-""")
-def request_validation(t: Tables) -> DataFrame:
-    """Faults of qualification requests: one broken rule in each of six kinds, none in two."""
-    kind = F.col("c_custkey") % 8
-    sha = F.sha2(F.col("c_custkey").cast("string"), 256)
-    ring = '[[[-69.5,45.1],[-69.5,45.2],[-69.4,45.2],[-69.4,45.1],[-69.5,45.1]]]'
-    area = F.when(kind == 4, ring.replace("45.2", "95.2")).when(kind == 5, ring.replace("45.2", "45.2,7")).otherwise(ring)
-    select = F.when(kind == 6, F.lit('"source_id":"ut-parcels","object_id":-4')).when(kind == 7, F.lit('"source_id":"ut-parcels","object_id":12')).otherwise(
-        F.concat(F.lit('"geometry":{"type":"Polygon","coordinates":'), area, F.lit("}"), F.when(kind == 3, ',"object_id":3').otherwise("")))
-    request = F.concat(F.lit('{"audit":"'), F.when(kind == 1, F.upper(sha)).otherwise(sha), F.lit('","snapshot":"'), sha, F.lit('"'), F.when(kind == 2, "").otherwise(',"purchase_candidate":false'), F.lit(","), select, F.lit("}"))
-    return t.customer.select("c_custkey", F.array_join(validation.request_faults(request), ",").alias("faults"))
-
-
 @R.add("""
 SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 29 = 0 THEN 'source' END, CASE WHEN p_partkey % 29 = 0 OR p_partkey % 7 = 0 THEN 'source_sha256' END, CASE WHEN p_partkey % 11 = 0 THEN 'status' END,
   CASE WHEN p_partkey % 29 = 0 OR p_partkey % 5 = 1 THEN 'segments' END) AS faults FROM part

@@ -60,7 +60,7 @@ def request_faults(request: Column) -> Column:
     rings, parts = variants.at(v, "$.geometry.coordinates", frames.RINGS), variants.at(v, "$.geometry.coordinates", frames.REGION)
     region = F.when(shape == "Polygon", F.array(rings)).when(shape == "MultiPolygon", parts)
     points = F.flatten(F.flatten(region))
-    flat = F.forall(points, lambda p: F.size(p) == 2) & ~F.schema_of_variant(variants.at(v, "$.geometry.coordinates")).contains("STRING")
+    flat = F.forall(points, lambda p: F.size(p) == 2) & ~F.schema_of_variant(variants.at(v, "$.geometry.coordinates")).rlike("STRING|BOOLEAN|VARIANT")
     usable = F.coalesce(flat & (F.size(points) > 0), F.lit(False))
     area = usable & frames.region_reason(F.when(usable, region)).isNull()
     degrees = F.forall(points, lambda p: (F.abs(F.get(p, F.lit(0))) <= 180) & (F.abs(F.get(p, F.lit(1))) <= 90))

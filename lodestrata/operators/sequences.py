@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.stages import Stages
+
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset symmetric difference with the ``side`` each row is from; empty means equal multisets."""
@@ -38,10 +40,27 @@ def segment_multiset(pairs: DataFrame, a: str, b: str, directed: bool = False) -
     return p.groupBy(x.alias("a"), y.alias("b")).agg(F.count("*").alias("n"))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: 1..n within each group in the given order, with no task that holds a group.
+
+    Rows are dealt by ranges of group and order and written with the number of their range; a range numbers its own rows,
+    and starts after what the ranges before it hold of the same group. ``order`` should tell rows apart.
+    """
+    keys = [F.col(g).asc() for g in group] + order
+    stages = Stages(df.sparkSession, "numbered")
+    dealt = stages.keep(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "dealt")
+    held = dealt.groupBy("_range", *group).agg(F.count("*").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = held.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order))
+    same = [F.col("_range") == F.col("_r"), *[F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]]
+    met = dealt.withColumn("_own", own).join(starts, same)
+    return met.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def ranked(df: DataFrame, measure: str, tie: str, name: str, group: list[str] | None = None) -> DataFrame:
-    """Rank 1..n by descending measure, ties by id. Without groups the input must be one row an entity."""
-    w = Window.partitionBy(*(group or [])).orderBy(F.col(measure).desc(), F.col(tie).asc())
-    return df.withColumn(name, F.row_number().over(w))
+    """Rank 1..n by descending measure, ties by id; without groups one rank over everything, found range by range."""
+    return numbered(df, group or [], [F.col(measure).desc(), F.col(tie).asc()], name).withColumn(name, F.col(name).cast("int"))
 
 
 def top_n(df: DataFrame, n: int, measure: Column, tie: str) -> DataFrame:
@@ -60,14 +79,40 @@ def top_curve(df: DataFrame, measure: str, tie: str, sizes: list[int]) -> DataFr
     return sums.select(F.explode(rows).alias("r")).select("r.top_n", "r.total").unionByName(whole)
 
 
+def _percentiles(values: DataFrame, group: list[str], shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles of ``_v`` by group: only the two values next to each are looked at once rows are numbered."""
+    rows = numbered(values, group, [F.col("_v").asc()], "_no")
+    sizes = values.groupBy(*[F.col(g).alias(f"_s{k}") for k, g in enumerate(group)]).agg(F.count("*").alias("_n"))
+    met = rows.join(sizes, [F.col(g).eqNullSafe(F.col(f"_s{k}")) for k, g in enumerate(group)]) if group else rows.crossJoin(F.broadcast(sizes))  # one row
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1) + 1
+        low, part = F.floor(at), at - F.floor(at)
+        weight = F.when(F.col("_no") == low, 1 - part).when(F.col("_no") == low + 1, part)
+        out.append(F.sum(F.when(weight > 0, F.col("_v") * weight)).alias(name))
+    near = None
+    for share in shares.values():
+        at = F.floor(F.lit(share) * (F.col("_n") - 1) + 1)
+        hit = (F.col("_no") == at) | (F.col("_no") == at + 1)
+        near = hit if near is None else near | hit
+    return met.filter(near).groupBy(*group).agg(*out)
+
+
 def describe_exact(df: DataFrame, group: list[str], x: str) -> DataFrame:
-    """Mean, median, RMS, p05, p95, absolute p95 and largest absolute value of finite values; percentiles interpolate."""
+    """Mean, median, RMS, p05, p95, absolute p95 and largest absolute value of finite values; percentiles interpolate.
+
+    Percentiles are exact and read off a numbering by ranges, so no group is one task's. A group without a finite value has
+    0 and nulls.
+    """
     v = F.when(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.col(x).cast("double"))
-    return df.groupBy(*group).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.sqrt(F.avg(v * v)).alias("rms"),
-        F.percentile(v, F.lit(0.05)).alias("p05"), F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.percentile(F.abs(v), F.lit(0.95)).alias("abs_p95"), F.max(F.abs(v)).alias("max_abs"),
-    )
+    sums = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("max_abs"))
+    values = df.select(*group, v.alias("_v")).filter("_v is not null")
+    own = _percentiles(values, group, {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    size = _percentiles(values.withColumn("_v", F.abs("_v")), group, {"abs_p95": 0.95})
+    for k, more in enumerate((own, size)):
+        renamed = more.withColumnsRenamed({g: f"_p{k}_{g}" for g in group})
+        sums = sums.join(renamed, [F.col(g).eqNullSafe(F.col(f"_p{k}_{g}")) for g in group], "left") if group else sums.crossJoin(F.broadcast(renamed))  # one row
+    return sums.select(*group, "n", "mean", "median", "rms", "p05", "p95", "abs_p95", "max_abs")
 
 
 def interval_islands(df: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
@@ -90,8 +135,13 @@ def mixture_state(parts: DataFrame, group: list[str], percent: str, tolerance: i
 
     ``percent`` is decimal. A unit with a missing percent is unknown; else the sum says under, sums or over.
     """
+    # Equal percents are counted before they meet, so a unit with very many parts is a few rows.
     p = F.col(percent)
-    sums = parts.groupBy(*group).agg(F.count("*").alias("n_parts"), F.sum(p).alias("total"), F.count_if(p.isNull()).alias("n_missing"), F.max(p).alias("largest"), F.collect_list(p).alias("_all"))
+    counts = parts.groupBy(*group, percent).agg(F.count("*").alias("_n"))
+    sums = counts.groupBy(*group).agg(
+        F.sum("_n").alias("n_parts"), F.sum(p * F.col("_n")).alias("total"), F.coalesce(F.sum(F.when(p.isNull(), F.col("_n"))), F.lit(0)).alias("n_missing"),
+        F.max(p).alias("largest"), F.coalesce(F.max_by("_n", percent), F.lit(0)).cast("int").alias("_most"),
+    )
     state = F.when(F.col("n_missing") > 0, "unknown").when(F.col("total") < 100 - tolerance, "under_100").when(F.col("total") > 100 + tolerance, "over_100").otherwise("sums_to_100")
-    ties = F.size(F.filter("_all", lambda x: x == F.col("largest")))
+    ties = F.when(F.col("largest").isNull(), 0).otherwise(F.col("_most"))
     return sums.select(*group, "n_parts", "total", "n_missing", "largest", ties.alias("n_largest"), state.alias("state"))

@@ -35,7 +35,7 @@ CELLS = 128  # cells of the counts that bound an overlap before sets are sent
 BLOCK = 64
 FEW = 3  # members of a component that a list proposes in a round
 ROUNDS = 1
-SETS = 512  # sets of a block in the last comparison
+SETS = 1536  # sets of a block in the last comparison: a set is sent once to each block that holds candidates of it
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -294,11 +294,10 @@ def _block_of(fp: np.ndarray, count: int) -> np.ndarray:
     return (mixed(fp.view(np.uint64)) % np.uint64(count)).astype(np.int32)
 
 
-def linked_across(candidates: DataFrame, sets: DataFrame, count: int) -> DataFrame:
-    """Links (a, b) among candidates (z, xs): sets are dealt to ``count`` blocks of some hundred, and each z visits
-    the blocks that hold candidates of it, once each. Pairs are never rows."""
+def _visits(candidates: DataFrame, count: int) -> DataFrame:
+    """(blk, z, xs): each z visits the blocks that hold candidates of it, once each."""
 
-    def visits(batches):
+    def run(batches):
         for batch in batches:
             blk, z, xs = [], [], []
             for own, many in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -310,10 +309,51 @@ def linked_across(candidates: DataFrame, sets: DataFrame, count: int) -> DataFra
                     xs.append(many[where == k])
             yield _batch(["blk", "z", "xs"], pa.array(blk, pa.int32()), pa.array(z, pa.int64()), pa.array(xs, pa.list_(pa.int64())))
 
-    def placed(batches):
+    return candidates.select("z", "xs").mapInArrow(run, "blk int, z long, xs array<long>")
+
+
+def _placed(rows: DataFrame, count: int) -> DataFrame:
+    """(blk, x, hx) of (fp, data)."""
+
+    def run(batches):
         for batch in batches:
             yield _batch(["blk", "x", "hx"], pa.array(_block_of(batch.column(0).to_numpy(), count), pa.int32()), *batch.columns)
 
+    return rows.mapInArrow(run, "blk int, x long, hx binary")
+
+
+def reachable_across(candidates: DataFrame, cells: DataFrame, count: int) -> DataFrame:
+    """Candidates (z, xs) without those whose cell counts cannot reach the overlap; ``cells`` (fp, cells) of all that are named."""
+
+    def judge(left, right):
+        ids = right.column("x").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        known = [right.column("hx")[int(k)].as_py() for k in order]
+        full = np.array([len(c) == CELLS for c in known], bool)
+        counts = np.frombuffer(b"".join(c if len(c) == CELLS else bytes(CELLS) for c in known), np.uint8).reshape(-1, CELLS).astype(np.int64)
+        sizes = counts.sum(1)
+        z, kept = [], []
+        for own, xs, cz in zip(left.column("z").to_pylist(), left.column("xs"), left.column("cz").to_pylist(), strict=True):
+            many = xs.values.to_numpy()
+            at = np.searchsorted(ids, many)
+            if len(cz) == CELLS:
+                mine = np.frombuffer(cz, np.uint8).astype(np.int64)
+                ok = ~full[at] | (np.minimum(counts[at], mine).sum(1) >= overlap_needed(sizes[at], mine.sum()))
+                many = many[ok]
+            if len(many):
+                z.append(own)
+                kept.append(many)
+        return pa.table({"z": pa.array(z, pa.int64()), "xs": pa.array(kept, pa.list_(pa.int64()))})
+
+    dealt = _visits(candidates, count).join(cells.select(F.col("fp").alias("z"), F.col("cells").alias("cz")), "z")
+    return dealt.groupBy("blk").cogroup(_placed(cells.select("fp", "cells"), count).groupBy("blk")).applyInArrow(judge, "z long, xs array<long>")
+
+
+def linked_across(candidates: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) among candidates (z, xs): sets are dealt to ``count`` blocks of some hundred, and each z visits
+    the blocks that hold candidates of it, once each. Pairs are never rows."""
+
     def judge(left, right):
         ids = right.column("x").to_numpy()
         order = np.argsort(ids)
@@ -337,9 +377,8 @@ def linked_across(candidates: DataFrame, sets: DataFrame, count: int) -> DataFra
             b += ids[at[ok]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = candidates.mapInArrow(visits, "blk int, z long, xs array<long>").join(sets.select(F.col("fp").alias("z"), F.col("h").alias("hz")), "z")
-    blocks = sets.mapInArrow(placed, "blk int, x long, hx binary")
-    return dealt.groupBy("blk").cogroup(blocks.groupBy("blk")).applyInArrow(judge, "a long, b long")
+    dealt = _visits(candidates, count).join(sets.select(F.col("fp").alias("z"), F.col("h").alias("hz")), "z")
+    return dealt.groupBy("blk").cogroup(_placed(sets.select("fp", "h"), count).groupBy("blk")).applyInArrow(judge, "a long, b long")
 
 
 def _overlaps(target: np.ndarray, others: list[np.ndarray]) -> list[int]:
@@ -446,6 +485,10 @@ def similar_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         named = connected_components(links, scratch, f"bridged{turn}")
     rest = across(labelled(named)).groupBy("z").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
     rest = scratch.keep(rest, "rest")
+    cells = scratch.keep(classes.select("fp", "cells").join(named_in(rest), "fp", "left_semi"), "cells-rest")
+    many = cells.count()
+    if many:  # counts by cell turn most candidates away before any set is sent
+        rest = scratch.keep(reachable_across(rest, cells, 1 + many // SETS), "reach-rest")
     holders = scratch.keep(classes.drop("cells").join(named_in(rest), "fp", "left_semi"), "holders-rest")
     many = holders.count()
     if many:

@@ -76,3 +76,44 @@ def recomputed(before: DataFrame, after: DataFrame, key: list[str], metrics: lis
     differ = reduce(lambda a, b: a | b, [~F.col(f"{m}_before").eqNullSafe(F.col(f"{m}_after")) for m in metrics])
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(differ, "changed")
     return both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in key], change.alias("change"), *[f"{m}_{w}" for m in metrics for w in ("before", "after")]).filter("change is not null")
+
+
+def page_faults(pages: DataFrame, ids: DataFrame, page_size: int) -> DataFrame:
+    """Faults (fault, page_no, object_id, n) of a collection by pages; a sound one has no row.
+
+    ``pages``: page_no, object_id (a row an object as it came); ``ids``: object_id (what the service announced). An object comes once, a
+    page is full unless it is the last one, none is larger than ``page_size``, and what came is what was announced.
+    """
+    came = pages.groupBy("object_id").agg(F.count("*").alias("n"), F.min("page_no").alias("page_no"))
+    announced = ids.select(F.col("object_id").alias("_id")).distinct()
+    both = came.join(announced, F.col("object_id") == F.col("_id"), "full_outer")
+    kind = F.when(F.col("object_id").isNull(), "missing").when(F.col("_id").isNull(), "unexpected")
+    none = F.lit(None)
+    members = both.filter(kind.isNotNull()).select(kind.alias("fault"), F.col("page_no").cast("long").alias("page_no"), F.coalesce("object_id", "_id").cast("long").alias("object_id"), F.lit(1).cast("long").alias("n"))
+    twice = came.filter("n > 1").select(F.lit("repeated").alias("fault"), F.col("page_no").cast("long").alias("page_no"), F.col("object_id").cast("long").alias("object_id"), "n")
+    sizes = pages.groupBy("page_no").agg(F.count("*").alias("n"))
+    last = sizes.agg(F.max("page_no").alias("_last"))  # one row
+    odd = F.when(F.col("n") > page_size, "too_long").when((F.col("n") < page_size) & (F.col("page_no") < F.col("_last")), "short")
+    judged = sizes.join(F.broadcast(last)).withColumn("fault", odd).filter("fault is not null")
+    return members.unionByName(twice).unionByName(judged.select("fault", F.col("page_no").cast("long").alias("page_no"), none.cast("long").alias("object_id"), "n"))
+
+
+def candidate_rows(records: DataFrame, linked_source: str) -> DataFrame:
+    """(key, n_records, n_candidates): what a batch stores of links, one row a key and never a pair.
+
+    ``records`` as for ``classified``: the records of ``linked_source`` and the tabular records that share a key that is not blank.
+    """
+    key = F.when(~is_blank(F.col("candidate_key")), F.col("candidate_key"))
+    rows = records.select(key.alias("key"), (F.col("source_id") == linked_source).alias("_own"), (F.col("record_kind") == TABULAR).alias("_table")).filter("key is not null")
+    sums = rows.groupBy("key").agg(F.count_if("_own").alias("n_records"), F.count_if("_table").alias("n_candidates"))
+    return sums.filter("n_records > 0 and n_candidates > 0")
+
+
+def lineage(rows: DataFrame, stages: list[str], digest: str) -> DataFrame:
+    """A row for each combination of ``stages`` (columns that say where a record came from): n_rows and an order-free identity.
+
+    Two inventories rest on the same records if their identities agree, whatever the order or the partitioning.
+    """
+    from lodestrata.functions.digest import tree_fingerprint
+
+    return tree_fingerprint(rows, stages, digest)

@@ -100,8 +100,8 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks written as many small files, then compacted; one row a final file."""
-    scratch = Scratch(spark, "op11")
-    return compaction.compact_clicks(spark, _table(spark, sf_dir, "clicks"), f"{scratch.path}/clicks", scratch.keep)
+    folder, tables = Scratch(spark, "op11").path, Scratch(spark, "op11-tables")  # nothing but the clicks in the folder
+    return compaction.compact_clicks(spark, _table(spark, sf_dir, "clicks"), f"{folder}/clicks", tables.keep)
 
 
 def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,7 +401,8 @@ def faces(df: DataFrame, keys: list[str], region: str, size: float, stages: Stag
 
     label is the winding number of a face (never 0): rings that turn left count one, rings that turn right take one away,
     so the lobes of a figure of eight differ in sign and nested rings add up. A positive area is the outer
-    boundary of a face, a negative one a hole in it.
+    boundary of a face, a negative one a hole in it. Winding numbers add up, so crowded cells cannot be united in parts
+    first: ``size`` should leave few rings of a subject in one cell.
     """
     own, names = _private(df, keys, region)
     cells = gathered(pieces(own, names, "_shape", size, as_given=True), names)

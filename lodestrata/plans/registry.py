@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import arrangement_queries, contract_queries, history_queries, inventory_queries, matching_queries, nearest_queries, packet_queries, product_queries, profile_queries, recompute_queries, review_queries, spatial_queries
+from lodestrata.plans import (
+    arrangement_queries,
+    contract_queries,
+    history_queries,
+    inventory_queries,
+    matching_queries,
+    nearest_queries,
+    packet_queries,
+    product_queries,
+    profile_queries,
+    recompute_queries,
+    review_queries,
+    spatial_queries,
+)
 
-FAMILIES = (profile_queries, history_queries, spatial_queries, product_queries, matching_queries, review_queries, arrangement_queries, recompute_queries, contract_queries, nearest_queries, packet_queries, inventory_queries)
+FAMILIES = (
+    profile_queries, history_queries, spatial_queries, product_queries, matching_queries, review_queries,
+    arrangement_queries, recompute_queries, contract_queries, nearest_queries, packet_queries, inventory_queries,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _family in FAMILIES:

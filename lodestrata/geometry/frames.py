@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions.stages import Stages
 from lodestrata.geometry import crs, planar
-from lodestrata.operators.boxes import box_pairs
+from lodestrata.operators.boxes import box_pairs, expanded
 
 RINGS = "array<array<array<double>>>"
 REGION = f"array<{RINGS}>"
@@ -194,6 +195,30 @@ def with_bounds(df: DataFrame, region: str = "region") -> DataFrame:
     return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
 
 
+def shape_id(region: str = "region") -> Column:
+    """Identity of a region: equal ones (a null one too) have the same."""
+    return F.sha2(F.to_json(F.struct(F.col(region).alias("r"))), 256)
+
+
+def shapes(df: DataFrame, *more: str) -> DataFrame:
+    """(shape, region, *more, n): the different regions of ``df`` (shape, region, *more) and how many rows each has."""
+    return df.groupBy("shape", *more).agg(F.first("region").alias("region"), F.count("*").alias("n"))
+
+
+def overlaid(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(a_id, b_id, both): the area that each two regions of ``a`` and ``b`` (id, region) share, where there is one.
+
+    Regions that are equal are laid over others once.
+    """
+    a, b = a.withColumn("shape", shape_id()), b.withColumn("shape", shape_id())
+    left, right = shapes(a), shapes(b)
+    pairs = box_pairs(with_bounds(left), with_bounds(right), "shape", "shape", size).select(F.col("a_id").alias("a_class"), F.col("b_id").alias("b_class"))
+    met = pairs.join(left.select(F.col("shape").alias("a_class"), F.col("region").alias("_a")), "a_class").join(right.select(F.col("shape").alias("b_class"), F.col("region").alias("_b")), "b_class")
+    found = met.select("a_class", "b_class", overlay_areas("_a", "_b")["both"].alias("both")).filter("both > 0")
+    members = lambda df: df.select("id", F.col("shape").alias("class"))
+    return expanded(found, members(a), members(b))
+
+
 def held_bounds(rings):
     """Bounds (xmin, ymin, xmax, ymax) of every vertex of held rings, null where any vertex is missing or not finite."""
     points = F.flatten(rings)

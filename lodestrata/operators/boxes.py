@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
+CHUNK = 256  # members of a class that travel in one row
 
 
 def cells(xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float) -> Column:
@@ -32,6 +33,31 @@ def box_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, size: float, pad
     return met.filter(meets & (F.col("_cell") == corner)).drop("_cell")
 
 
+def expanded(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, ...) of all members of pairs of classes (a_class, b_class, ...).
+
+    ``a`` and ``b`` have the members (id, class). The members of a class of ``b`` travel in chunks of a bounded number, and
+    each chunk meets the pairs by itself, so a large class is dealt to many tasks.
+    """
+    held = b.groupBy(F.col("class").alias("_of")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
+    places = b.join(held, F.col("class") == F.col("_of")).select("_of", "id", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int").alias("_chunk"))
+    lists = places.groupBy("_of", "_chunk").agg(F.collect_list("id").alias("_ids"))
+    counted = pairs.join(held, F.col("b_class") == F.col("_of")).drop("_of")
+    rows = counted.join(a.select(F.col("id").alias("a_id"), F.col("class").alias("_own")), F.col("a_class") == F.col("_own")).drop("_own")
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    met = rows.join(lists.hint("shuffle_hash"), (F.col("b_class") == F.col("_of")) & (F.col("_part") == F.col("_chunk")))
+    rest = [c for c in pairs.columns if c not in ("a_class", "b_class")]
+    return met.select("a_id", F.explode("_ids").alias("b_id"), *rest)
+
+
+def pairs_of_members(a: DataFrame, b: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """``box_pairs`` of (id, box): equal boxes are a class, and only classes meet before their members are named."""
+    own = lambda df: df.select("id", F.struct(*BOX).alias("class"))
+    distinct = lambda df: own(df).select("class").distinct().select("class", "class.*")
+    met = box_pairs(distinct(a), distinct(b), "class", "class", size, pad).withColumnsRenamed({"a_id": "a_class", "b_id": "b_class"})
+    return expanded(met, own(a), own(b))
+
+
 def overlap_area() -> Column:
     """Area that the two boxes of a pair share; boxes that only touch share 0."""
     wide = F.least("a_xmax", "b_xmax") - F.greatest("a_xmin", "b_xmin")

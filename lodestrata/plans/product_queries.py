@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.geometry import frames
-from lodestrata.operators.boxes import BOX, box_pairs
+from lodestrata.operators.boxes import BOX
 from lodestrata.plans.spatial_queries import PARTS_SQL, ZONES_SQL, _parts, _zones
 from lodestrata.plans.tables import Registry, Tables
 from lodestrata.products import qualification, ranking, soils
@@ -21,9 +21,9 @@ def _ring(xmin, ymin, xmax, ymax):
 
 
 def _as_region(df: DataFrame) -> DataFrame:
-    """Boxes as regions of one polygon, through the ring decoder."""
-    rings = df.withColumn("d", frames.decoded_rings(F.array(_ring(*[F.col(c) for c in BOX]))))
-    return rings.select("id", F.col("d.region").alias("region"), *BOX)
+    """Boxes as regions of one polygon, through the ring decoder; equal boxes are decoded once."""
+    rings = df.select(*BOX).distinct().withColumn("d", frames.decoded_rings(F.array(_ring(*[F.col(c) for c in BOX]))))
+    return df.join(rings, list(BOX), "left").select("id", F.col("d.region").alias("region"), *BOX)
 
 
 @R.add(f"""
@@ -32,10 +32,8 @@ SELECT a.id AS a_id, b.id AS b_id, (least(a.xmax, b.xmax) - greatest(a.xmin, b.x
 """)
 def polygon_overlay(t: Tables) -> DataFrame:
     """Areas that polygons share, by the slab kernel over pairs from the grid join."""
-    a, b = _as_region(_parts(t)), _as_region(_zones(t))
-    pairs = box_pairs(a, b, "id", "id", 64.0).select("a_id", "b_id")
-    met = pairs.join(a.select(F.col("id").alias("a_id"), F.col("region").alias("ra")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("region").alias("rb")), "b_id")
-    return met.select("a_id", "b_id", frames.overlay_areas("ra", "rb").alias("o")).select("a_id", "b_id", F.round("o.both", 6).alias("both_area")).filter("both_area > 0")
+    pairs = frames.overlaid(_as_region(_parts(t)), _as_region(_zones(t)), 64.0)
+    return pairs.select("a_id", "b_id", F.round("both", 6).alias("both_area")).filter("both_area > 0")
 
 
 @R.add(f"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.geometry import planar
-from lodestrata.geometry.frames import REGION, _region, stand_in, with_bounds
+from lodestrata.geometry.frames import REGION, _region, shape_id, shapes, stand_in, with_bounds
 from lodestrata.operators.boxes import box_pairs
 
 # What a topic can never establish from inventories alone.
@@ -16,7 +16,7 @@ STANDING_REASONS = {
     "zoning": ("current_legal_applicability_unverified", "municipal_zoning_not_loaded"),
     "wetlands": ("imagery_age_and_completeness_unverified_for_site", "inventory_absence_not_wetland_clearance"),
 }
-TOPIC = "aoi_id long, topic string, n_interior int, n_touch int, n_held int, coverage string, uncovered double, fraction double, basis string"
+TOPIC = "shape string, topic string, n_interior int, n_touch int, n_held int, coverage string, uncovered double, fraction double, basis string"
 
 
 def qualify(aois: DataFrame, features: DataFrame, topics: DataFrame, size: float) -> DataFrame:
@@ -27,29 +27,34 @@ def qualify(aois: DataFrame, features: DataFrame, topics: DataFrame, size: float
     A held feature counts where its bounds meet the area, and everywhere if they are unknown. Areas without
     evidence have a row too: missing is a state, not an absence.
     """
-    areas = with_bounds(aois.select(F.col("aoi_id").alias("id"), "region"))
-    keyed = features.withColumn("fid", F.xxhash64("source_id", "object_id"))
-    sound = with_bounds(keyed.filter("hold is null")).select("fid", "source_id", "object_id", "region", "hold", "xmin", "ymin", "xmax", "ymax")
-    held = keyed.filter("hold is not null and held_bounds is not null").select("fid", "source_id", "object_id", F.lit(None).cast(REGION).alias("region"), "hold", *[F.col(f"held_bounds.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    known = sound.unionByName(held)
-    pairs = box_pairs(areas, known.withColumnRenamed("fid", "id"), "id", "id", size).select(F.col("a_id").alias("aoi_id"), F.col("b_id").alias("fid"))
-    met = pairs.join(known.select("fid", "source_id", "object_id", F.coalesce("region", stand_in()).alias("f"), "hold"), "fid").join(topics, "source_id")
-    met = met.join(aois.select("aoi_id", F.col("region").alias("a")), "aoi_id")
+    # Areas with equal regions share their answer, and equal features of a source meet an area once.
+    named = aois.select("aoi_id", "within_scope", "snapshot_current", "region", shape_id().alias("shape"))
+    areas = shapes(named)
+    bounds = ("xmin", "ymin", "xmax", "ymax")
+    sound = with_bounds(shapes(features.filter("hold is null").select("source_id", "region", shape_id().alias("shape")), "source_id")).withColumn("hold", F.lit(False))
+    boxes = features.filter("hold is not null and held_bounds is not null").groupBy("source_id", F.struct(*[F.col(f"held_bounds.{c}").alias(c) for c in bounds]).alias("box")).agg(F.count("*").alias("n"))
+    held = boxes.select("source_id", F.to_json("box").alias("shape"), F.lit(None).cast(REGION).alias("region"), "n", "box.*", F.lit(True).alias("hold"))
+    known = sound.unionByName(held).withColumn("fid", F.to_json(F.struct("source_id", "shape", "hold")))
+    pairs = box_pairs(with_bounds(areas), known, "shape", "fid", size).select(F.col("a_id").alias("shape"), F.col("b_id").alias("fid"))
+    met = pairs.join(known.select("fid", "source_id", "n", F.coalesce("region", stand_in()).alias("f"), "hold"), "fid").join(topics, "source_id")
+    met = met.join(areas.select("shape", F.col("region").alias("a")), "shape")
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:
         area = _region(frame["a"].iloc[0])
-        regions = [_region(f) for f, hold in zip(frame["f"], frame["hold"], strict=True) if hold is None]
+        there = frame[~frame["hold"]]
+        regions = [_region(f) for f in there["f"]]
         shared = planar.areas_of_pairs([(region, area) for region in regions])["both"] > 0
         inside = [region for region, yes in zip(regions, shared, strict=True) if yes]
-        touch = sum(planar.touches_or_crosses(region, area) for region, yes in zip(regions, shared, strict=True) if not yes)
+        n_inside = sum(int(n) for n, yes in zip(there["n"], shared, strict=True) if yes)
+        touch = sum(int(n) for region, n, yes in zip(regions, there["n"], shared, strict=True) if not yes and planar.touches_or_crosses(region, area))
         c = planar.coverage(inside, area)
-        return pd.DataFrame([(*key, len(inside), touch, int(frame["hold"].notna().sum()), c["state"], c["uncovered"], c["fraction"], c["basis"])], columns=[x.split()[0] for x in TOPIC.split(", ")])
+        return pd.DataFrame([(*key, n_inside, touch, int(frame["n"][frame["hold"]].sum()), c["state"], c["uncovered"], c["fraction"], c["basis"])], columns=[x.split()[0] for x in TOPIC.split(", ")])
 
-    found = met.groupBy("aoi_id", "topic").applyInPandas(one, TOPIC)
-    nowhere = keyed.filter("hold is not null and held_bounds is null").join(topics, "source_id").groupBy("topic").agg(F.count("*").alias("n_unknown"))
-    named = topics.select("topic").distinct()
-    every = aois.select("aoi_id", "within_scope", "snapshot_current").crossJoin(F.broadcast(named))  # a handful of topics
-    rows = every.join(found, ["aoi_id", "topic"], "left").join(nowhere, "topic", "left")
+    found = met.groupBy("shape", "topic").applyInPandas(one, TOPIC)
+    nowhere = features.filter("hold is not null and held_bounds is null").join(topics, "source_id").groupBy("topic").agg(F.count("*").alias("n_unknown"))
+    asked = topics.select("topic").distinct()
+    every = named.drop("region").crossJoin(F.broadcast(asked))  # a handful of topics
+    rows = every.join(found, ["shape", "topic"], "left").join(nowhere, "topic", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     blocks = zero("n_held") + zero("n_unknown")
     interior = zero("n_interior")

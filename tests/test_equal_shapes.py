@@ -46,3 +46,12 @@ def features(spark, name):
 def test_overlaid_pairs(spark, sizes):
     got = {(r.a_id, r.b_id): r.both for r in frames.overlaid(areas(spark, "id"), features(spark, "id"), 4.0).collect()}
     assert got == {(a, b): 2 for a in range(6) for b in (0, 3, 6)} and sizes == [(2, 3)]
+
+
+def test_qualified_areas(spark, sizes):
+    aois = areas(spark, "aoi_id").withColumns({"within_scope": F.lit(True), "snapshot_current": F.lit(True)})
+    f = features(spark, "object_id").withColumns({"source_id": F.lit("s"), "hold": F.lit(None).cast("string"), "held_bounds": F.lit(None).cast("struct<xmin double, ymin double, xmax double, ymax double>")})
+    held = f.withColumns({"region": F.lit(None).cast(REGION), "hold": F.lit("held"), "held_bounds": F.struct(*[F.lit(v).alias(c) for v, c in zip((3.0, 0.0, 9.0, 9.0), boxes.BOX, strict=True)])}).filter("object_id < 2")
+    topics = spark.createDataFrame([("zoning", "s")], "topic string, source_id string")
+    got = {r.aoi_id: (r.n_interior, r.n_touch, r.n_blocks, r.fraction) for r in qualification.qualify(aois, f.unionByName(held.select(*f.columns)), topics, 4.0).collect()}
+    assert got == {k: (3, 3 if k % 2 else 0, 2, 0.125) for k in range(6)} and sizes == [(2, 4)]

@@ -10,18 +10,22 @@ from lodestrata.functions.scalars import decrease
 from lodestrata.functions.stages import Stages
 from lodestrata.geometry import planar
 from lodestrata.geometry.dissolve import cell_areas, gathered, pieces, thinned
-from lodestrata.geometry.frames import _region, box_region, overlay_areas, with_bounds
+from lodestrata.geometry.frames import _region, box_region, overlay_areas, shape_id, shapes, with_bounds
 from lodestrata.operators.boxes import BOX, box_pairs
 from lodestrata.operators.sequences import ranked
 
 
 def gap_areas(held: DataFrame, gaps: DataFrame, size: float) -> DataFrame:
     """(object_id, area): uncovered area (gaps: gap_id, region) within each held envelope (object_id, xmin..ymax)."""
-    pairs = box_pairs(held, with_bounds(gaps), "object_id", "gap_id", size)
-    met = pairs.join(gaps.select(F.col("gap_id").alias("b_id"), "region"), "b_id")
-    areas = met.select(F.col("a_id").alias("object_id"), overlay_areas(box_region(*[F.col(f"a_{c}") for c in BOX]), "region").alias("o"))
-    found = areas.groupBy("object_id").agg(F.sum("o.both").alias("area"))
-    return held.select("object_id").join(found, "object_id", "left").select("object_id", F.coalesce("area", F.lit(0.0)).alias("area"))
+    # Envelopes that are equal share their answer, and equal gaps meet an envelope once.
+    boxes = held.select("object_id", F.struct(*BOX).alias("box"))
+    different = boxes.select("box").distinct().select("box", "box.*")
+    kinds = shapes(gaps.select("region", shape_id().alias("shape")))
+    pairs = box_pairs(different, with_bounds(kinds), "box", "shape", size)
+    met = pairs.join(kinds.select(F.col("shape").alias("b_id"), "region", "n"), "b_id")
+    areas = met.select(F.col("a_id").alias("box"), "n", overlay_areas(box_region(*[F.col(f"a_{c}") for c in BOX]), "region").alias("o"))
+    found = areas.groupBy("box").agg(F.sum(F.col("o.both") * F.col("n")).alias("area"))
+    return boxes.join(found, "box", "left").select("object_id", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 def newly_covered(gaps: DataFrame, candidates: DataFrame, size: float) -> DataFrame:

@@ -55,3 +55,9 @@ def test_qualified_areas(spark, sizes):
     topics = spark.createDataFrame([("zoning", "s")], "topic string, source_id string")
     got = {r.aoi_id: (r.n_interior, r.n_touch, r.n_blocks, r.fraction) for r in qualification.qualify(aois, f.unionByName(held.select(*f.columns)), topics, 4.0).collect()}
     assert got == {k: (3, 3 if k % 2 else 0, 2, 0.125) for k in range(6)} and sizes == [(2, 4)]
+
+
+def test_gap_areas(spark, sizes):
+    held = spark.createDataFrame([(k, 0.0, 0.0, 4.0, 4.0) for k in range(5)] + [(9, 90.0, 90.0, 91.0, 91.0)], "object_id long, xmin double, ymin double, xmax double, ymax double")
+    got = {r.object_id: r.area for r in ranking.gap_areas(held, features(spark, "gap_id"), 4.0).collect()}
+    assert got == {**dict.fromkeys(range(5), 6), 9: 0} and sizes == [(2, 3)]

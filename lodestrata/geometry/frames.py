@@ -234,31 +234,40 @@ def screen(subjects: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """Overlay each subject (id, region) with zones (id, zone, region): one row a subject.
 
     covered_fraction counts overlapping zones once, area_sum as often as they overlap; no overlap leaves the
-    fraction null, because absence is not zero. Zones that only touch are listed apart.
+    fraction null, because absence is not zero. Zones that only touch are listed apart. Subjects with equal regions share
+    their answer, and zones with equal regions and names meet a subject once.
     """
-    s, z = with_bounds(subjects.select("id", "region")), with_bounds(zones.select("id", "zone", "region"))
-    pairs = box_pairs(s, z, "id", "id", size).select("a_id", "b_id")
-    met = pairs.join(subjects.select(F.col("id").alias("a_id"), F.col("region").alias("s")), "a_id").join(zones.select(F.col("id").alias("b_id"), "zone", F.col("region").alias("z")), "b_id")
-    schema = "id long, n_overlaps int, area_sum double, covered_fraction double, touches array<long>, zones array<string>"
+    own = subjects.select("id", shape_id().alias("shape"), "region")
+    named = zones.select("id", "zone", "region", shape_id().alias("shape")).withColumn("shape", F.concat("shape", F.coalesce(F.concat(F.lit("="), "zone"), F.lit("~"))))
+    s, z = shapes(own), shapes(named, "zone")
+    pairs = box_pairs(with_bounds(s), with_bounds(z), "shape", "shape", size).select("a_id", "b_id")
+    met = pairs.join(s.select(F.col("shape").alias("a_id"), F.col("region").alias("s")), "a_id").join(z.select(F.col("shape").alias("b_id"), "zone", "n", F.col("region").alias("z")), "b_id")
+    schema = "shape string, n_overlaps int, area_sum double, covered_fraction double, n_touch int, touched array<string>, zones array<string>"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         subject = _region(frame["s"].iloc[0])
-        over, touch, total, names = [], [], 0.0, set()
-        found = sorted(zip(frame["b_id"], frame["zone"], map(_region, frame["z"]), strict=True), key=lambda r: r[0])
-        areas = planar.areas_of_pairs([(subject, region) for _, _, region in found])
+        over, touch, total, names, n_over, n_touch = [], [], 0.0, set(), 0, 0
+        found = sorted(zip(frame["b_id"], frame["zone"], frame["n"], map(_region, frame["z"]), strict=True), key=lambda r: r[0])
+        areas = planar.areas_of_pairs([(subject, region) for *_, region in found])
         whole = areas["left"][0]
-        for (b_id, zone, region), area in zip(found, areas["both"].tolist(), strict=True):
+        for (b_id, zone, n, region), area in zip(found, areas["both"].tolist(), strict=True):
             if area > 0:
                 over += region
-                total += area
+                n_over += int(n) * len(region)
+                total += area * int(n)
                 names.add(zone)
             elif planar.touches_or_crosses(subject, region):
-                touch.append(int(b_id))
+                touch.append(b_id)
+                n_touch += int(n)
         fraction = min(1.0, planar.boolean_areas(subject, over)["both"] / whole) if over else None
-        return pd.DataFrame({"id": [frame["a_id"].iloc[0]], "n_overlaps": [len(over)], "area_sum": [total if over else None], "covered_fraction": [fraction], "touches": [touch], "zones": [sorted(names)]})
-
-    found = met.groupBy("a_id").applyInPandas(one, schema)
-    return subjects.select("id").join(found, "id", "left").withColumn("status", F.when(F.coalesce("n_overlaps", F.lit(0)) > 0, "overlap").when(F.size("touches") > 0, "touch_only").otherwise("no_evidence"))
+        return pd.DataFrame({"shape": [frame["a_id"].iloc[0]], "n_overlaps": [n_over], "area_sum": [total if over else None], "covered_fraction": [fraction], "n_touch": [n_touch], "touched": [touch], "zones": [sorted(names)]})
+
+    found = Stages(subjects.sparkSession, "screen").keep(met.groupBy("a_id").applyInPandas(one, schema), "found")
+    touched = found.select("shape", F.explode("touched").alias("_zone")).join(named.select(F.col("shape").alias("_zone"), F.col("id").cast("long").alias("_id")), "_zone")
+    ids = touched.groupBy(F.col("shape").alias("_shape")).agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
+    met = found.join(ids, F.col("shape") == F.col("_shape"), "left").withColumn("touches", F.coalesce("_ids", F.expr("cast(array() as array<long>)")))
+    rows = own.select("id", "shape").join(met, "shape", "left").select("id", "n_overlaps", "area_sum", "covered_fraction", "n_touch", "touches", "zones")
+    return rows.withColumn("status", F.when(F.coalesce("n_overlaps", F.lit(0)) > 0, "overlap").when(F.col("n_touch") > 0, "touch_only").otherwise("no_evidence"))
 
 
 def zone_areas(pairs: DataFrame, group: list[str]) -> DataFrame:

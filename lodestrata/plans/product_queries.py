@@ -47,7 +47,7 @@ def zoning_screening(t: Tables) -> DataFrame:
     """Zones screened against parts: overlaps, area sums, covered fractions, touches."""
     zones = _as_region(_parts(t)).withColumn("zone", F.concat(F.lit("Z"), (F.col("id") % 5).cast("string")))
     s = frames.screen(_as_region(_zones(t)), zones, 64.0)
-    return s.select("id", F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"), F.round("area_sum", 6).alias("area_sum"), F.round("covered_fraction", 6).alias("covered_fraction"), F.coalesce(F.size("touches"), F.lit(0)).alias("n_touch"), "status")
+    return s.select("id", F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"), F.round("area_sum", 6).alias("area_sum"), F.round("covered_fraction", 6).alias("covered_fraction"), F.coalesce("n_touch", F.lit(0)).alias("n_touch"), "status")
 
 
 @R.add(f"""

@@ -66,3 +66,9 @@ def test_gap_areas(spark, sizes):
 def test_placements(spark, sizes):
     got = {(r.object_id, r.code): (r.fraction, r.fully) for r in conflicts.placements(features(spark, "object_id"), areas(spark, "code"), 4.0).collect()}
     assert got == {(a, b): (1, True) for a in (0, 3, 6) for b in range(6)} and sizes == [3, 2]
+
+
+def test_screened_zones(spark, sizes):
+    zones = features(spark, "id").withColumn("zone", F.lit("Z"))
+    got = {r.id: (r.n_overlaps, r.area_sum, r.covered_fraction, r.n_touch, r.touches, r.status) for r in frames.screen(areas(spark, "id"), zones, 4.0).collect()}
+    assert got == {k: (3, 6, 0.125, 3 if k % 2 else 0, [1, 4, 7] if k % 2 else [], "overlap") for k in range(6)} and sizes == [(2, 3)]

@@ -64,9 +64,12 @@ def scenario_areas(gaps: DataFrame, proposals: DataFrame, accepted: DataFrame, s
     nothing is added have 0. All sides are cut to grid cells; an area is the sum over the cells that gap and proposals
     share, so neither a large gap nor one with many proposals is one task's.
     """
-    of = lambda side, name: gathered(thinned(pieces(side, [], "region", size), [], size, Stages(gaps.sparkSession, f"scenario-{name}")), [], name)
-    own = pieces(gaps, ["gap_id"], "region", size)
+    # Equal gaps share their answer, and what is proposed or accepted twice adds nothing.
+    different = lambda df: shapes(df.select("region", shape_id().alias("shape")))
+    of = lambda side, name: gathered(thinned(pieces(different(side), [], "region", size), [], size, Stages(gaps.sparkSession, f"scenario-{name}")), [], name)
+    named = gaps.select("gap_id", shape_id().alias("shape"))
+    own = pieces(different(gaps), ["shape"], "region", size)
     cells = own.join(of(proposals, "new"), ["cx", "cy"]).join(of(accepted, "old"), ["cx", "cy"], "left")
     added = {"area": lambda c: (c[0] > 0) & (c[1] > 0) & (c[2] <= 0)}
-    found = cell_areas(cells, ["gap_id"], ["edges", "new", "old"], added, size).groupBy("gap_id").agg(F.sum("area").alias("area"))
-    return gaps.select("gap_id").join(found, "gap_id", "left").select("gap_id", F.coalesce("area", F.lit(0.0)).alias("area"))
+    found = cell_areas(cells, ["shape"], ["edges", "new", "old"], added, size).groupBy("shape").agg(F.sum("area").alias("area"))
+    return named.join(found, "shape", "left").select("gap_id", F.coalesce("area", F.lit(0.0)).alias("area"))

@@ -82,3 +82,8 @@ def test_soils_of_areas(spark, sizes):
     got = [r.reasons[:2] for r in rows.collect()]
     assert got == [["soil_geometry_holds_require_review", "incomplete_soil_geometric_coverage"]] * 6
     assert sizes[0] == (2, 4) and sizes[1:] == [2, 3]
+
+
+def test_scenario_areas(spark, sizes):
+    got = {r.gap_id: r.area for r in ranking.scenario_areas(areas(spark, "gap_id"), features(spark, "cand_id"), features(spark, "cand_id").filter("cand_id % 3 = 1"), 4.0).collect()}
+    assert got == dict.fromkeys(range(6), 2) and sorted(sizes) == [1, 2, 3]

@@ -30,7 +30,7 @@ SELECT a.id AS a_id, b.id AS b_id, (least(a.xmax, b.xmax) - greatest(a.xmin, b.x
 """)
 def box_overlap(t: Tables) -> DataFrame:
     """Parts and zones that share an area, and the area."""
-    pairs = boxes.box_pairs(_parts(t), _zones(t), "id", "id", 64.0)
+    pairs = boxes.pairs_of_members(_parts(t), _zones(t), 64.0)
     return pairs.select("a_id", "b_id", boxes.overlap_area().alias("area")).filter("area > 0")
 
 
@@ -40,7 +40,7 @@ SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.xmin - 2 <= b.xmax AND b.xm
 """)
 def box_band_join(t: Tables) -> DataFrame:
     """Parts and zones within a band of two of one another."""
-    return boxes.box_pairs(_parts(t), _zones(t), "id", "id", 64.0, 2.0).select("a_id", "b_id")
+    return boxes.pairs_of_members(_parts(t), _zones(t), 64.0, 2.0).select("a_id", "b_id")
 
 
 @R.add(f"""

@@ -87,3 +87,12 @@ def test_soils_of_areas(spark, sizes):
 def test_scenario_areas(spark, sizes):
     got = {r.gap_id: r.area for r in ranking.scenario_areas(areas(spark, "gap_id"), features(spark, "cand_id"), features(spark, "cand_id").filter("cand_id % 3 = 1"), 4.0).collect()}
     assert got == dict.fromkeys(range(6), 2) and sorted(sizes) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_pairs_of_members(spark, sizes, monkeypatch, chunk):
+    monkeypatch.setattr(boxes, "CHUNK", chunk)
+    rows = lambda n, *at: spark.createDataFrame([(k, *map(float, at[k % len(at)])) for k in range(n)], "id long, xmin double, ymin double, xmax double, ymax double")
+    a, b = rows(10, (0, 0, 4, 4), (20, 20, 21, 21)), rows(9, (3, 3, 9, 9), (4, 4, 5, 5), (50, 0, 51, 1))
+    got = sorted((r.a_id, r.b_id, r.area) for r in boxes.pairs_of_members(a, b, 4.0).select("a_id", "b_id", boxes.overlap_area().alias("area")).collect())
+    assert got == sorted((x, y, 1 if y % 3 == 0 else 0) for x in range(0, 10, 2) for y in range(9) if y % 3 < 2) and sizes == [(2, 3)]

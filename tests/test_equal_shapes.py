@@ -96,3 +96,10 @@ def test_pairs_of_members(spark, sizes, monkeypatch, chunk):
     a, b = rows(10, (0, 0, 4, 4), (20, 20, 21, 21)), rows(9, (3, 3, 9, 9), (4, 4, 5, 5), (50, 0, 51, 1))
     got = sorted((r.a_id, r.b_id, r.area) for r in boxes.pairs_of_members(a, b, 4.0).select("a_id", "b_id", boxes.overlap_area().alias("area")).collect())
     assert got == sorted((x, y, 1 if y % 3 == 0 else 0) for x in range(0, 10, 2) for y in range(9) if y % 3 < 2) and sizes == [(2, 3)]
+
+
+def test_recomputed_areas(spark, sizes):
+    subjects, inputs = areas(spark, "id"), features(spark, "id")
+    assert {r.id: (r.area, r.covered) for r in recompute.covered_areas(subjects, inputs, 4.0, Stages(spark, "covered")).collect()} == dict.fromkeys(range(6), (16, 2))
+    found = {r.id: (r.n_inputs, r.dependencies) for r in recompute.dependencies(subjects, inputs, 4.0).collect()}
+    assert [found[k][0] for k in range(6)] == [3, 6] * 3 and len({v for v in found.values()}) == 2 and sizes == [2, 3, (2, 9)]

@@ -57,7 +57,7 @@ def box_touch(t: Tables) -> DataFrame:
 SPANS_SQL = "SELECT l_orderkey AS k, (l_partkey % 90)::BIGINT AS low, (l_partkey % 90 + l_quantity::BIGINT)::BIGINT AS high FROM lineitem"
 ISLANDS_SQL = """
 , o AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
-g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM o),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b RANGE UNBOUNDED PRECEDING) AS isl FROM o),
 u AS (SELECT k, sum(hi - lo)::BIGINT AS len FROM (SELECT k, isl, min(a) AS lo, max(b) AS hi FROM g GROUP BY ALL) GROUP BY k)
 """
 

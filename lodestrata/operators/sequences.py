@@ -121,7 +121,8 @@ def interval_islands(df: DataFrame, group: list[str], low: str, high: str) -> Da
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(reach.isNull() | (F.col(low) > reach), 1).otherwise(0)
     marked = df.filter(F.col(low) <= F.col(high)).withColumn("_new", begins)
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Intervals that repeat are of one island, whichever of them was seen first.
+    numbered = marked.withColumn("_island", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*group, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
 
 

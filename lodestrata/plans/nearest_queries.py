@@ -40,7 +40,8 @@ def nearest_sites(t: Tables) -> DataFrame:
 
 @R.add(f"""
 WITH {_PLACES}, g AS (SELECT unnest([1.0, 2.0, 5.0, 10.0]::DOUBLE[]) AS gate),
-n AS (SELECT p.id, gate, count(s.id) AS n, min(s.id) AS site FROM p CROSS JOIN g LEFT JOIN s ON s.x BETWEEN p.x - 11 AND p.x + 11 AND s.y BETWEEN p.y - 11 AND p.y + 11 AND sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) <= gate GROUP BY 1, 2),
+m AS (SELECT p.id, s.id AS site, sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) AS far FROM p JOIN s ON s.x BETWEEN p.x - 11 AND p.x + 11 AND s.y BETWEEN p.y - 11 AND p.y + 11),
+n AS (SELECT p.id, gate, count(m.site) AS n, min(m.site) AS site FROM p CROSS JOIN g LEFT JOIN m ON m.id = p.id AND m.far <= gate GROUP BY 1, 2),
 c AS (SELECT *, CASE WHEN n = 1 THEN count(*) FILTER (n = 1) OVER (PARTITION BY gate, CASE WHEN n = 1 THEN site END) END AS claims FROM n)
 SELECT id, gate, n, CASE WHEN n = 1 THEN site END AS match_id, CASE WHEN n = 0 THEN 'none' WHEN n > 1 THEN 'multiple' WHEN claims > 1 THEN 'conflict' ELSE 'single' END AS match_class FROM c
 """)

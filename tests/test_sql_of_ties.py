@@ -29,3 +29,8 @@ def test_union_of_equal_spans(spark, duck):
     assert {r.n for r in union_length(df.repartition(3), ["k"], "low", "high", "n").collect()} == {5}
     wrong = duck.sql(f"WITH s AS ({SPANS_SQL}) SELECT u.k FROM ({registry.ORACLES['interval_union']}) u JOIN (SELECT k, count(DISTINCT i) AS n FROM (SELECT k, unnest(range(low, high)) AS i FROM s) GROUP BY 1) n USING (k) WHERE covered <> n")
     assert wrong.fetchall() == []
+
+
+def test_every_gate_of_every_place(duck):
+    rows = duck.sql(f"SELECT count(*), count(DISTINCT (id, gate)) FROM ({registry.ORACLES['gate_matches']})").fetchall()
+    assert rows == [(60000, 60000)]

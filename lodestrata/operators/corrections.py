@@ -103,7 +103,9 @@ def soil_rows(records: DataFrame, text: str = "input_text") -> DataFrame:
     ``mupolygon`` has a geometry: with its CRS and scope, and either held with a reason and without a geometry, or not held with
     one. What is not JSON has the fault of its kind; the parents themselves are looked up by ``history.orphans``.
     """
-    v = variants.parsed(F.col(text))
+    # Parsed once a row, as a column of its own: an expression is worked out wherever it is used.
+    records = records.withColumn("_lodestrata_v", variants.parsed(F.col(text)))
+    v = F.col("_lodestrata_v")
     value = lambda path: at(v, path, "string")
     kind = value("$.kind")
     choose = lambda make: F.coalesce(*[F.when(kind == k, make(k)) for k in KINDS])
@@ -120,6 +122,6 @@ def soil_rows(records: DataFrame, text: str = "input_text") -> DataFrame:
         hold=~polygon | ~held | ((hold != "") & (scope == "held") & wkb.isNull()), geometry=~polygon | held | ((scope != "held") & wkb.isNotNull()),
     )
     return records.select(
-        "*", kind.alias("kind"), value("$.source_key").alias("source_key"), parent_kind.alias("parent_kind"), parent_key.alias("parent_key"),
+        *[F.col(f"`{c}`") for c in records.columns if c != "_lodestrata_v"], kind.alias("kind"), value("$.source_key").alias("source_key"), parent_kind.alias("parent_kind"), parent_key.alias("parent_key"),
         scope.alias("scope_relation"), hold.alias("hold"), F.sha2(F.col(text), 256).alias("input_sha256"), checks.alias("faults"),
     )

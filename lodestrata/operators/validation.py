@@ -47,13 +47,14 @@ def has_exact_keys(json_text: Column, names: tuple[str, ...] = REVIEW_FIELDS) ->
     return F.coalesce((F.size(keys) == len(names)) & (F.size(F.array_except(F.array(*map(F.lit, names)), keys)) == 0), F.lit(False))
 
 
-def request_faults(request: Column) -> Column:
+def request_faults(request: Column, parsed: Column | None = None) -> Column:
     """Faults of a qualification request: digests, soils, an explicit Boolean, and either an area or a parcel, not both.
 
     Values are judged by their JSON types: "true" is no Boolean and "12" no number. An area is a Polygon or MultiPolygon of
-    closed, simple rings of two finite coordinates each, holes within their shells, in degrees.
+    closed, simple rings of two finite coordinates each, holes within their shells, in degrees. ``parsed``: the request by
+    ``variants.parsed`` as a column of its own, so that a row is not parsed for each value.
     """
-    v = variants.parsed(request)
+    v = variants.parsed(request) if parsed is None else parsed
     has = lambda name: variants.at(v, f"$.{name}").isNotNull()
     sha = lambda path: variants.is_text(v, path, SHA256)
     shape = variants.at(v, "$.geometry.type", "string")

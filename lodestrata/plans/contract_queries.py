@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import variants
 from lodestrata.operators import corrections, validation
 from lodestrata.plans.tables import Registry, Tables
 
@@ -67,7 +68,8 @@ def request_validation(t: Tables) -> DataFrame:
         F.when(kind == 5, text(',"source_id":"ut-parcels","object_id":', k % 40 - 10)).when(kind == 6, text(',"source_id":"organized-parcels","object_id":"', k, '"')).otherwise(area),
         F.when((k % 11 == 0) & (kind < 5), ',"object_id":3').otherwise(""), "}",
     )
-    return t.customer.select("c_custkey", request.alias("r")).select("c_custkey", F.array_join(validation.request_faults(F.col("r")), ",").alias("faults"))
+    rows = t.customer.select("c_custkey", request.alias("r")).withColumn("v", variants.parsed(F.col("r")))
+    return rows.select("c_custkey", F.array_join(validation.request_faults(F.col("r"), F.col("v")), ",").alias("faults"))
 
 
 # Features and proposals of orders. A proposal may be missing, doubled, of another text, or change what it may not.

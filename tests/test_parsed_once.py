@@ -11,3 +11,7 @@ def plan(df):
 
 def test_soil_rows_are_parsed_once(spark):
     assert plan(registry.QUERIES["soil_rows"](spark, SF)).count("parseJson") == 1
+
+
+def test_requests_are_parsed_once(spark):
+    assert plan(registry.QUERIES["request_validation"](spark, SF)).count("parseJson") == 1

@@ -84,8 +84,11 @@ def face_reviews(t: Tables) -> DataFrame:
     inner = _ring((x0 + 1, y0 + 1), (x1 - 1, y0 + 1), (x1 - 1, y1 - 1), (x0 + 1, y1 - 1))
     room = (F.col("wide") >= 3) & (F.col("high") >= 3)
     rings = F.when(F.col("id") % 3 == 0, F.array(eight)).when(~room, F.array(outer)).when(F.col("id") % 3 == 1, F.array(outer, inner)).otherwise(F.array(outer, F.reverse(inner)))
-    found = dissolve.faces(b.select("id", F.transform(rings, lambda r: F.array(r)).alias("region")), ["id"], "region", CELL, Stages(t.spark, "faces"))
-    return dissolve.roles(found, 0.0).select("id", "label", "role", F.round("area", 6).alias("area"))
+    named = b.select("id", F.transform(rings, lambda r: F.array(r)).alias("region")).withColumn("shape", frames.shape_id())
+    # Subjects of equal rings share their faces.
+    found = dissolve.faces(frames.shapes(named), ["shape"], "region", CELL, Stages(t.spark, "faces"))
+    found = dissolve.roles(found, 0.0).select("shape", "label", "role", F.round("area", 6).alias("area"))
+    return named.select("id", "shape").join(found, "shape").select("id", "label", "role", "area")
 
 
 # A ring that comes back to its lower left corner: once out along a square, and again along a smaller one (inside it or
@@ -130,5 +133,8 @@ def ring_contacts(t: Tables) -> DataFrame:
         .when(k % 5 == 3, path(o, square, inside, (a - b, a - 1), (a - 1, a - b), inside, beside, o, *small, o))
         .otherwise(path(o, beside, inside, o, (-b, zero), (-b, -b), o, (zero, b), (-b, b), o))
     )
-    found = t.part.select(k.alias("id"), frames.ring_contacts(rings).alias("c"))
-    return found.select("id", "c.hold", F.size("c.loops").alias("n"), F.round("c.area", 6).alias("area"), "c.pattern").select("id", "hold", F.when(F.col("n") > 0, F.col("n")).alias("n_loops"), "area", "pattern")
+    named = t.part.select(k.alias("id"), rings.alias("region")).withColumn("shape", frames.shape_id())
+    # Rings that are equal are cut once.
+    found = frames.shapes(named).select("shape", frames.ring_contacts("region").alias("c"))
+    found = found.select("shape", "c.hold", F.size("c.loops").alias("n"), F.round("c.area", 6).alias("area"), "c.pattern")
+    return named.select("id", "shape").join(found, "shape").select("id", "hold", F.when(F.col("n") > 0, F.col("n")).alias("n_loops"), "area", "pattern")

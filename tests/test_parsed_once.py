@@ -15,3 +15,9 @@ def test_soil_rows_are_parsed_once(spark):
 
 def test_requests_are_parsed_once(spark):
     assert plan(registry.QUERIES["request_validation"](spark, SF)).count("parseJson") == 1
+
+
+def test_equal_rings_are_cut_once(spark):
+    rings = registry.QUERIES["ring_contacts"](spark, SF)
+    below = plan(rings).split("ArrowEvalPython")
+    assert len(below) == 2 and "Aggregate" in below[1]

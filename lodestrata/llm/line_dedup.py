@@ -10,9 +10,9 @@ that multi-match-aware selection leaves for lines of its own length and up to k
 
 Only the existence of an earlier line counts, so a probe does not meet all lines of a signature: each
 signature proposes its earliest line, and a line that is near it is settled. A line that is not settled
-meets what else its signatures hold in chunks of a bounded number of lines, one row a chunk; inside, lengths
-and letter parities (an edit flips two at most) leave the few pairs that are worth a comparison. Candidates
-are verified by banded bit-parallel edit distance, bit arithmetic over a band of 2k + 1 cells.
+meets what else its signatures hold: the lines of one chunk, or, where a signature holds several chunks, chunk
+against chunk with their texts, so that no row is made for a pair. Lengths and letter parities (an edit flips two at
+most) leave the pairs that are worth a comparison. Candidates are verified by banded bit-parallel edit distance, bit arithmetic over a band of 2k + 1 cells.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ NEAR_CHARS = 40
 BROADCAST_IDS = 200_000
 CHUNK = 64  # lines of one signature that travel in one row
 TASK_PAIRS = 4000  # pairs that one task verifies
+BLOCKS = 8  # pairs of chunks that one task compares
 PART = 8  # characters of the parts that are looked up before two lines are compared
 PARITIES = "etaoinshrdlucmfwypvbgkjqxz0123456789 .,"  # characters whose counts' last bits are compared
 
@@ -190,6 +191,29 @@ def _verified(pairs: DataFrame, lines: DataFrame, keep, name: str, edits: int) -
     return judged.filter("near").select("line_id", "check").distinct()
 
 
+def _late_in_blocks(open_lines: DataFrame, held: DataFrame, lines: DataFrame, keep, blocks: int, edits: int) -> DataFrame:
+    """(line_id, check) of the open lines (sig, line_id, chunk) that have an earlier line within ``edits`` among the held ones.
+
+    Both sides travel in chunks with their texts, so a signature of n lines is (n / CHUNK)^2 rows, each compared where it is:
+    no row is made for a pair. Only earlier lines of fitting lengths and parities are compared, and the first that is near ends it.
+    """
+    ids = held.select("line_id").union(open_lines.select("line_id")).distinct()
+    full = lines.select("line_id", "check", "line", "first", "chars").join(ids, "line_id", "left_semi").withColumn("odd", parities(F.col("line")))
+    full = keep(full, "crowded-lines")
+    one = F.struct("line_id", "check", "line", "first", "chars", "odd")
+    grouped = lambda df, name: df.join(full, "line_id").groupBy("sig", F.col("chunk").alias(f"{name}_chunk")).agg(F.collect_list(one).alias(name))
+    met = keep(grouped(open_lines, "mine"), "crowded-open").join(keep(grouped(held, "others"), "crowded-held"), "sig")
+    met = met.repartition(1 + blocks // BLOCKS, "sig", "mine_chunk", "others_chunk")
+
+    def near(x: Column, m: Column) -> Column:
+        flips = F.bit_count(m["odd"].bitwiseXOR(x["odd"]))
+        fits = (m["first"] < x["first"]) & (F.abs(m["chars"] - x["chars"]) <= edits) & (flips <= 2 * edits)
+        return F.when(fits, within(x["line"], m["line"], edits)).otherwise(F.lit(False))
+
+    late = met.select(F.explode(F.filter("mine", lambda x: F.exists("others", lambda m: near(x, m)))).alias("x"))
+    return keep(late.select("x.line_id", "x.check").distinct(), "crowded-late")
+
+
 def near_lines(distinct: DataFrame, keep, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(line_id, check) of the distinct lines that have an earlier line within ``edits``.
 
@@ -212,8 +236,14 @@ def near_lines(distinct: DataFrame, keep, edits: int = EDITS, near_chars: int =
     unsettled = keep(unsettled, "open")
     chunks = unsettled.groupBy("sig").agg(F.ceil(F.max("n") / CHUNK).cast("int").alias("chunks"))
     chunks = keep(chunks, "chunks")
+    # Signatures of several chunks are crowded: there the lines travel along and are compared where they meet.
+    blocks = chunks.filter("chunks > 1").agg(F.sum(F.col("chunks").cast("long") * F.col("chunks"))).first()[0] or 0
     chunks = F.broadcast(chunks) if chunks.count() <= BROADCAST_IDS else chunks.hint("shuffle_hash")
-    held = keep(index.join(chunks, "sig").select("sig", "line_id", F.pmod("line_id", "chunks").alias("chunk")), "held")
+    placed = lambda df: df.join(chunks, "sig").select("sig", "line_id", F.pmod("line_id", "chunks").alias("chunk"), (F.col("chunks") > 1).alias("crowded"))
+    held = keep(placed(index), "held")
+    if blocks:
+        late = late.unionByName(_late_in_blocks(placed(unsettled).filter("crowded"), held.filter("crowded"), long, keep, blocks, edits))
+        unsettled, held = placed(unsettled).filter("not crowded"), held.filter("not crowded")
     ids = keep(held.select("line_id").union(unsettled.select("line_id")).distinct(), "ids-rest")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     marks = long.join(ids, "line_id", "left_semi").select("line_id", "chars", parities(F.col("line")).alias("odd"))

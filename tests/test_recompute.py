@@ -80,3 +80,54 @@ def test_single_writer(spark, tmp_path):
     expected = spark.createDataFrame([("a", 3), ("b", 6), ("z", 1)], "key string, head_id long")
     assert {(r.key, r.state) for r in single_writer.publishable(expected, rows).collect()} == {("a", "moved"), ("b", "current"), ("z", "unknown")}
     assert rows.filter(F.col("decision") == "append").groupBy("key", "seq").count().filter("count > 1").count() == 0
+
+
+class Held:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getMapState = lambda self, name, key, value: self  # noqa: E731, N815
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.map.get(key)
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.map
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.map[key] = value
+
+
+def test_requests_of_a_key_are_decided_together():
+    state, writer = Held(), single_writer.Decide()
+    writer.init(state)
+    decide = lambda rows: list(writer.handleInputRows(("a",), iter([dict(zip(("request_id", "expected_id", "at"), r, strict=True)) for r in rows]), None))
+    chain = [(7 * k, 7 * (k - 1) if k else None, k) for k in range(5000)]
+    first = decide(chain[:400][::-1])
+    assert [(r.request_id, r.decision, r.seq) for r in first] == [(7 * k, "append", k + 1) for k in range(400)]
+    assert state.calls < 10
+    assert decide(chain[:400]) == []
+    seen = [r for k in range(400, 5000, 50) for r in decide(chain[k : k + 50] + chain[k - 3 : k + 1] + [(-k, 1, k)])]
+    assert [r.request_id for r in seen if r.decision == "append"] == [7 * k for k in range(400, 5000)]
+    assert sorted(r.request_id for r in seen if r.decision == "stale") == sorted(-k for k in range(400, 5000, 50))
+    assert decide(chain) == []
+    assert len(state.map) > 4 and max(len(v[0]) for v in state.map.values()) < 3 * 8 * single_writer.PART

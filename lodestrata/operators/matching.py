@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def grouped_variants(rows: DataFrame, key: str, core: list[str], variant: list[str]) -> DataFrame:
-    """One row per record: whether its core is the same in all rows, its variants, and which variant fields differ."""
-    sums = rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_distinct(F.struct(*core)).alias("_cores"), F.array_sort(F.collect_set(F.struct(*variant))).alias("variants"), *[F.count_distinct(F.coalesce(F.col(v).cast("string"), F.lit("~"))).alias(f"_{v}") for v in variant])
-    differing = F.array_compact(F.array(*[F.when(F.col(f"_{v}") > 1, F.lit(v)) for v in variant]))
-    return sums.select(key, "n_rows", (F.col("_cores") == 1).alias("core_consistent"), F.size("variants").alias("n_variants"), differing.alias("differing_fields"))
+    """One row per record: whether its core is the same in all rows, how many variants it has, and which variant fields differ.
+
+    Equal rows of a record meet first; whether values differ is told by the smallest and the largest, so no row is repeated
+    for a count of distinct values and no set of variants is held.
+    """
+    cores, shown = F.struct(*core), lambda v: F.coalesce(F.col(v).cast("string"), F.lit("~"))
+    once = rows.groupBy(key, *variant).agg(F.count("*").alias("_n"), F.min(cores).alias("_first"), F.max(cores).alias("_last"))
+    ends = [f(shown(v)).alias(f"_{k}_{v}") for v in variant for k, f in (("low", F.min), ("high", F.max))]
+    sums = once.groupBy(key).agg(F.sum("_n").alias("n_rows"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.count("*").cast("int").alias("n_variants"), *ends)
+    differing = F.array_compact(F.array(*[F.when(F.col(f"_low_{v}") != F.col(f"_high_{v}"), F.lit(v)) for v in variant]))
+    return sums.select(key, "n_rows", F.col("_first").eqNullSafe(F.col("_last")).alias("core_consistent"), "n_variants", differing.alias("differing_fields"))
 
 
 def exactly_one_lookup(rows: DataFrame, key: str, lookup: DataFrame, lookup_key: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from lodestrata.functions.stages import Stages
-from lodestrata.operators import corrections, nearest, raster, tiles, validation
+from lodestrata.operators import corrections, matching, nearest, raster, tiles, validation
 from lodestrata.products import representations
 from pyspark.sql import functions as F
 
@@ -140,3 +140,11 @@ def test_empty_tables(spark):
     schema = "k long, a string, rings array<array<array<double>>>"
     assert representations.compared(spark.createDataFrame([], schema), spark.createDataFrame([], schema), ["k"], ["a"], "rings").count() == 0
     assert np.isclose(nearest.gated_matches(spark.createDataFrame([(1, 0.0, 0.0)], PLACE), spark.createDataFrame([], PLACE), [1.0]).first().n, 0)
+
+
+def test_variants_are_counted_without_repeating_rows(spark):
+    rows = [(1, "a", "x", 0.0), (1, "a", "x", -0.0), (1, "a", None, 0.0), (2, None, "~", 1.0), (2, None, None, 1.0), (3, None, "x", 1.0), (3, "b", "x", 1.0), (4, "b", "y", 2.0), (None, "b", "y", 2.0), (None, "b", "y", 3.0)]
+    df = spark.createDataFrame(rows, "k long, c string, v string, w double").repartition(3)
+    out = matching.grouped_variants(df, "k", ["c"], ["v", "w"])
+    assert {r.k: tuple(r)[1:] for r in out.collect()} == {1: (3, True, 2, ["v"]), 2: (2, True, 2, []), 3: (2, False, 1, []), 4: (1, True, 1, []), None: (2, True, 2, ["w"])}
+    assert "Expand" not in out._jdf.queryExecution().toString()

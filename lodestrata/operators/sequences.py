@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.stages import Stages
 
+TASK_ROWS = 1 << 20  # rows that one task is dealt
+PLACES = 16  # places in which equal rows are counted before they meet
+
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset symmetric difference with the ``side`` each row is from; empty means equal multisets."""
@@ -115,12 +118,22 @@ def describe_exact(df: DataFrame, group: list[str], x: str) -> DataFrame:
     return sums.select(*group, "n", "mean", "median", "rms", "p05", "p95", "abs_p95", "max_abs")
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for the rows of ``df``, each about ``TASK_ROWS``: the setting of partitions does not follow the rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def dealt(df: DataFrame, group: list[str], n: int | None = None) -> DataFrame:
+    """Rows dealt by group to ``n`` tasks, else to ``tasks(df)``."""
+    return df.repartition(n or tasks(df), *group)
+
+
 def interval_islands(df: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
     """Disjoint unions (group, low, high) of closed intervals; those that touch are one."""
     w = Window.partitionBy(*group).orderBy(low, high)
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(reach.isNull() | (F.col(low) > reach), 1).otherwise(0)
-    marked = df.filter(F.col(low) <= F.col(high)).withColumn("_new", begins)
+    marked = dealt(df, group).filter(F.col(low) <= F.col(high)).withColumn("_new", begins)
     # Intervals that repeat are of one island, whichever of them was seen first.
     numbered = marked.withColumn("_island", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*group, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
@@ -128,7 +141,25 @@ def interval_islands(df: DataFrame, group: list[str], low: str, high: str) -> Da
 
 def union_length(df: DataFrame, group: list[str], low: str, high: str, name: str) -> DataFrame:
     """Length that the intervals of a group cover; overlaps count once."""
-    return interval_islands(df, group, low, high).groupBy(*group).agg(F.sum(F.col(high) - F.col(low)).alias(name))
+    return union_lengths(dealt(df, group), group, low, high, {name: None})
+
+
+def union_lengths(df: DataFrame, group: list[str], low: str, high: str, names: dict[str, Column | None]) -> DataFrame:
+    """For each name the length that the intervals that fit its rule cover (None: all), from one sort of dealt intervals.
+
+    Where an island begins, the one before it is closed and adds its end less its start, so no table of islands is held. A
+    length without intervals is null.
+    """
+    w = Window.partitionBy(*group).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.filter(F.col(low) <= F.col(high))
+    for n, rule in names.items():
+        own = F.lit(True) if rule is None else F.coalesce(rule, F.lit(False))
+        rows = rows.withColumns({f"_own_{n}": own, f"_reach_{n}": F.max(F.when(own, F.col(high))).over(w)})
+        begins = F.col(f"_own_{n}") & (F.col(f"_reach_{n}").isNull() | (F.col(low) > F.col(f"_reach_{n}")))
+        rows = rows.withColumn(f"_start_{n}", F.when(begins, F.col(low))).withColumn(f"_last_{n}", F.max(f"_start_{n}").over(w))
+    closed = lambda n: F.sum(F.when(F.col(f"_start_{n}").isNotNull(), F.col(f"_reach_{n}") - F.col(f"_last_{n}")))
+    open_ = lambda n: F.max(F.when(F.col(f"_own_{n}"), F.col(high))) - F.max(f"_start_{n}")
+    return rows.groupBy(*group).agg(*[(F.coalesce(closed(n), F.lit(0)) + open_(n)).alias(n) for n in names])
 
 
 def mixture_state(parts: DataFrame, group: list[str], percent: str, tolerance: int = 0) -> DataFrame:
@@ -136,9 +167,12 @@ def mixture_state(parts: DataFrame, group: list[str], percent: str, tolerance: i
 
     ``percent`` is decimal. A unit with a missing percent is unknown; else the sum says under, sums or over.
     """
-    # Equal percents are counted before they meet, so a unit with very many parts is a few rows.
-    p = F.col(percent)
-    counts = parts.groupBy(*group, percent).agg(F.count("*").alias("_n"))
+    # Equal percents are counted before they meet, in some places each, so a unit with very many parts is a few rows. Rows are
+    # dealt out first: tables of counts hold what a task is dealt, not what it reads.
+    p, n = F.col(percent), tasks(parts)
+    spread = dealt(parts.select(*group, percent, F.pmod(F.monotonically_increasing_id(), PLACES).alias("_place")), [*group, percent, "_place"], n)
+    placed = spread.groupBy(*group, percent, "_place").agg(F.count("*").alias("_n"))
+    counts = dealt(placed.drop("_place"), group, n).groupBy(*group, percent).agg(F.sum("_n").alias("_n"))
     sums = counts.groupBy(*group).agg(
         F.sum("_n").alias("n_parts"), F.sum(p * F.col("_n")).alias("total"), F.coalesce(F.sum(F.when(p.isNull(), F.col("_n"))), F.lit(0)).alias("n_missing"),
         F.max(p).alias("largest"), F.coalesce(F.max_by("_n", percent), F.lit(0)).cast("int").alias("_most"),

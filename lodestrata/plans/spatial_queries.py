@@ -95,10 +95,9 @@ SELECT k, count(*) FILTER (NOT base)::BIGINT AS newly_covered FROM p GROUP BY 1
 """)
 def newly_covered(t: Tables) -> DataFrame:
     """Length that proposals add to what accepted spans cover."""
-    spans = _spans(t)
-    whole = sequences.union_length(spans, ["k"], "low", "high", "whole")
-    base = sequences.union_length(spans.filter("low % 3 = 0"), ["k"], "low", "high", "base")
-    return whole.join(base, "k", "left").select("k", (F.col("whole") - F.coalesce("base", F.lit(0))).alias("newly_covered"))
+    spans = sequences.dealt(_spans(t), ["k"])
+    lengths = sequences.union_lengths(spans, ["k"], "low", "high", {"whole": None, "base": F.col("low") % 3 == 0})
+    return lengths.select("k", (F.col("whole") - F.coalesce("base", F.lit(0))).alias("newly_covered"))
 
 
 @R.add("""

@@ -36,3 +36,15 @@ def test_no_task_has_a_large_group(spark, monkeypatch):
         want[g] = (len(lines), hashlib.sha256("".join(x for _, x in lines).encode()).hexdigest())
     assert got == want
     assert kept[0].groupBy("_range").agg(digest.F.sum("n_rows").alias("n")).agg(digest.F.max("n")).first()[0] < 400  # the largest group has 850 rows and more
+
+
+def test_batches_are_complete_by_their_manifest(spark, monkeypatch):
+    from lodestrata.operators import history
+
+    monkeypatch.setattr(digest, "RANGE_LINES", 100)
+    rows = [(b, k, f"{b}{k}") for b, n in (("a", 450), ("b", 120), ("c", 30)) for k in range(n)]
+    df = spark.createDataFrame(rows, "b string, k long, d string").repartition(3)
+    manifest = digest.ordered_fingerprint(df, ["b"], ["k"], "d")
+    changed = df.withColumn("d", digest.F.when((digest.F.col("b") == "a") & (digest.F.col("k") == 449), "other").otherwise(digest.F.col("d")))
+    assert history.incomplete_batches(df, manifest, ["b"], "k", "d").count() == 0
+    assert [r.b for r in history.incomplete_batches(changed, manifest, ["b"], "k", "d").collect()] == ["a"]

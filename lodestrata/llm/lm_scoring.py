@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, unpack
+from lodestrata.llm.blocks import block_count, cut, in_blocks, range_bits, raw, squeezed, unsqueezed
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import batch_words, mixed
 
@@ -50,43 +50,42 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Unsigned integers of 32 bits byte by byte: the upper bytes are nearly all zero and compress."""
-    return pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    """Unsigned integers byte by byte, as many bytes as the largest one has: the upper ones are nearly all zero and compress."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        planes[k] = x >> x.dtype.type(8 * k) if k else x
+    return bytes([width]) + squeezed(planes)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _wide(x: np.ndarray) -> bytes:
-    """Numbers of words, 32 bits if all fit, else 64; byte by byte and compressed, since frequent words have low numbers."""
-    size = 4 if int(x.max(initial=0)) < (1 << 32) else 8
-    return bytes([size]) + pack(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T)
+    planes = unsqueezed(data[1:], np.uint8).reshape(data[0], -1)
+    kind = np.uint32 if len(planes) <= 4 else np.uint64
+    out = planes[0].astype(kind)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(kind) << kind(8 * k)
+    return out
 
 
-def _from_wide(data: bytes) -> np.ndarray:
-    planes = unpack(data[1:], np.uint8).reshape(data[0], -1).T
-    return np.ascontiguousarray(planes).view(f"<u{data[0]}").ravel().astype(np.uint64)
+def _counts(data: bytes) -> np.ndarray:
+    return _from_planes(data).astype(np.int64)
 
 
 def _ascending(x: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte: the upper bytes are zero where many hashes share a range."""
-    return pack(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    """Sorted hashes as differences: the upper bytes are zero where many hashes share a range."""
+    return _planes(np.diff(x, prepend=np.uint64(0)))
 
 
 def _from_ascending(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(unpack(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type that holds them all, compressed."""
-    kind = np.min_scalar_type(int(x.max(initial=0)))
-    return np.dtype(kind).char.encode() + pack(x.astype(kind))
+def _real(x: np.ndarray) -> bytes:
+    return _planes(x.astype("<f4").view("<u4"))
 
 
-def _from_small(data: bytes) -> np.ndarray:
-    return unpack(data[1:], np.dtype(data[:1].decode())).astype(np.int64)
+def _from_real(data: bytes) -> np.ndarray:
+    return _from_planes(data).astype("<u4").view("<f4")
 
 
 def _sorted_order(x: np.ndarray) -> np.ndarray:
@@ -138,10 +137,10 @@ class Grams:
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[before(back)])
             known, where = _ranked(h)
             self.order = known
-        many = np.int64(len(names))
-        pairs, self.place = _ranked(where * many + words[at])
-        pairs = pairs.astype(np.int64)
-        pair_ctx, self.word = pairs // many, pairs % many
+        room = np.int64(len(names).bit_length())
+        pairs, self.place = _ranked((where << room) | words[at])
+        pairs = pairs.view(np.int64)
+        pair_ctx, self.word = pairs >> room, pairs & ((np.int64(1) << room) - 1)
         lens = np.bincount(pair_ctx, minlength=len(known))
         used = lens > 0
         self.ctx, self.order, self.lens = known[used], self.order[used], lens[used]  # words by number, longer contexts by hash
@@ -154,23 +153,23 @@ class Block:
     def __init__(self, row: dict):
         self.blk = row["blk"]
         self.held, self.sizes = np.frombuffer(row["held"], bool), np.frombuffer(row["kept_sizes"], np.int64)
-        self.words = _from_planes(row["words"])
+        self.words = _counts(row["words"])
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.first = np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         self.row = row
 
     def counts(self) -> np.ndarray:
-        return _from_small(self.row["counts"])
+        return _counts(self.row["counts"])
 
     def names(self) -> np.ndarray:
-        return _from_wide(self.row["names"])
+        return _from_planes(self.row["names"]).astype(np.uint64)
 
     def open(self, roots) -> tuple[np.ndarray, np.ndarray]:
         """The open words and their probabilities; before level 1 ``roots(counts)`` of each word."""
         at = np.flatnonzero(np.unpackbits(np.frombuffer(self.row["open"], np.uint8), count=len(self.words)))
         if self.row["counts"]:
             return at, roots(self.counts())[self.words[at]]
-        return at, np.frombuffer(self.row["p"], np.float32).astype(np.float64)
+        return at, _from_real(self.row["p"]).astype(np.float64)
 
     def grams(self, at: np.ndarray, level: int) -> Grams:
         return Grams(self.words, self.names(), self.first[at], at, level)
@@ -190,7 +189,7 @@ def _tokenised(table: pa.Table, train_of) -> pa.Table:
     own = np.bincount(words, np.repeat(train, sizes), len(names)).astype(np.int64)
     row = (
         table.column("blk")[0].as_py(), raw(ids.fill_null(0).to_numpy(zero_copy_only=False)), raw(ids.is_null().to_numpy(zero_copy_only=False)), raw(~train), raw(sizes.astype(np.int64)),
-        raw(sizes.astype(np.int64)), b"", b"", b"", _planes(words), raw(names), _small(own), b"", b"",
+        raw(sizes.astype(np.int64)), b"", b"", b"", _planes(words), raw(names), _planes(own), b"", b"",
     )
     return _table(STATE, [row])
 
@@ -209,7 +208,7 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
         for r in range(len(edges) - 1):
             c = slice(edges[r], edges[r + 1])
             if edges[r] < edges[r + 1]:
-                out.append((r, block.blk, raw(names[c]), b"", b"", _small(counts[c]), b""))
+                out.append((r, block.blk, raw(names[c]), b"", b"", _planes(counts[c]), b""))
         return out
     at, p = block.open(_roots(totals))
     if not len(at):
@@ -218,17 +217,17 @@ def _asked(block: Block, level: int, bits: int, totals: tuple[int, int]) -> list
     sym = block.names()[grams.word]
     counts = np.bincount(grams.place, ~block.held[block.doc[at]], len(sym)).astype(np.int64)
     if level == 1:  # the parent's probabilities follow from the words' counts
-        roots, parents = block.counts()[grams.word], _small
+        roots, parents = block.counts()[grams.word], _planes
     else:
-        roots, parents = np.zeros(len(sym), np.float32), pack
+        roots, parents = np.zeros(len(sym), np.float32), _real
         roots[grams.place] = p
-    contexts = _wide if level == 1 else _ascending
+    contexts = _planes if level == 1 else _ascending
     edges = cut(grams.order, bits)
     pairs = np.r_[0, np.cumsum(grams.lens)][edges]
     for r in range(len(edges) - 1):
         c, q = slice(edges[r], edges[r + 1]), slice(pairs[r], pairs[r + 1])
         if edges[r] < edges[r + 1]:
-            out.append((r, block.blk, contexts(grams.ctx[c]), _small(grams.lens[c]), _wide(sym[q]), _small(counts[q]), parents(roots[q])))
+            out.append((r, block.blk, contexts(grams.ctx[c]), _planes(grams.lens[c]), _planes(sym[q]), _planes(counts[q]), parents(roots[q])))
     return out
 
 
@@ -257,9 +256,9 @@ def _tested(total, own, parent, many: int, least: int, nats: float):
 def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float, totals: tuple[int, int]) -> pa.Table:
     """One range of one level: add what the blocks counted, test contexts, answer each block in the order asked."""
     rows = table.to_pylist()
-    read = np.frombuffer if level == 0 else _from_wide if level == 1 else _from_ascending
+    read = np.frombuffer if level == 0 else _from_planes if level == 1 else _from_ascending
     ctxs = [read(r["ctx"], np.uint64) if level == 0 else read(r["ctx"]) for r in rows]
-    counts = [_from_small(r["counts"]) for r in rows]
+    counts = [_counts(r["counts"]) for r in rows]
     known, place = _ranked(np.concatenate(ctxs))
     out, at_pair, at_ctx = [], 0, 0
     if level == 0:
@@ -270,12 +269,12 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float, t
         stats = (int(total.sum()), int((total > 0).sum()), int(names.max(initial=np.uint64(0))))
         for k, r in enumerate(rows):
             mine = place[at_ctx : at_ctx + len(ctxs[k])]
-            out.append((r["rng"], r["blk"], _small(total[mine]), b"", b"", _wide(names[mine]), *(stats if k == 0 else (0, 0, 0))))
+            out.append((r["rng"], r["blk"], _planes(total[mine]), b"", b"", _planes(names[mine]), *(stats if k == 0 else (0, 0, 0))))
             at_ctx += len(ctxs[k])
         return _table(ANSWER, out)
-    lens = [_from_small(r["lens"]) for r in rows]
+    lens = [_counts(r["lens"]) for r in rows]
     pair_ctx = np.repeat(place, np.concatenate(lens))
-    sym = np.concatenate([_from_wide(r["sym"]) for r in rows])
+    sym = np.concatenate([_from_planes(r["sym"]) for r in rows])
     many = np.uint64(int(sym.max(initial=0)) + 1)
     if int(many) * len(known) >= 1 << 64:
         named, sym = _ranked(sym)
@@ -284,13 +283,13 @@ def _answered(table: pa.Table, level: int, bits: int, least: int, nats: float, t
     total = np.bincount(of, np.concatenate(counts), len(pairs))
     own = (pairs // many).astype(np.int64)
     parent = np.zeros(len(pairs))
-    parent[of] = np.concatenate([_roots(totals)(_from_small(r["par"])) if level == 1 else unpack(r["par"], np.float32) for r in rows])
+    parent[of] = np.concatenate([_roots(totals)(_counts(r["par"])) if level == 1 else _from_real(r["par"]) for r in rows])
     n, t, retained, closed = _tested(total, own, parent, len(known), least, nats)
     marks = (retained * RETAINED + closed * CLOSED).astype(np.uint8)
     total = total.astype(np.int64)
     for k, r in enumerate(rows):
         mine = place[at_ctx : at_ctx + len(ctxs[k])]
-        out.append((r["rng"], r["blk"], _small(total[of[at_pair : at_pair + len(counts[k])]]), _small(n[mine]), pack(marks[mine]), _small(t[mine]), 0, 0, 0))
+        out.append((r["rng"], r["blk"], _planes(total[of[at_pair : at_pair + len(counts[k])]]), _planes(n[mine]), _planes(marks[mine]), _planes(t[mine]), 0, 0, 0))
         at_pair += len(counts[k])
         at_ctx += len(ctxs[k])
     return _table(ANSWER, out)
@@ -305,50 +304,52 @@ def _taken_up(block: Block, answers: pa.Table, level: int, totals: tuple[int, in
     n_all, v_all = totals
     names = None
     if level == 0:
-        count, names = joined("counts", _from_small), joined("names", _from_wide).astype(np.uint64)
+        count, names = joined("counts", _counts), joined("names", _from_planes).astype(np.uint64)
         order = np.argsort(names)  # from now on words are in the order of their numbers
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         names, count, block.words = names[order], count[order], rank[block.words]
         at = np.arange(many)
-        p = ((count + 0.5) / (n_all + 0.5 * (v_all + 1)))[block.words]
-        row["base"] = raw(np.bincount(block.doc, np.log10(p), docs))
-        row["known"] = raw(np.bincount(block.doc, count[block.words] > 0, docs).astype(np.int64))
+        base = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1)))[block.words]
+        row["base"] = raw(np.bincount(block.doc, base, docs))
+        row["known"] = raw(np.bincount(block.doc, (count > 0)[block.words], docs).astype(np.int64))
         score = np.zeros(docs)
-        n_before = np.r_[0, count[block.words[:-1]]] if many else np.zeros(0, np.int64)
-        going = (at == block.first) | (n_before >= least)
+        going = at == block.first
+        going[1:] |= (count >= least)[block.words[:-1]]
     else:
         at, p = block.open(_roots(totals))
         score = np.frombuffer(row["score"]).copy()
         going = np.zeros(0, bool)
         if len(at):
             grams = block.grams(at, level)
-            count, n, t = joined("counts", _from_small), joined("ctx_n", _from_small), joined("names", _from_small)
-            marks = joined("marks", lambda x: unpack(x, np.uint8))
-            ctx = grams.pair_ctx[grams.place]
-            kept = (marks[ctx] & RETAINED) > 0
-            own = count[grams.place]
-            p = np.where(kept, (own + t[ctx] * p) / np.maximum(n[ctx] + t[ctx], 1), p)
+            count, n, t = joined("counts", _counts), joined("ctx_n", _counts), joined("names", _counts)
+            marks = joined("marks", _counts)
+            parent = np.empty(len(count))  # by pair, which the places of a pair share
+            parent[grams.place] = p
+            ctx = grams.pair_ctx
+            parent = np.where((marks & RETAINED)[ctx] > 0, (count + t[ctx] * parent) / np.maximum(n + t, 1)[ctx], parent)
+            p = parent[grams.place]
             # The next context ends in the word before, so it occurs as often as that word after its own context.
-            before = np.full(many + 1, np.iinfo(np.int64).max)
-            before[at] = own
-            going = ((marks[ctx] & CLOSED) == 0) & (before[at - 1] >= least) & (at - level >= block.first[at])
+            before = np.ones(many + 1, bool)
+            before[at] = (count >= least)[grams.place]
+            going = ((marks & CLOSED) == 0)[ctx][grams.place] & before[at - 1] & (at - level >= block.first[at])
     if level == depth:
         going = np.zeros(len(at), bool)
     done, left = at[~going], at[going]
-    score = score + np.bincount(block.doc[done], np.log10(p[~going]), docs)
+    score = score + np.bincount(block.doc[done], np.log10(p[~going]) if level else base[~going], docs)
     bits = np.zeros(many, bool)
     bits[left] = True
     # Only the words that contexts of open words can reach are kept, and of the names only theirs.
-    begin = np.maximum(left - depth, block.first[left])
-    near = np.cumsum((np.bincount(begin, minlength=many + 1) - np.bincount(left + 1, minlength=many + 1))[:many]) > 0
+    near = bits.copy()
+    for back in range(1, min(depth, many - 1) + 1):
+        near[:-back] |= bits[back:] & (block.doc[back:] == block.doc[:-back])
     words = block.words[near]
     used = np.zeros(len(names) if level == 0 else len(names := block.names()), bool)
     used[words] = True
     row |= {
         "score": raw(score), "open": raw(np.packbits(bits[near])), "kept_sizes": raw(np.bincount(block.doc[near], minlength=docs).astype(np.int64)),
-        "words": _planes((np.cumsum(used) - 1)[words]), "names": _wide(names[used]), "counts": b"" if level else _small(count[used]),
-        "p": raw(p[going].astype(np.float32)) if level else b"",
+        "words": _planes((np.cumsum(used) - 1)[words]), "names": _planes(names[used]), "counts": b"" if level else _planes(count[used]),
+        "p": _real(p[going]) if level else b"",
     }
     return tuple(row[k] for k in _names(STATE))
 
@@ -362,7 +363,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out, depth: int = DE
     an empty table gives an empty table; other columns are ignored, whatever their names.
     """
     count = block_count(docs, CHARS)
-    bits = range_bits(count)
+    bits = max(0, range_bits(count) - 1)  # a range is asked by one to two blocks' worth, which is less than what a block holds
     train_of = lambda ids: ~held_out(ids)
 
     def asked(state: DataFrame, level: int, totals) -> DataFrame:

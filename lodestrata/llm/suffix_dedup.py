@@ -8,8 +8,8 @@ which of their anchors occur in more than one document; only suffixes at those a
 sorts its suffixes (50 bytes from the anchor, then the 34 before it, nearest first; equal ones once, with
 their smallest document), front-codes the run and sends it in pieces by key range. A range merges its runs
 with a loser tree that compares only beyond the common prefixes it knows, and the common prefix lengths of
-the merged order tell which strings are equal. For each suffix and each string around its anchor the
-smallest document goes back to the block, which marks the bytes.
+the merged order tell which strings are equal. For each suffix a bit for each string around its anchor goes
+back to the block: whether a document smaller than the suffix's own holds it. The block marks the bytes.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, unpack
+from lodestrata.llm.blocks import block_count, cut, in_blocks, pack, range_bits, raw, squeezed, unsqueezed
 from lodestrata.llm.scratch import Scratch
 from lodestrata.llm.shingles import mixed
 
@@ -29,14 +30,32 @@ LENGTH = 50
 GRAM = 16
 SHIFTS = LENGTH - GRAM + 1  # places of an anchor in a string
 LEFT = LENGTH - GRAM
-CHUNK = 1 << 20
+WIDTH = LENGTH + LEFT + 2  # of a suffix row
+CHUNK = 1 << 16  # strings hashed at a time: their arrays stay in the processor's cache
 NOBODY = np.iinfo(np.int64).max
 SAMPLE = 32  # suffixes of a block from which the key ranges are chosen
 
 ASK = "rng int, blk int, keys binary, own binary, sample binary"
 ANSWER = "rng int, blk int, many binary"
 RUN = "rng int, blk int, common binary, tails binary, docs binary"
-LEAST_DOC = "rng int, blk int, least binary"
+HITS = "rng int, blk int, strings binary"
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """64-bit integers byte by byte: the upper ones are nearly all zero and compress."""
+    return squeezed(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unsqueezed(data, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+
+
+def _flags(x: np.ndarray) -> bytes:
+    return squeezed(np.packbits(x))
+
+
+def _from_flags(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(unsqueezed(data, np.uint8), count=count).astype(bool)
 
 
 def _extreme(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -48,79 +67,88 @@ def _extreme(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a document: the least of each string's 16-byte pieces."""
-    n = len(data)
+def anchors(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of texts that lie end to end: the least of each string's 16-byte pieces."""
+    n = len(flat)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whole = np.ones(n, bool)  # where a string begins that does not reach into the next text
+    for k in range(1, LENGTH):
+        whole[starts[1:][starts[1:] >= k] - k] = False
     places, hashes = [], []
+    pad = np.zeros(SHIFTS - 1, np.uint64)
     for at in range(0, n - LENGTH + 1, CHUNK):
-        part = data[at : at + CHUNK + LENGTH - 1]
+        part = flat[at : at + CHUNK + LENGTH - 1]
         v = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,)).astype(np.uint64)
         h = mixed(v[:-8] * np.uint64(0x9E3779B97F4A7C15) + mixed(v[8:]))
-        least = _extreme(h, SHIFTS, np.minimum)
-        pad = np.zeros(SHIFTS - 1, np.uint64)
+        least = _extreme(h, SHIFTS, np.minimum) * whole[at : at + len(part) - LENGTH + 1]
         chosen = np.flatnonzero(_extreme(np.concatenate([pad, least, pad]), SHIFTS, np.maximum) == h)
         places.append(chosen + at)
         hashes.append(h[chosen])
-    places, hashes = np.concatenate(places), np.concatenate(hashes)
-    if n - LENGTH + 1 > CHUNK:
-        places, keep = np.unique(places, return_index=True)
-        hashes = hashes[keep]
-    return places, hashes
+    places, keep = np.unique(np.concatenate(places), return_index=True)
+    return places, np.concatenate(hashes)[keep]
 
 
 class Block:
-    """One block's documents by id, their bytes end to end, and their anchors."""
+    """One block's documents and their bytes end to end; by id, then text, so that each step sees the same places."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").combine_chunks().fill_null(NOBODY).to_numpy()
-        order = np.argsort(ids, kind="stable")
-        table = table.take(pa.array(order))
-        self.null_ids = table.column("doc_id").combine_chunks()
-        self.ids = ids[order]
-        self.data = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
-        self.sizes = np.array([len(d) for d in self.data], np.int64)
-        self.starts = np.r_[0, np.cumsum(self.sizes)]
-        found = [anchors(d) for d in self.data]
-        self.doc = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
-        self.place = np.concatenate([p + s for (p, _), s in zip(found, self.starts, strict=False)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.hash = np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)])
-
-    def keys(self):
-        """Distinct anchor hashes, where each anchor's is, and which occur under several ids of this block."""
-        keys, place = np.unique(self.hash, return_inverse=True)
-        low = np.full(len(keys), NOBODY)
-        high = np.full(len(keys), np.iinfo(np.int64).min)
-        ids = self.ids[self.doc]
-        np.minimum.at(low, place, ids)
-        np.maximum.at(high, place, ids)
-        return keys, place, low != high
+        ids, texts = table.column("doc_id").combine_chunks(), table.column("text").cast(pa.large_binary()).combine_chunks()
+        order = pc.sort_indices(pa.table({"id": ids, "text": texts}), [("id", "ascending"), ("text", "ascending")])
+        self.null_ids = ids.take(order)
+        self.ids = self.null_ids.fill_null(NOBODY).to_numpy()
+        texts = texts.fill_null(b"").take(order)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.starts = ends - ends[0]
+        self.flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+class Anchors:
+    """The anchors of a block, by hash: places, documents' ids, and the distinct hashes."""
+
+    def __init__(self, block: Block):
+        self.block = block
+        place, hashes = anchors(block.flat, block.starts)
+        doc = np.repeat(np.arange(len(block.ids)), np.diff(np.searchsorted(place, block.starts)))
+        order = np.argsort(hashes)
+        self.place, self.doc, hashes = place[order], doc[order], hashes[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
+        self.keys = hashes[self.first]
+        self.key = np.cumsum(new) - 1
+
+    def several(self) -> np.ndarray:
+        """Which hashes occur under several ids of this block."""
+        ids = self.block.ids[self.doc]
+        return np.minimum.reduceat(ids, self.first) != np.maximum.reduceat(ids, self.first) if len(ids) else np.zeros(0, bool)
 
     def suffixes(self, repeated: np.ndarray):
-        """(rows, entry, least): distinct sorted suffix rows, each repeated anchor's row, each row's least document.
+        """(rows, least, times, places, above) of the suffixes at the anchors with a repeated hash.
 
-        A row is the 50 bytes from the anchor, the 34 before it in reverse, and how many of both are real.
+        ``rows``: distinct sorted suffixes, the 50 bytes from the anchor, the 34 before it in reverse, and how many of
+        both are real; ``least``: their least documents; ``times``: how many places have the row.
+        ``places``: these, row by row; ``above``: whether their document is a larger one than the row's least.
         """
-        at, doc = self.place[repeated], self.doc[repeated]
-        flat = np.frombuffer(b"".join(self.data) + bytes(LENGTH), np.uint8)
-        begin, end = self.starts[doc], self.starts[doc + 1]
-        right, left = np.minimum(end - at, LENGTH), np.minimum(at - begin, LEFT)
-        rows = np.zeros((len(at), LENGTH + LEFT + 2), np.uint8)
-        for k in range(LENGTH):
-            rows[:, k] = np.where(k < right, flat[np.minimum(at + k, len(flat) - 1)], 0)
-        for k in range(LEFT):
-            rows[:, LENGTH + k] = np.where(k < left, flat[np.maximum(at - 1 - k, 0)], 0)
+        at, doc = self.place[repeated[self.key]], self.doc[repeated[self.key]]
+        if not len(at):
+            return np.zeros((0, WIDTH), np.uint8), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+        block = self.block
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), block.flat, np.zeros(LENGTH, np.uint8)]), LEFT + LENGTH)[at]
+        right, left = np.minimum(block.starts[doc + 1] - at, LENGTH), np.minimum(at - block.starts[doc], LEFT)
+        rows = np.empty((len(at), WIDTH), np.uint8)
+        rows[:, :LENGTH], rows[:, LENGTH:-2] = around[:, LEFT:], around[:, LEFT - 1 :: -1]
         rows[:, -2], rows[:, -1] = right, left
-        # eight bytes at a time, as big-endian integers, sort as the bytes do
-        order = np.lexsort(np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 2)))).view(">u8").astype(np.uint64).T[::-1]) if len(rows) else np.zeros(0, np.int64)
-        ranked = rows[order]
-        new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)] if len(rows) else np.zeros(0, bool)
-        entry = np.empty(len(rows), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), NOBODY)
-        np.minimum.at(least, entry, self.ids[doc])
-        return ranked[new], entry, least
+        for part, real, full in ((rows[:, :LENGTH], right, LENGTH), (rows[:, LENGTH:-2], left, LEFT)):
+            short = np.flatnonzero(real < full)
+            part[short] *= np.arange(full) < real[short, None]
+        del around
+        order = np.argsort(rows.view(f"S{WIDTH}")[:, 0])
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+        ids = block.ids[doc[order]]
+        least, times = np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(rows)])
+        return rows[first], least, times, at[order], ids > np.repeat(least, times)
 
 
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -131,11 +159,11 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
     return np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])]
 
 
-def front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
+def front_coded(rows: np.ndarray, coded=pack) -> tuple[bytes, bytes]:
     """A sorted run as common prefix lengths and what follows them."""
     common = common_prefixes(rows)
     tails = rows[np.arange(rows.shape[1])[None] >= common[:, None]]
-    return pack(common.astype(np.uint8)), pack(tails)
+    return coded(common.astype(np.uint8)), coded(tails)
 
 
 def decoded(common: np.ndarray, tails: bytes, width: int) -> list[bytes]:
@@ -155,70 +183,77 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     Of two heads with different lengths the longer is smaller, and the loser's length stays right; only equal
     lengths compare characters, from there on.
     """
-    size = 1
-    while size < max(1, len(runs)):
-        size *= 2
+    size = 1 << max(0, len(runs) - 1).bit_length()
     heads = [0] * len(runs)
-    key = [r[0][0] if r[0] else None for r in runs] + [None] * (size - len(runs))
-    known = [0] * size
-
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); sets the loser's common prefix with the winner."""
-        x, y = key[a], key[b]
-        if x is None:
-            return b, a
-        if y is None:
-            return a, b
-        if known[a] != known[b]:
-            return (a, b) if known[a] > known[b] else (b, a)
-        k = known[a]
-        n = min(len(x), len(y))
-        while k + 8 < n and x[k : k + 8] == y[k : k + 8]:
-            k += 8
-        while k < n and x[k] == y[k]:
-            k += 1
-        if x[k:] <= y[k:]:
-            known[b] = k
-            return a, b
-        known[a] = k
-        return b, a
-
-    losers = [0] * size
-    level = list(range(size))
-    node = size
-    while len(level) > 1:
-        node //= 2
-        after = []
-        for k in range(0, len(level), 2):
-            won, lost = play(level[k], level[k + 1])
-            losers[node + k // 2] = lost
-            after.append(won)
-        level = after
-    champion = level[0]
+    key = [strings[0] if strings else b"" for strings, _ in runs] + [b""] * (size - len(runs))
+    # a run that is at its end has a negative length, each its own: it loses, and is never compared
+    known = [0 if k < len(runs) and runs[k][0] else -1 - k for k in range(size)]
+    losers = [-1] * size
+
+    def rise(run: int) -> int:
+        """Play from the run's leaf up: the winner, or -1 where the run waits for its first opponent."""
+        x, k, node = key[run], known[run], (run + size) >> 1
+        while node:
+            other = losers[node]
+            if other < 0:
+                losers[node] = run
+                return -1
+            length = known[other]
+            if length > k:
+                losers[node] = run
+                run, x, k = other, key[other], length
+            elif length == k:
+                y = key[other]
+                if x == y:
+                    known[other] = len(x)
+                else:
+                    j = k
+                    while x[j : j + 8] == y[j : j + 8]:
+                        j += 8
+                    if x[j : j + 4] == y[j : j + 4]:
+                        j += 4
+                    if x[j : j + 2] == y[j : j + 2]:
+                        j += 2
+                    if x[j : j + 1] == y[j : j + 1]:
+                        j += 1
+                    if x[j : j + 1] < y[j : j + 1]:
+                        known[other] = j
+                    else:
+                        known[run] = j
+                        losers[node] = run
+                        run, x = other, y
+            node >>= 1
+        return run
+
+    champion = 0
+    for k in range(size):
+        champion = rise(k)
     out_run, out_place, out_common = [], [], []
-    while key[champion] is not None:
+    while known[champion] >= 0:
+        at = heads[champion]
         out_run.append(champion)
-        out_place.append(heads[champion])
+        out_place.append(at)
         out_common.append(known[champion])
-        heads[champion] += 1
+        heads[champion] = at = at + 1
         strings, common = runs[champion]
-        if heads[champion] < len(strings):
-            key[champion] = strings[heads[champion]]
-            known[champion] = common[heads[champion]]
+        if at < len(strings):
+            key[champion], known[champion] = strings[at], common[at]
         else:
-            key[champion] = None
-        node = (champion + size) // 2
-        while node:
-            won, lost = play(champion, losers[node])
-            losers[node], champion = lost, won
-            node //= 2
+            known[champion] = -1 - champion
+        champion = rise(champion)
     return out_run, out_place, out_common
 
 
+def _fits(rows: np.ndarray) -> np.ndarray:
+    """For each suffix, a bit for each shift whose string lies within the text."""
+    right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    return ((1 << (left + 1)) - 1) & -(1 << (LENGTH - np.minimum(right, LENGTH)))
+
+
 def least_documents(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each merged suffix and each shift a, the least document that holds the string starting a bytes before the anchor."""
+    """For each shift a and each merged suffix, the least document that holds the string starting a bytes before the anchor."""
     right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    out = np.full((len(rows), SHIFTS), NOBODY)
+    out = np.full((SHIFTS, len(rows)), NOBODY)
     before = np.zeros(len(rows), np.uint64)
     for a in range(SHIFTS):
         if a:
@@ -227,10 +262,29 @@ def least_documents(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> n
         if not len(fits):
             continue
         same_right = np.cumsum(common < LENGTH - a).astype(np.uint64)
-        _, group = np.unique(mixed(same_right * np.uint64(0x9E3779B97F4A7C15) + mixed(before))[fits], return_inverse=True)
-        least = np.full(group.max() + 1, NOBODY)
-        np.minimum.at(least, group, docs[fits])
-        out[fits, a] = least[group]
+        group = mixed(same_right * np.uint64(0x9E3779B97F4A7C15) + mixed(before))[fits]
+        order = np.argsort(group)
+        group = group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        out[a, fits[order]] = np.repeat(np.minimum.reduceat(docs[fits[order]], first), np.diff(np.r_[first, len(fits)]))
+    return out
+
+
+def repeated_strings(rows: np.ndarray, common: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each merged suffix, a bit for each shift whose string a document smaller than its own holds, too."""
+    new = common < WIDTH
+    first = np.flatnonzero(new)
+    row = np.cumsum(new) - 1
+    rows, common, least = rows[first], common[first], np.minimum.reduceat(docs, first)
+    out = np.where(least[row] < docs, _fits(rows)[row], 0)
+    # an anchor with one suffix has no other string; the suffixes of the rest are compared shift by shift
+    head = common < GRAM
+    crowd = ~(head & np.r_[head[1:], True])
+    some = np.flatnonzero(crowd[row])
+    if len(some):
+        place = (np.cumsum(crowd) - 1)[row[some]]
+        for a, found in enumerate(least_documents(rows[crowd], common[crowd], least[crowd])):
+            out[some] |= (found[place] < docs[some]).astype(np.int64) << a
     return out
 
 
@@ -240,30 +294,29 @@ def _several(table: pa.Table) -> pa.Table:
     keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
     _, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     several = times > 1
-    np.logical_or.at(several, place, np.concatenate([np.unpackbits(unpack(r["own"], np.uint8), count=len(k)) for r, k in zip(rows, keys, strict=True)]).astype(bool))
+    np.logical_or.at(several, place, np.concatenate([_from_flags(r["own"], len(k)) for r, k in zip(rows, keys, strict=True)]))
     got = several[place]
     ends = np.cumsum([len(k) for k in keys])
-    many = [pack(np.packbits(got[e - len(k) : e])) for e, k in zip(ends, keys, strict=True)]
+    many = [_flags(got[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
     return pa.table({"rng": pa.array([r["rng"] for r in rows], pa.int32()), "blk": pa.array([r["blk"] for r in rows], pa.int32()), "many": pa.array(many, pa.binary())})
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """One key range: merge the blocks' runs and tell each suffix its least documents."""
+    """One key range: merge the blocks' runs and tell each suffix which of its strings repeat."""
     rows = table.to_pylist()
-    width = LENGTH + LEFT + 2
     runs = []
     for r in rows:
-        common = unpack(r["common"], np.uint8)
-        runs.append((decoded(common, unpack(r["tails"], np.uint8).tobytes(), width), common.tolist()))
-    docs = [unpack(r["docs"], np.int64) for r in rows]
+        common = unsqueezed(r["common"], np.uint8)
+        runs.append((decoded(common, unsqueezed(r["tails"], np.uint8).tobytes(), WIDTH), common.tolist()))
+    docs = [_from_numbers(r["docs"]) for r in rows]
     sizes = np.r_[0, np.cumsum([len(d) for d in docs])]
     run, place, common = merge_runs(runs)
-    merged = np.frombuffer(b"".join([runs[a][0][b] for a, b in zip(run, place, strict=True)]), np.uint8).reshape(-1, width)
+    merged = np.frombuffer(b"".join([runs[a][0][b] for a, b in zip(run, place, strict=True)]), np.uint8).reshape(-1, WIDTH)
     position = sizes[np.array(run, np.int64)] + np.array(place, np.int64)
-    least = np.empty((len(merged), SHIFTS), np.int64)
-    least[position] = least_documents(merged, np.array(common), np.concatenate(docs)[position])
-    out = [pack(least[sizes[k] : sizes[k + 1]]) for k in range(len(rows))]
-    return pa.table({"rng": pa.array([r["rng"] for r in rows], pa.int32()), "blk": pa.array([r["blk"] for r in rows], pa.int32()), "least": pa.array(out, pa.binary())})
+    strings = np.empty(len(merged), np.int64)
+    strings[position] = repeated_strings(merged, np.array(common), np.concatenate(docs)[position])
+    out = [_numbers(strings[sizes[k] : sizes[k + 1]]) for k in range(len(rows))]
+    return pa.table({"rng": pa.array([r["rng"] for r in rows], pa.int32()), "blk": pa.array([r["blk"] for r in rows], pa.int32()), "strings": pa.array(out, pa.binary())})
 
 
 def _bits(table: pa.Table, block_keys: np.ndarray, bits: int) -> np.ndarray:
@@ -273,10 +326,24 @@ def _bits(table: pa.Table, block_keys: np.ndarray, bits: int) -> np.ndarray:
     for r in table.select(["rng", "many"]).to_pylist():
         if r["many"] is not None:
             lo, hi = edges[r["rng"]], edges[r["rng"] + 1]
-            out[lo:hi] = np.unpackbits(unpack(r["many"], np.uint8), count=int(hi - lo)).astype(bool)
+            out[lo:hi] = _from_flags(r["many"], int(hi - lo))
     return out
 
 
+def _begins(block: Block, got: pa.Table, bits: int) -> np.ndarray:
+    """For each byte of the block, whether a string begins there that a smaller document holds."""
+    found = Anchors(block)
+    rows, _, times, places, above = found.suffixes(_bits(got, found.keys, bits))
+    told = sorted((r["rng"], r["strings"]) for r in got.select(["rng", "strings"]).to_pylist() if r["strings"] is not None)
+    strings = np.concatenate([np.zeros(0, np.int64), *[_from_numbers(x) for _, x in told]])
+    # where the row's least document is smaller than the place's, it holds all strings of the place
+    strings = np.where(above, np.repeat(_fits(rows), times), np.repeat(strings, times))
+    begins = np.zeros(len(block.flat), bool)
+    for a in range(SHIFTS):
+        begins[places[strings >> a & 1 == 1] - a] = True
+    return begins
+
+
 def _range_of(rows: np.ndarray, splitters: list[bytes]) -> np.ndarray:
     """Where each key range begins in sorted rows, and the end; equal anchors stay together."""
     heads = np.ascontiguousarray(rows[:, :GRAM]).view(">u8").astype(np.uint64)
@@ -302,15 +369,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, with_text: bool = False) -
     def ask(table):
         block = Block(table)
         blk = table.column("blk")[0].as_py()
-        keys, place, own = block.keys()
+        found = Anchors(block)
+        keys, own = found.keys, found.several()
         edges = cut(keys, bits)
-        flat = b"".join(block.data)
-        picked = block.place[np.linspace(0, len(block.place) - 1, SAMPLE).astype(np.int64)] if len(block.place) else []
-        sample = b"".join(flat[p : p + GRAM] for p in picked)
+        picked = found.place[np.linspace(0, len(found.place) - 1, SAMPLE).astype(np.int64)] if len(found.place) else []
+        sample = b"".join(block.flat[p : p + GRAM].tobytes() for p in picked)
         out = {"rng": [], "blk": [], "keys": [], "own": [], "sample": []}
         for r in range(len(edges) - 1):
             lo, hi = edges[r], edges[r + 1]
-            for k, v in zip(out, (r, blk, raw(keys[lo:hi]), pack(np.packbits(own[lo:hi])), sample if r == 0 else b""), strict=True):
+            for k, v in zip(out, (r, blk, raw(keys[lo:hi]), _flags(own[lo:hi]), sample if r == 0 else b""), strict=True):
                 out[k].append(v)
         return pa.table({k: pa.array(v, pa.int32() if k in ("rng", "blk") else pa.binary()) for k, v in out.items()})
 
@@ -325,48 +392,46 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, with_text: bool = False) -
     def send(table, got):
         out = {"rng": [], "blk": [], "common": [], "tails": [], "docs": []}
         if table.num_rows:
-            block = Block(table)
-            keys, place, _ = block.keys()
-            rows, _, least = block.suffixes(_bits(got, keys, bits)[place] if len(keys) else np.zeros(0, bool))
+            found = Anchors(Block(table))
+            rows, least, *_ = found.suffixes(_bits(got, found.keys, bits))
             edges = _range_of(rows, splitters)
             for r in range(len(edges) - 1):
                 own = slice(edges[r], edges[r + 1])
                 if edges[r] < edges[r + 1]:
-                    common, tails = front_coded(rows[own])
-                    for k, v in zip(out, (r, table.column("blk")[0].as_py(), common, tails, pack(least[own])), strict=True):
+                    for k, v in zip(out, (r, table.column("blk")[0].as_py(), *front_coded(rows[own], squeezed), _numbers(least[own])), strict=True):
                         out[k].append(v)
         return pa.table({k: pa.array(v, pa.int32() if k in ("rng", "blk") else pa.binary()) for k, v in out.items()})
 
     runs = parts.groupBy("blk").cogroup(many.groupBy("blk")).applyInArrow(send, RUN)
-    least = scratch.keep(runs.groupBy("rng").applyInArrow(_merge, LEAST_DOC), "least")
-    answers = many.select("blk", "rng", "many", F.lit(None).cast("binary").alias("least")).unionByName(least.select("blk", F.col("rng"), F.lit(None).cast("binary").alias("many"), "least"))
+    hits = scratch.keep(runs.groupBy("rng").applyInArrow(_merge, HITS), "hits")
+    answers = many.withColumn("strings", F.lit(None).cast("binary")).unionByName(hits.withColumn("many", F.lit(None).cast("binary")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:long, end:long>>, kept binary" if with_text else "")
 
     def finish(table, got):
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"spans": [], "kept": []} if with_text else {})
         if table.num_rows:
             block = Block(table)
-            keys, place, _ = block.keys()
-            repeated = _bits(got, keys, bits)[place] if len(keys) else np.zeros(0, bool)
-            _, entry, _ = block.suffixes(repeated)
-            found = sorted((r["rng"], r["least"]) for r in got.select(["rng", "least"]).to_pylist() if r["least"] is not None)
-            smallest = np.concatenate([unpack(x, np.int64).reshape(-1, SHIFTS) for _, x in found]) if found else np.zeros((0, SHIFTS), np.int64)
-            step = np.zeros(int(block.starts[-1]) + LENGTH + 1, np.int64)
-            at, own = block.place[repeated], block.ids[block.doc[repeated]]
-            for a in range(SHIFTS):
-                begin = at[smallest[entry, a] < own] - a if len(entry) else np.zeros(0, np.int64)
-                np.add.at(step, begin, 1)
-                np.add.at(step, begin + LENGTH, -1)
-            gone = np.cumsum(step)[: int(block.starts[-1])] > 0
-            flat = np.frombuffer(b"".join(block.data), np.uint8)
-            for k, doc_id in enumerate(block.null_ids.to_pylist()):
-                lo, hi = int(block.starts[k]), int(block.starts[k + 1])
-                mask = gone[lo:hi]
-                kept = flat[lo:hi][~mask].tobytes()
-                turns = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
-                row = [doc_id, hi - lo, int(mask.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest()]
+            n, starts = len(block.flat), block.starts
+            # a byte goes if a repeated string begins there or at one of the 49 bytes before it
+            times = np.zeros(n + 1, np.int64)
+            np.cumsum(_begins(block, got, bits), out=times[1:])
+            gone = times[1:] > 0
+            gone[LENGTH:] = times[LENGTH + 1 :] > times[1 : max(1, n - LENGTH + 1)]
+            np.cumsum(gone, out=times[1:])
+            removed = np.diff(times[starts])
+            kept_starts = starts - np.r_[0, np.cumsum(removed)]
+            kept = memoryview(block.flat[~gone])
+            edge = np.zeros(n + 1, bool)
+            edge[starts] = True
+            first = np.flatnonzero(gone & (edge[:-1] | ~np.r_[False, gone[:-1]]))
+            last = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False])) + 1
+            cuts = np.searchsorted(first, starts)
+            for k, (doc_id, size, lost, spans) in enumerate(zip(block.null_ids.to_pylist(), np.diff(starts).tolist(), removed.tolist(), np.diff(cuts).tolist(), strict=True)):
+                text = kept[kept_starts[k] : kept_starts[k + 1]]
+                row = [doc_id, size, lost, spans, hashlib.sha256(text).hexdigest()]
                 if with_text:
-                    row += [[{"start": int(x), "end": int(y)} for x, y in turns.reshape(-1, 2)], kept]
+                    own = slice(cuts[k], cuts[k + 1])
+                    row += [[{"start": x, "end": y} for x, y in zip((first[own] - starts[k]).tolist(), (last[own] - starts[k]).tolist(), strict=True)], text.tobytes()]
                 for c, v in zip(out, row, strict=True):
                     out[c].append(v)
         kinds = {"kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
